@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from corpusmill.llm import neardup
+from corpusmill.llm import neardup, overlap
 
 QUERIES = {
+    "p1_found": overlap.found,
+    "p1_overlap_report": overlap.report,
     "p4_found": neardup.found,
     "p4_groups": neardup.groups,
 }
