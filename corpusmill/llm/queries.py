@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from corpusmill.llm import neardup, overlap
+from corpusmill.llm import neardup, overlap, splits
 
 QUERIES = {
     "p1_found": overlap.found,
     "p1_overlap_report": overlap.report,
+    "p3_found": splits.found,
+    "p3_assignment": splits.assignment,
+    "p3_report": splits.report,
     "p4_found": neardup.found,
     "p4_groups": neardup.groups,
 }
