@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpusmill.llm import neardup, overlap, splits
+from corpusmill.llm import neardup, overlap, splits, turns
 
 QUERIES = {
     "p1_found": overlap.found,
@@ -12,5 +12,7 @@ QUERIES = {
     "p3_report": splits.report,
     "p4_found": neardup.found,
     "p4_groups": neardup.groups,
+    "p5_found": turns.found,
+    "p5_report": turns.report,
 }
 ORACLES: dict[str, str] = {}
