@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpusmill.llm import neardup, overlap, splits, turns
+from corpusmill.llm import neardup, overlap, quality, splits, turns
 
 QUERIES = {
     "p1_found": overlap.found,
@@ -14,5 +14,7 @@ QUERIES = {
     "p4_groups": neardup.groups,
     "p5_found": turns.found,
     "p5_report": turns.report,
+    "p8_found": quality.found,
+    "p8_statistics": quality.statistics,
 }
 ORACLES: dict[str, str] = {}
