@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from corpusmill.llm import neardup, overlap, quality, splits, turns
+from corpusmill.llm import mixing, neardup, overlap, packing, quality, splits, tokens, turns
 
 QUERIES = {
     "p1_found": overlap.found,
     "p1_overlap_report": overlap.report,
+    "p2_token_budget": tokens.budget,
+    "p2_tokens_per_record": tokens.per_record,
     "p3_found": splits.found,
     "p3_assignment": splits.assignment,
     "p3_report": splits.report,
@@ -14,6 +16,10 @@ QUERIES = {
     "p4_groups": neardup.groups,
     "p5_found": turns.found,
     "p5_report": turns.report,
+    "p6_placement": packing.placement,
+    "p6_report": packing.report,
+    "p7_mixture": mixing.mixture,
+    "p7_report": mixing.report,
     "p8_found": quality.found,
     "p8_statistics": quality.statistics,
 }
