@@ -48,10 +48,9 @@ def nested_profile(rows: DataFrame, keys: list[str], items: str) -> DataFrame:
 def share_profile(rows: DataFrame, source: str, count: str, targets: DataFrame) -> DataFrame:
     """source, tokens, share, target: real shares against target shares; either side may be missing."""
     own = rows.groupBy(source).agg(F.sum(count).alias("tokens"))
-    whole = own.agg(F.sum("tokens").alias("_all"))
+    every = Window.partitionBy(F.lit(1))  # a row a source
     j = own.join(targets.select(source, "target"), source, "full").na.fill(0, ["tokens"])
-    # one row, so no shuffle of the other side
-    return j.join(F.broadcast(whole)).select(source, "tokens", F.round(F.col("tokens") / F.col("_all"), 6).alias("share"), "target")
+    return j.select(source, "tokens", F.round(F.col("tokens") / F.sum("tokens").over(every), 6).alias("share"), "target")
 
 
 # ---------------------------------------------------------------- metric logs
@@ -198,6 +197,6 @@ def recall_at_1(queries: DataFrame, items: DataFrame, block: int = 4096) -> Data
 
     best = nearest(queries, items, block)
     own = queries.select("qid", "ql").join(best, "qid").join(items.select(F.col("iid"), F.col("l")), "iid")
-    total = items.groupBy("l").agg(F.count("*").alias("n")).agg(F.sum(F.col("n") * F.col("n")).alias("s"), F.sum("n").alias("t"))
-    hits = own.agg(F.count("*").alias("queries"), F.sum(F.when(F.col("ql") == F.col("l"), 1).otherwise(0)).alias("hits"))
-    return hits.join(F.broadcast(total)).select("queries", "hits", F.round(F.col("hits") / F.col("queries"), 6).alias("recall"), F.round(F.col("s") / (F.col("t") * F.col("t")), 6).alias("chance"))
+    total = items.groupBy("l").agg(F.count("*").alias("n")).agg(F.lit(1).alias("k"), F.sum(F.col("n") * F.col("n")).alias("s"), F.sum("n").alias("t"))
+    hits = own.agg(F.lit(1).alias("k"), F.count("*").alias("queries"), F.sum(F.when(F.col("ql") == F.col("l"), 1).otherwise(0)).alias("hits"))
+    return hits.join(total, "k").select("queries", "hits", F.round(F.col("hits") / F.col("queries"), 6).alias("recall"), F.round(F.col("s") / (F.col("t") * F.col("t")), 6).alias("chance"))
