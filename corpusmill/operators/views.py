@@ -110,10 +110,15 @@ def rebound(media: DataFrame, texts: DataFrame, root: str = "group_root") -> Dat
 
 
 def equal_rows(a: DataFrame, b: DataFrame) -> DataFrame:
-    """(side, rows): rows that only one of two tables has, counted; empty proof of equality has 0 and 0."""
-    only = lambda x, y, n: x.exceptAll(y).select(F.lit(n).alias("side")).groupBy("side").agg(F.count("*").alias("rows"))
-    zero = a.sparkSession.createDataFrame([("left", 0), ("right", 0)], "side string, rows long")
-    return zero.unionByName(only(a, b, "left")).unionByName(only(b, a, "right")).groupBy("side").agg(F.sum("rows").alias("rows"))
+    """(side, rows): rows that only one of two tables has, counted with their copies; equal tables have 0 and 0.
+
+    One shuffle: rows of a count 1, rows of b count -1.
+    """
+    cols = a.columns
+    both = a.select(*cols, F.lit(1).alias("_s")).unionByName(b.select(*cols, F.lit(-1).alias("_s")))
+    gap = both.groupBy(*cols).agg(F.sum("_s").alias("g")).agg(F.sum(F.when(F.col("g") > 0, F.col("g"))).alias("l"), F.sum(F.when(F.col("g") < 0, -F.col("g"))).alias("r"))
+    sides = F.array(F.struct(F.lit("left").alias("side"), F.coalesce("l", F.lit(0)).alias("rows")), F.struct(F.lit("right").alias("side"), F.coalesce("r", F.lit(0)).alias("rows")))
+    return gap.select(F.explode(sides).alias("x")).select("x.side", "x.rows")
 
 
 def span_merge(old: DataFrame, restored: DataFrame, key: str = "id") -> DataFrame:

@@ -1,6 +1,8 @@
-"""Named queries of the core with the SQL that states the same."""
+"""All named queries of the core with the SQL that states the same."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from corpusmill.plans import corpus  # noqa: F401
+from corpusmill.plans.registry import COVERS, ORACLES, QUERIES
+
+__all__ = ["COVERS", "ORACLES", "QUERIES"]
