@@ -33,11 +33,11 @@ def shingle_sets(texts: list[str], width: int = WIDTH) -> tuple[np.ndarray, np.n
     n = len(texts)
     if n > 1 << 16:
         raise ValueError("too many texts for one batch")
-    # width - 1 filling characters behind each text, so that no shingle crosses a border
-    pad = "￿" * (width - 1)
+    # filling characters behind each text: no shingle crosses a border, and short texts have one
+    pad = "\uffff" * width
     points = np.frombuffer((pad.join(texts) + pad).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     length = np.fromiter(map(len, texts), dtype=np.int64, count=n)
-    begin = np.concatenate(([0], np.cumsum(length + width - 1)[:-1]))
+    begin = np.concatenate(([0], np.cumsum(length + width)[:-1]))
     many = np.maximum(length - width + 1, 1)
     h = np.zeros(max(len(points) - width + 1, 0), dtype=np.uint64)
     for k in range(width):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpusmill.plans import corpus  # noqa: F401
+from corpusmill.plans import corpus, logs, ordered, relational  # noqa: F401
 from corpusmill.plans.registry import COVERS, ORACLES, QUERIES
 
 __all__ = ["COVERS", "ORACLES", "QUERIES"]

@@ -78,7 +78,7 @@ def run_files(spark: SparkSession, roots: list[str], schema: str, glob: str = "*
 
 def devices(lines: DataFrame, column: str = "value") -> DataFrame:
     """index, name, used_mib, total_mib, free_mib of a device listing in CSV; malformed rows are dropped."""
-    p = F.transform(F.split(column, ","), F.trim)
+    p = F.transform(F.split(column, ","), lambda x: F.trim(x))
     num = lambda i: F.regexp_replace(F.get(p, i), r"\s*MiB$", "").try_cast("long")
     out = lines.filter(F.size(p) == 4).select(F.get(p, 0).try_cast("int").alias("index"), F.get(p, 1).alias("name"), num(2).alias("used_mib"), num(3).alias("total_mib"))
     return out.dropna().withColumn("free_mib", F.col("total_mib") - F.col("used_mib"))
