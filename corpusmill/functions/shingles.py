@@ -33,6 +33,8 @@ def shingle_sets(texts: list[str], width: int = WIDTH) -> tuple[np.ndarray, np.n
     n = len(texts)
     if n > 1 << 16:
         raise ValueError("too many texts for one batch")
+    if n == 0:
+        return np.empty(0, np.uint64), np.zeros(1, np.int64)
     # filling characters behind each text: no shingle crosses a border, and short texts have one
     pad = "\uffff" * width
     points = np.frombuffer((pad.join(texts) + pad).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
