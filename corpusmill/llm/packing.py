@@ -2,8 +2,9 @@
 
 Bounded-space online packing: every part keeps a fixed number of open windows, places each
 text where it fits best, and emits the fullest window when none fits. What stays open is
-merged in rounds, a fixed number of parts at a time, until one part is left; so no task ever
-holds more than a bounded number of texts.
+merged in rounds, a fixed number of parts at a time, largest texts first, until one part is
+left; each merge passes on its emptiest windows only. So no task ever holds more than a bounded
+number of texts.
 """
 
 from __future__ import annotations
@@ -56,9 +57,13 @@ def _packing(turn: int, last: bool, seed: int):
         pdf["h"] = (pdf["doc_id"] * 2654435761 + pdf["piece"] + seed) % 4294967291
         pdf = pdf.sort_values(["h", "doc_id", "piece"] if turn == 0 else ["tokens", "doc_id", "piece"], ascending=turn == 0 or [False, True, True], ignore_index=True)
         sizes = pdf["tokens"].tolist()
-        closed, left = pack(list(enumerate(sizes)), capacity)
+        # a merge holds FAN * OPEN windows at most, so there all of them may stay open
+        closed, left = pack(list(enumerate(sizes)), capacity, OPEN if turn == 0 else len(sizes))
         if last:
             closed, left = closed + left, []
+        elif turn:
+            left.sort(key=lambda w: sum(sizes[i] for i in w))
+            closed, left = closed + left[OPEN:], left[:OPEN]
         window, start, done = [""] * len(sizes), [0] * len(sizes), [False] * len(sizes)
         for shut, group in ((True, closed), (False, left)):
             for w, members in enumerate(group):

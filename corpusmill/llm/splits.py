@@ -127,10 +127,11 @@ def assign(groups: DataFrame, plan: list[tuple[str, float]]) -> DataFrame:
     result depends on nothing but the rows and the plan. An empty plan is an error.
     """
     spark = groups.sparkSession
-    total_share = sum(s for _, s in plan if s and s > 0)
+    plan = [(n, s) for n, s in plan if n is not None and s and s > 0]
+    total_share = sum(s for _, s in plan)
     if not total_share:
         raise ValueError("the plan has no positive share")
-    plan = sorted((n, s / total_share) for n, s in plan if n is not None and s and s > 0)
+    plan = sorted((n, s / total_share) for n, s in plan)
     labels = [r.label for r in groups.groupBy("label").count().orderBy(F.desc("count"), "label").limit(LABELS - 1).collect()]
     width = len(labels) + 2
     count = [F.count("*")] + [F.sum(F.when(F.col("label").eqNullSafe(F.lit(x)), 1).otherwise(0)) for x in labels]

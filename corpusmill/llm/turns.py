@@ -106,7 +106,7 @@ def is_copy(prompt: str, answer: str) -> bool:
     x, y = _TOKEN.findall(unicodedata.normalize("NFKC", answer).casefold()), _TOKEN.findall(unicodedata.normalize("NFKC", prompt).casefold())
     # moved sentences count as common too: blocks may match in any order
     common = sum(m.size for m in SequenceMatcher(None, x, y, autojunk=False).get_matching_blocks())
-    return common >= ALIGNED * len(x) or len(mine & of(q)) >= 0.95 * len(mine)
+    return common >= ALIGNED * len(x) or len(mine & of(q)) >= 0.9 * len(mine)
 
 
 def other_language(prompt: str, answer: str) -> bool:
