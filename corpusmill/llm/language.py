@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 #: Frequent function words of each language.
 FUNCTION_WORDS = {
@@ -11,29 +12,40 @@ FUNCTION_WORDS = {
     "fr": "le la les de des du un une et est pas que qui dans pour sur au aux ce cette il elle ne se son sa ses par avec plus mais ou où sans sont à c'est n'est l'on était été ont on quand trop si ni leur très en",
     "es": "el la los las de del un una y es no que en por para con se su sus al lo como más pero o sin son cuando demasiado si qué muy este esta fue ha han desde hace ni entre sobre también está porque sí",
 }
-_SETS = {k: frozenset(v.split()) for k, v in FUNCTION_WORDS.items()}
+_CODES = tuple(FUNCTION_WORDS)
+#: Word -> bits of the languages it is a function word of.
+_MASKS: dict[str, int] = {}
+for _i, _v in enumerate(FUNCTION_WORDS.values()):
+    for _w in _v.split():
+        _MASKS[_w] = _MASKS.get(_w, 0) | 1 << _i
+_FR = 1 << _CODES.index("fr")
+_DE, _ES, _FRENCH = re.compile("[ßäöü]"), re.compile("[ñ¿¡]"), re.compile("[èêçœùîô]")
 _HAN = re.compile("[㐀-鿿]")
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
-_OTHER = re.compile("[Ѐ-ӿ؀-ۿ぀-ヿ가-힯Ͱ-Ͽ֐-׿ऀ-ॿ฀-๿]")
 
 
 def scores(text: str) -> dict[str, float]:
     """Evidence for each language: function words, for Chinese two characters count as one."""
     low = text.lower().replace("’", "'")
-    words = _WORD.findall(low)
-    out = {k: 0.0 for k in _SETS}
-    for w in words:
-        parts = (w, *w.split("'")) if "'" in w else (w,)
-        for k, known in _SETS.items():
-            if any(p in known or (k == "fr" and len(p) == 1 and p in "lcdnsj" and len(parts) > 1) for p in parts):
-                out[k] += 1
-    if "ß" in low or re.search("[äöü]", low):
-        out["de"] += 0.5
-    if re.search("[ñ¿¡]", low):
-        out["es"] += 1
-    if re.search("[èêçœùîô]", low):
-        out["fr"] += 0.5
-    out["zh"] = len(_HAN.findall(text)) / 2
+    hits: list[int] = []
+    for w in _WORD.findall(low):
+        m = _MASKS.get(w, 0)
+        if "'" in w:
+            for p in w.split("'"):  # an elided article is one letter
+                m |= _MASKS.get(p, 0) | (_FR if len(p) == 1 and p in "lcdnsj" else 0)
+        if m:
+            hits.append(m)
+    many = Counter(hits)
+    out = {c: float(sum(n for m, n in many.items() if m >> i & 1)) for i, c in enumerate(_CODES)}
+    out["zh"] = 0.0
+    if not low.isascii():
+        if _DE.search(low):
+            out["de"] += 0.5
+        if _ES.search(low):
+            out["es"] += 1
+        if _FRENCH.search(low):
+            out["fr"] += 0.5
+        out["zh"] = len(_HAN.findall(text)) / 2
     return out
 
 
