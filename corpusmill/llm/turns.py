@@ -11,6 +11,7 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
@@ -104,9 +105,9 @@ def is_copy(prompt: str, answer: str) -> bool:
     if not mine or len(mine & of(q)) < CONTAINED * len(mine):
         return False
     x, y = _TOKEN.findall(unicodedata.normalize("NFKC", answer).casefold()), _TOKEN.findall(unicodedata.normalize("NFKC", prompt).casefold())
-    # moved sentences count as common too: blocks may match in any order
     common = sum(m.size for m in SequenceMatcher(None, x, y, autojunk=False).get_matching_blocks())
-    return common >= ALIGNED * len(x) or len(mine & of(q)) >= 0.9 * len(mine)
+    # sentences may have changed places: then nearly all tokens are the prompt's, in another order
+    return common >= ALIGNED * len(x) or len(mine & of(q)) >= 0.9 * len(mine) or sum((Counter(x) & Counter(y)).values()) >= 0.95 * len(x)
 
 
 def other_language(prompt: str, answer: str) -> bool:
