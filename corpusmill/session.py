@@ -62,6 +62,26 @@ def shared_folder(spark: SparkSession) -> str:
     return given.rstrip("/")
 
 
+_folders: set[str] = set()
+
+
+def _own_folder(spark: SparkSession) -> str:
+    """The application's part of the shared folder; removed when the driver ends."""
+    folder = f"{shared_folder(spark)}/corpusmill/{spark.sparkContext.applicationId}"
+    if folder not in _folders:
+        _folders.add(folder)
+        atexit.register(_remove, spark, folder)
+    return folder
+
+
+def _remove(spark: SparkSession, folder: str) -> None:
+    try:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    except Exception:  # noqa: BLE001 - the JVM may be gone; the folder is then left to its owner
+        pass
+
+
 def written(df: DataFrame) -> DataFrame:
     """Cuts the lineage: writes df as Parquet into the shared folder and reads it again.
 
@@ -69,7 +89,7 @@ def written(df: DataFrame) -> DataFrame:
     compressed and columnar.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/corpusmill/{uuid.uuid4().hex}"
+    path = f"{_own_folder(spark)}/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -77,9 +97,7 @@ def written(df: DataFrame) -> DataFrame:
 def forget(df: DataFrame) -> None:
     """Removes the files of a table made by written(), once nothing reads it any more."""
     spark = df.sparkSession
-    own = f"{shared_folder(spark)}/corpusmill/"
-    jvm = spark.sparkContext._jvm
+    own = _own_folder(spark)
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if own.split("://")[-1].lstrip("/") in folder:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        if own.split(":", 1)[-1].lstrip("/") in folder:
+            _remove(spark, folder)

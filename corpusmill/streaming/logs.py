@@ -71,8 +71,9 @@ def state_change_events(rows: DataFrame, key: str, state: str, order: str) -> Da
 def exactly_once(rows: DataFrame, checkpoint: str, done: str, keys: list[str], act: Callable[[DataFrame, int], None], trigger: dict | None = None) -> StreamingQuery:
     """Calls act(new rows, batch) once for every key, over restarts.
 
-    The keys that were handled are written by batch; a batch that is run again after a failure
-    finds its own and leaves them out.
+    Keys are written down after act has returned, and a later batch leaves them out. If the
+    driver is lost between the two, the same batch number runs again: an act that writes under
+    its batch number is then exact as well.
     """
 
     def on(batch: DataFrame, number: int) -> None:
