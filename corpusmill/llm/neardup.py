@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from corpusmill.functions.shingles import jaccard_at_least, min_hashes, shingle_sets
 from corpusmill.functions.text import py_squeezed
 from corpusmill.llm.base import profiles, samples, text_hash
-from corpusmill.operators.graph import components
+from corpusmill.operators.graph import components, star_edges
 from corpusmill.session import table, written
 
 #: Least similarity, as a fraction of whole numbers, and the least chance that is neglected.
@@ -271,13 +271,33 @@ def found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tag(texts, "text").unionByName(tag(pictures, "image"))
 
 
+def _linked(members: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(id, group_id, links) of members (id, c) of classes whose near pairs are (a, b), c being a class.
+
+    links counts the other memberships in the own classes and all in those near them. Works on
+    classes, so one that a third of the records share costs a row a record, not a row a pair.
+    """
+    size = members.groupBy("c").agg(F.count("*").alias("n"), F.min("id").alias("rep"))
+    both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    beside = both.join(size.select(F.col("c").alias("b"), "n"), "b").groupBy(F.col("a").alias("c")).agg(F.sum("n").alias("m"))
+    each = members.join(size.select("c", "n"), "c").join(beside, "c", "left").groupBy("id").agg(F.sum(F.col("n") - 1 + F.coalesce("m", F.lit(0))).alias("links"))
+    reps = size.select("c", "rep")
+    edges = pairs.join(reps.select(F.col("c").alias("a"), F.col("rep").alias("x")), "a").join(reps.select(F.col("c").alias("b"), F.col("rep").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    comps = components(star_edges(members, "id", "c").unionByName(edges)).select(F.col("node").alias("id"), F.col("root").alias("group_id"))
+    return comps.join(each, "id").filter("links > 0")
+
+
 def groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """kind, id, group_id, links: every record with a near copy, its group and its number of links.
 
-    The group is named by its smallest id. links counts the near records, copies included.
+    The group is named by its smallest id. links counts near texts, or near pictures, of other
+    rows: a record with two pictures near one another counts them both.
     """
-    pairs = written(found(spark, sf_dir))
-    keyed = pairs.select(F.concat_ws("|", "kind", "id_a").alias("a"), F.concat_ws("|", "kind", "id_b").alias("b"))
-    links = keyed.select(F.col("a").alias("node")).unionByName(keyed.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("links"))
-    parts = lambda c: F.split(F.col(c), r"\|", 2)
-    return components(keyed).join(links, "node").select(parts("node")[0].alias("kind"), parts("node")[1].alias("id"), parts("root")[1].alias("group_id"), "links")
+    records = samples(spark, sf_dir, "id", "text")
+    prof = text_classes(records)
+    texts = written(prof.select("id", F.hex("th").alias("c")).distinct())
+    near = written(class_pairs(records, prof).select(F.hex("tha").alias("a"), F.hex("thb").alias("b")))
+    own = written(table(spark, sf_dir, "image_bands").select("id", phash_bits(F.col("phash")).alias("c")).dropna().distinct())
+    alike = written(hamming_pairs(own, "c").select(F.col("x").alias("a"), F.col("y").alias("b")))
+    tag = lambda df, kind: df.select(F.lit(kind).alias("kind"), "id", "group_id", "links")
+    return tag(_linked(texts, near), "text").unionByName(tag(_linked(own, alike), "image"))

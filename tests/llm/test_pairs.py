@@ -85,7 +85,20 @@ def test_opening_questions(spark, folder):
     d = folder(samples=rows)
     assert {tuple(r) for r in overlap.found(spark, d).collect()} == {("a", "b"), ("c", "d")}
     rep = {(r.split, r.source): r for r in overlap.report(spark, d).collect()}
-    assert rep["val", "s"].pairs == 1 and rep["test", "s"].records == 4 and rep["test", "s"].overlapping == 1
+    assert rep["val", "s"].question_pairs == 1 and rep["test", "s"].records == 4 and rep["test", "s"].overlapping == 1 and rep["test", "s"].near_pairs == 0
+
+
+def test_groups_count_the_links_of_pairs(spark, folder):
+    rows = [sample(f"i{k:03}", t) for k, t in enumerate(texts(150, 6))]
+    d = folder(samples=rows + rows[:5], image_bands=[(0, 0, f"{v:x}", f"p{k}") for k, v in enumerate([7, 7, 6, 1 << 40, 255 << 50, (255 << 50) + 1])])
+    pairs = [tuple(r) for r in neardup.found(spark, d).collect()]
+    links = {}
+    for kind, a, b in pairs:
+        links[kind, a] = links.get((kind, a), 0) + 1
+        links[kind, b] = links.get((kind, b), 0) + 1
+    got = {(r.kind, r.id): r for r in neardup.groups(spark, d).collect()}
+    assert {k: r.links for k, r in got.items()} == links
+    assert all(got[k, a].group_id == got[k, b].group_id <= a for k, a, b in pairs)
 
 
 def test_empty_tables(spark, folder):
