@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from corpusmill.functions import media
@@ -118,8 +119,6 @@ def _(spark, d):
 
 @query("wrapped_lines", "C15")
 def _(spark, d):
-    import pandas as pd
-
     @F.pandas_udf("int")
     def lines(s: pd.Series) -> pd.Series:
         return s.map(lambda t: len(encode.wrapped(t, 60)))
