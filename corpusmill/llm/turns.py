@@ -23,7 +23,8 @@ from corpusmill.llm.base import samples
 from corpusmill.llm.language import detect
 
 #: Least share of the answer's shingles that stand in the prompt, and of its tokens in the
-#: common subsequence; least length of a copy against the prompt.
+#: common subsequence; least length of a copy against the prompt. A copy may be longer than the
+#: prompt by any factor: it then gives the prompt back several times.
 CONTAINED, ALIGNED, LENGTH = 0.8, 0.8, 0.4
 #: Least share of an answer that its refusing sentences make up.
 REFUSING = 0.5
@@ -95,19 +96,26 @@ def _squeeze(text: str) -> str:
 def is_copy(prompt: str, answer: str) -> bool:
     """Whether the answer is made of the prompt: shingle containment, then common subsequence."""
     q, a = _squeeze(prompt), _squeeze(readable(answer))
-    if not q or not a or len(a) < LENGTH * len(q) or len(a) > 1.6 * len(q) + 10:
+    if not q or not a or len(a) < LENGTH * len(q):
         return False
     if q == a:
         return True
     width = 4 if len(a) >= 8 else 2
-    of = lambda s: {s[i : i + width] for i in range(len(s) - width + 1)}
-    mine = of(a)
-    if not mine or len(mine & of(q)) < CONTAINED * len(mine):
+    of = lambda s: [s[i : i + width] for i in range(len(s) - width + 1)]
+    theirs, each = set(of(q)), of(a)
+    inside = lambda c: sum(g in theirs for g in c) / max(1, len(c))
+    # in an answer longer than the prompt every place counts: repeats that each have another edit
+    contained = max(inside(set(each)), inside(each) if len(a) > len(q) else 0.0)
+    if not each or contained < CONTAINED:
         return False
     x, y = _TOKEN.findall(unicodedata.normalize("NFKC", answer).casefold()), _TOKEN.findall(unicodedata.normalize("NFKC", prompt).casefold())
-    common = sum(m.size for m in SequenceMatcher(None, x, y, autojunk=False).get_matching_blocks())
+    # a prompt given back several times is aligned in runs of its own length, each of which lies in two prompts on end
+    n = max(1, len(y))
+    runs, wide = ([x], y) if len(x) <= n else ([x[i : i + n] for i in range(0, len(x), n)], y + y)
+    common = sum(m.size for run in runs for m in SequenceMatcher(None, run, wide, autojunk=False).get_matching_blocks())
     # sentences may have changed places: then nearly all tokens are the prompt's, in another order
-    return common >= ALIGNED * len(x) or len(mine & of(q)) >= 0.9 * len(mine) or sum((Counter(x) & Counter(y)).values()) >= 0.95 * len(x)
+    times = Counter({t: c * len(runs) for t, c in Counter(y).items()})
+    return common >= ALIGNED * len(x) or contained >= 0.9 or sum((Counter(x) & times).values()) >= 0.95 * len(x)
 
 
 def other_language(prompt: str, answer: str) -> bool:

@@ -54,6 +54,15 @@ def test_defects(answer, want):
     assert turns.defect(ASK, answer) == want
 
 
+@pytest.mark.parametrize("times", [2, 3, 7])
+def test_prompts_given_back_several_times(times):
+    ask = "Which of the old wheels in the valley still turns with the water of the river?"
+    assert turns.defect(ask, " ".join([ask] * times)) == "question_copy"
+    edited = " ".join(ask.replace(w, "engine") for w in ("valley", "river", "wheels", "water", "Which", "still", "turns")[:times])
+    assert turns.defect(ask, edited) == "question_copy"
+    assert turns.defect(ask, ask + " Only the third one, behind the mill, has been repaired since the flood; all others are kept for show." * times) != "question_copy"
+
+
 def test_language_that_was_asked_for():
     answer = "Das Rad ist nicht alt, und es dreht sich mit dem Wasser von dem Fluss."
     assert turns.defect("Translate into German: the wheel is not old and it turns.", answer) is None
