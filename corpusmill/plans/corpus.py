@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from corpusmill.functions import chat, expr
 from corpusmill.functions.labels import language_key, source_key
 from corpusmill.operators import decontam, dedup, filters, reports, splits, views
-from corpusmill.operators.graph import components
 from corpusmill.plans.registry import query
 from corpusmill.session import table, written
 
@@ -258,6 +257,17 @@ def _(spark, d):
     return splits.grouped(links, links.select("id").distinct()).select("id", "group_root")
 
 
+def _all_links(spark, d):
+    return table(spark, d, "links").select("id", "key").dropna().distinct()
+
+
+@query("groups_cc_all_keys", "G1 G2 G8")
+def _(spark, d):
+    # groups_cc over every kind of key; the recursive SQL is too slow for that
+    links = _all_links(spark, d)
+    return splits.grouped(links, links.select("id").distinct()).select("id", "group_root")
+
+
 @query(
     "group_split_locks", "G4 J4",
     f"""WITH r AS ({RECORDS}), k AS (SELECT group_root, max(CASE split WHEN 'test' THEN 2 ELSE 1 END) AS m FROM r WHERE split IN ('val', 'test') AND group_root IS NOT NULL GROUP BY 1),
@@ -281,15 +291,19 @@ def _(spark, d):
     CC + f", g AS (SELECT x AS id, min(y) AS root FROM c GROUP BY x), r AS ({RECORDS}) SELECT root AS group_root, count(DISTINCT split) AS splits, count(*) AS nodes FROM g JOIN r USING (id) GROUP BY root HAVING count(DISTINCT split) > 1",
 )
 def _(spark, d):
-    links = table(spark, d, "links").filter("key like 'origin_id:%' or key like 'document:%'").distinct()
-    rows = _records(spark, d, "id", "split")
-    from corpusmill.operators.graph import star_edges
+    return _conflicts(table(spark, d, "links").filter("key like 'origin_id:%' or key like 'document:%'").distinct(), _records(spark, d, "id", "split"))
+
 
-    comps = components(star_edges(links, "id", "key")).select(F.col("node").alias("id"), "root")
-    single = links.select("id").distinct().join(comps, "id", "left").select("id", F.coalesce("root", "id").alias("group_root"))
+def _conflicts(links, rows):
+    single = splits.grouped(links, links.select("id").distinct())
     return single.join(rows, "id").groupBy("group_root").agg(F.countDistinct("split").alias("splits"), F.count("*").alias("nodes")).filter("splits > 1")
 
 
+@query("group_conflicts_all_keys", "G9 G10 V4")
+def _(spark, d):
+    return _conflicts(_all_links(spark, d), _records(spark, d, "id", "split"))
+
+
 @query("identity_aliases", "G13", "SELECT id, string_agg(DISTINCT key, '|' ORDER BY key) AS aliases FROM links WHERE key LIKE 'rgb:%' GROUP BY id")
 def _(spark, d):
     return splits.aliases(table(spark, d, "links"), "rgb:")

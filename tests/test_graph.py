@@ -1,7 +1,10 @@
 import random
 
+import pytest
+
 from corpusmill.operators.graph import components, star_edges
 from corpusmill.operators.splits import grouped, incremental_groups, merged_audits
+from corpusmill.plans.catalog import QUERIES
 
 
 def roots(edges):
@@ -51,3 +54,43 @@ def test_required_split_is_the_highest(spark):
     e = spark.createDataFrame([("a", "b"), ("b", "c")], "a string, b string")
     r = spark.createDataFrame([("a", "train"), ("c", "test")], "node string, split string")
     assert {x.split for x in merged_audits([e, e], r).collect()} == {"test"}
+
+
+KINDS = ("source-group", "question", "rgb", "document", "repo", "document_id", "origin_id", "phash-neighbor", "Document")
+
+
+@pytest.fixture(scope="module")
+def linked(spark, tmp_path_factory):
+    """A folder with links of every kind, and its rows; a component needs keys of several kinds."""
+    rng, at = random.Random(3), tmp_path_factory.mktemp("links")
+    links = [(f"n{rng.randrange(400):03}", f"{kind}:{rng.randrange(150)}") for kind in KINDS for _ in range(30)]
+    links += [("c1", "repo:x"), ("c2", "repo:x"), ("c2", "rgb:y"), ("c3", "rgb:y"), ("alone", "question:z"), ("nokey", None), (None, "repo:x")] + [(f"h{k}", "source-group:hot") for k in range(40)]
+    records = [(i, rng.choice(["train", "val", "test", None])) for i in sorted({i for i, _ in links if i}) if i[0] != "c"] + [("c1", "train"), ("c3", "test")]
+    spark.createDataFrame(links + links[:50], "id string, key string").write.parquet(f"{at}/links.parquet")
+    spark.createDataFrame(records + records[:20], "id string, split string").write.parquet(f"{at}/samples.parquet")
+    return str(at), links, records
+
+
+def group_roots(links):
+    by_key = {}
+    for i, k in links:
+        if i is not None and k is not None:
+            by_key.setdefault(k, []).append(i)
+    own = roots([(v[0], x) for v in by_key.values() for x in v])
+    return {i: own.get(i, i) for v in by_key.values() for i in v}
+
+
+def test_groups_of_all_keys_equal_union_find(spark, linked):
+    d, links, _ = linked
+    rows = QUERIES["groups_cc_all_keys"](spark, d).collect()
+    assert {r.id: r.group_root for r in rows} == group_roots(links) and len(rows) == len(group_roots(links))
+
+
+def test_conflicts_of_all_keys_equal_union_find(spark, linked):
+    d, links, records = linked
+    of = {}
+    for i, split in records:
+        if root := group_roots(links).get(i):
+            of.setdefault(root, []).append(split)
+    want = {(root, len(set(s) - {None}), len(s)) for root, s in of.items() if len(set(s) - {None}) > 1}
+    assert {tuple(r) for r in QUERIES["group_conflicts_all_keys"](spark, d).collect()} == want and ("c1", 2, 2) in want
