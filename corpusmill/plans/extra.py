@@ -81,6 +81,18 @@ def _(spark, d):
     return splits.incremental_groups(closed, star_edges(links.filter("key like 'repo:a%'"), "id", "key"))
 
 
+@query("incremental_groups_all_keys", "G11 X7")
+def _(spark, d):
+    from corpusmill.operators.graph import components, star_edges
+
+    # a quarter of the ids arrives later; its keys bring in all their rows, older ones too
+    links = table(spark, d, "links").select("id", "key").dropna().distinct()
+    late = F.pmod(F.xxhash64("id"), F.lit(4)) == 0
+    closed = components(star_edges(links.filter(~late), "id", "key"))
+    touched = links.join(links.filter(late).select("key").distinct(), "key", "left_semi")
+    return splits.incremental_groups(closed, star_edges(touched, "id", "key"))
+
+
 @query("clip_frames", "L13", "SELECT p_partkey, [round_even(i * (p_size + 3)::DOUBLE / 7, 0)::INT FOR i IN generate_series(0, 7)]::VARCHAR AS frames FROM part")
 def _(spark, d):
     i = F.sequence(F.lit(0), F.lit(7))

@@ -94,3 +94,16 @@ def test_conflicts_of_all_keys_equal_union_find(spark, linked):
             of.setdefault(root, []).append(split)
     want = {(root, len(set(s) - {None}), len(s)) for root, s in of.items() if len(set(s) - {None}) > 1}
     assert {tuple(r) for r in QUERIES["group_conflicts_all_keys"](spark, d).collect()} == want and ("c1", 2, 2) in want
+
+
+def test_incremental_groups_of_all_keys_equal_full_components(spark, linked):
+    d, links, _ = linked
+    by_key = {}
+    for i, k in links:
+        if i and k:
+            by_key.setdefault(k, []).append(i)
+    rows = QUERIES["incremental_groups_all_keys"](spark, d).collect()
+    want = roots([(v[0], x) for v in by_key.values() for x in v])
+    assert {r.node: r.root for r in rows} == want and len(rows) == len(want)
+    whole = components(star_edges(spark.read.parquet(f"{d}/links.parquet"), "id", "key"))
+    assert {(r.node, r.root) for r in whole.collect()} == {(r.node, r.root) for r in rows}
