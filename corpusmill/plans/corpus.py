@@ -396,6 +396,14 @@ def _(spark, d):
     return both.groupBy("fp").agg(F.min("doc_id").alias("retained"), F.count("*").alias("members")).filter("members > 1")
 
 
+@query("union_aliases_all", "E3 E4", f"SELECT {FINGER} AS fp, min(doc_id) AS retained, count(DISTINCT doc_id) AS members FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL GROUP BY 1 HAVING count(DISTINCT doc_id) > 1")
+def _(spark, d):
+    # the two slices share a third of the documents, and together hold all of them
+    docs = table(spark, d, "documents").filter("text is not null").select(expr.plain_fingerprint(F.col("text")).alias("fp"), "doc_id")
+    both = docs.filter("doc_id % 3 <> 1").union(docs.filter("doc_id % 3 <> 2")).distinct()
+    return both.groupBy("fp").agg(F.min("doc_id").alias("retained"), F.count("*").alias("members")).filter("members > 1")
+
+
 # ---------------------------------------------------------------- contamination
 
 

@@ -107,3 +107,9 @@ def test_incremental_groups_of_all_keys_equal_full_components(spark, linked):
     assert {r.node: r.root for r in rows} == want and len(rows) == len(want)
     whole = components(star_edges(spark.read.parquet(f"{d}/links.parquet"), "id", "key"))
     assert {(r.node, r.root) for r in whole.collect()} == {(r.node, r.root) for r in rows}
+
+
+def test_aliases_of_all_documents(spark, tmp_path):
+    texts = [(1, "a"), (7, "a"), (5, "b"), (11, "b"), (2, "c"), (1, "a"), (4, "b"), (6, "d"), (13, None)]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {(r.retained, r.members) for r in QUERIES["union_aliases_all"](spark, str(tmp_path)).collect()} == {(1, 2), (4, 3)}
