@@ -178,6 +178,16 @@ def test_quality_of_a_collection(spark, folder):
     assert quality.found(spark, folder()).count() == 0
 
 
+@pytest.mark.parametrize("few", [30, 120])
+def test_frequent_lists_and_tables_are_found(spark, folder, few):
+    cases = [(SHAPES[6][0], "list"), (SHAPES[12][0], "table")]
+    for text, kind in cases:
+        # copies are well over half of the texts of their language
+        rows = [document(k, text, lang="en") for k in range(2 * few)] + [document(1000 + k, f"{PROSE} It was {k} years old.", lang="en") for k in range(few)]
+        got = {r.doc_id: r.kind for r in quality.found(spark, folder(documents=rows)).collect()}
+        assert got == {k: kind for k in range(2 * few)}
+
+
 def test_queries_ignore_more_columns(spark, tmp_path):
     spark.createDataFrame([(1, "- a b\n- c d\n- e f", "x", "en", "k")], "doc_id long, text string, kind string, lang string, v string").write.parquet(str(tmp_path / "documents.parquet"))
     assert [tuple(r) for r in quality.found(spark, str(tmp_path)).collect()] == [(1, "list")]
