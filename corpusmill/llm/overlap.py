@@ -5,11 +5,14 @@ block becomes one Aho-Corasick automaton, and every training text runs through i
 intervals are merged into a coverage of each evaluation text; what is covered enough is
 compared exactly. Records that open with the same question meet in an equi-join.
 
-Passage length: if two texts share at least 85 % of their shingles, the differing shingles
-number at most 0.1765 a, a being those of the evaluation text. A cut between two runs that
-both texts share costs 8 of them at least, so there are at most 0.022 a cuts and the longest
-common run has a length of about a / (0.022 a + 1). A passage of half that length, on a grid,
-lies wholly within such a run (texts that repeat themselves may cost a cut less).
+Passages: if two texts share at least 85 % of their shingles, the differing shingles number at
+most D = 0.1765 a, a being those of the evaluation text. Two characters dropped where two
+passages meet spoil both and cost 10 shingles; any other cut inside costs more for each passage
+that it spoils. At either end of the text one passage is spoilt for a single shingle, and each
+further one costs its length, 5 or more. So at most D / 5 + 2 passages are spoilt, and
+0.0353 a + 3 of them hold one that stands in both texts (texts that repeat themselves may cost a
+cut less). The grid has at least so many where D allows that many cuts: texts below 15 characters
+have D < 2 and two passages.
 """
 
 from __future__ import annotations
@@ -40,11 +43,15 @@ GRAM, BUCKETS = 8, 1 << 18
 BLOCKS_A_JOB = 16
 
 
+def probes(n: int) -> int:
+    """Passages to probe in a text of n characters: one more than edits can spoil."""
+    return int(0.1765 * n / 5) + 3
+
+
 def passage_length(n: int) -> int:
     """Length of the passages of a text of n characters; short texts have shorter ones."""
-    if n < 50:
-        return max(5, min(12, (n - 8) // 2))
-    return max(5, (n // (int(0.022 * n) + 1) + 1) // 2)
+    most = min(12, (n - 8) // 2) if n < 50 else (n // (int(0.022 * n) + 1) + 1) // 2
+    return max(5, min(most, n // probes(n)))
 
 
 def grid(n: int) -> tuple[int, int]:
@@ -65,13 +72,13 @@ def gram_buckets(text: str) -> np.ndarray:
 
 
 def rare_passages(text: str, counts: np.ndarray) -> list[int]:
-    """Offsets of the passages to probe: the rarest of the grid, one more than cuts can spoil.
+    """Offsets of the passages to probe: the rarest of the grid, one more than edits can spoil.
 
-    At most D / 8 passages are spoilt (see above), so any D / 8 + 1 of them hold one that
+    At most D / 5 + 2 passages are spoilt (see above), so any D / 5 + 3 of them hold one that
     is not; taking the rarest only saves work.
     """
     size, number = grid(len(text))
-    take = int(0.022 * len(text)) + 1
+    take = probes(len(text))
     if number <= take:
         return [i * size for i in range(number)]
     at = counts[gram_buckets(text)]

@@ -58,6 +58,27 @@ def test_near_texts_equal_brute_force(spark, folder, seed):
     assert len(got) == len(set(got)) and set(got) == across
 
 
+def test_edits_at_the_ends_and_between_passages(spark, folder):
+    rng, rows, want = random.Random(8), [], set()
+    for k, n in enumerate([*range(12, 90, 3), 140, 200, 400]):
+        t = "".join(rng.sample([chr(c) for c in range(0x4E00, 0x4E00 + 900)], n))
+        size, number = overlap.grid(n)
+        edits = ["x" + t[1:], t[1:], t[2:], t[3:], t[:-1], t[1:-1], "yz" + t[2:], t[:-2] + "q"]
+        edits += [t[1 : size * m - 1] + t[size * m + 1 : -1] for m in range(1, number)]
+        rows.append(sample(f"e{k}", t, "val"))
+        for j, e in enumerate(edits):
+            rows.append(sample(f"t{k}-{j}", e, "train"))
+            if near(t, e):
+                want.add((f"e{k}", f"t{k}-{j}"))
+    assert {tuple(r) for r in overlap.found(spark, folder(samples=rows)).collect()} == want and len(want) > 200
+
+
+def test_as_many_passages_as_edits_need():
+    for n in range(15, 5_000):
+        size, number = overlap.grid(n)
+        assert size >= 5 and number >= overlap.probes(n)
+
+
 def test_edges_of_texts(spark, folder):
     long = " ".join(WORDS[k * 7 % 20] + str(k) for k in range(60_000))
     rows = [sample("a", None), sample("b", ""), sample("c", " \n"), sample("d", "abcd"), sample("e", "ABCD"), sample("f", long, "val"), sample("g", long + " end"), sample("h", "abcdefgh", "test"), sample("i", "ab\ncdefgh")]
