@@ -77,8 +77,6 @@ def is_empty(answer: str | None) -> bool:
 def is_refusal(answer: str) -> bool:
     """Whether sentences that align with refusal templates make up most of the answer."""
     text = unicodedata.normalize("NFKC", readable(answer)).replace("’", "'").strip()
-    if len(text) > 1_500:
-        return False
     whole = refusing = 0
     before = False
     for sentence in re.split(r"(?<=[.!?。！？])\s*|\n+", text):

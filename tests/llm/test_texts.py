@@ -63,6 +63,12 @@ def test_prompts_given_back_several_times(times):
     assert turns.defect(ask, ask + " Only the third one, behind the mill, has been repaired since the flood; all others are kept for show." * times) != "question_copy"
 
 
+def test_long_refusals():
+    declines = "I'm sorry, but I can't help with the wheel. I cannot discuss the mill, and I won't talk about the river either. "
+    assert turns.defect(ASK, declines * 20) == "refusal"
+    assert turns.defect(ASK, declines + "The wheel turns with the water and drives the mill. " * 40) != "refusal"
+
+
 def test_language_that_was_asked_for():
     answer = "Das Rad ist nicht alt, und es dreht sich mit dem Wasser von dem Fluss."
     assert turns.defect("Translate into German: the wheel is not old and it turns.", answer) is None
