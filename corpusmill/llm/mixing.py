@@ -95,13 +95,29 @@ def mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed(sizes, [tuple(r) for r in targets.collect()])
 
 
-def report(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _held(sizes: DataFrame) -> int:
+    """Tokens of all documents of the target sources."""
+    return sizes.agg(F.sum("tokens")).first()[0] or 0
+
+
+def whole_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mixture of as many tokens as the target sources hold; sources at their epochs fall short of their shares."""
+    sizes, targets = _tables(spark, sf_dir)
+    return mixed(sizes, [tuple(r) for r in targets.collect()], _held(sizes))
+
+
+def whole_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """report() of whole_mixture()."""
+    return report(spark, sf_dir, whole=True)
+
+
+def report(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
     """source, target, reached, tokens, epochs, max_epochs, available: planned and real shares.
 
     target is scaled to sum 1 over all rows; a source without documents reaches 0.
     """
     sizes, targets = _tables(spark, sf_dir)
-    done = mixed(sizes, [tuple(r) for r in targets.collect()]).groupBy("source").agg(F.sum(F.col("tokens") * F.col("repeats")).alias("tokens"))
+    done = mixed(sizes, [tuple(r) for r in targets.collect()], _held(sizes) if whole else None).groupBy("source").agg(F.sum(F.col("tokens") * F.col("repeats")).alias("tokens"))
     have = sizes.groupBy("source").agg(F.sum("tokens").alias("available"))
     every = Window.partitionBy(F.lit(1))  # a row a source
     out = targets.join(done, "source", "left").join(have, "source", "left").na.fill(0, ["tokens", "available"])

@@ -146,6 +146,19 @@ def test_mixture_report(spark, folder):
     assert got["a-x"].reached == 1 and got["none"].reached == 0 and got["a-x"].target == 0.5
 
 
+def test_whole_mixture_shows_capped_sources(spark, folder):
+    from corpusmill.llm.queries import QUERIES
+
+    text = "The mill stands near the river and grinds the grain of the valley. " * 40
+    docs = [document(k, text, source="big") for k in range(60)] + [document(100 + k, text, source="small") for k in range(2)]
+    d = folder(documents=docs, mix_targets=[("big", 0.5, 2), ("small", 0.5, 3)])
+    few = {r.source: r for r in QUERIES["p7_report"](spark, d).collect()}
+    got = {r.source: r for r in QUERIES["p7_whole_report"](spark, d).collect()}
+    assert few["big"].epochs < 0.2 and got["big"].epochs > 0.85 and 2.5 < got["small"].epochs <= 3
+    assert got["small"].reached < 0.15 and abs(got["big"].tokens + got["small"].tokens - got["big"].available - got["small"].available) < 0.05 * got["big"].available
+    assert max(r.repeats for r in QUERIES["p7_whole_mixture"](spark, d).filter("source = 'small'").collect()) <= 3
+
+
 PROSE = "The mill stands near the river, and the wheel turns with the water. It was the old stone, not the wheel, that made it slow."
 SHAPES = [
     (PROSE, None), ("def f(x):\n    return x + 1\n\nclass A:\n    def g(self):\n        return 2", None), ("user:What is it?\nassistant:It is the wheel of the mill near the river.", None), ("因为土壤的变化，花粉很少延缓了细密的花粉。没有田埂，可靠的种子就无法在清晨保持原样。", None),
