@@ -20,8 +20,6 @@ QUERIES = {
     "p6_report": packing.report,
     "p7_mixture": mixing.mixture,
     "p7_report": mixing.report,
-    "p7_whole_mixture": mixing.whole_mixture,
-    "p7_whole_report": mixing.whole_report,
     "p8_found": quality.found,
     "p8_statistics": quality.statistics,
 }

@@ -129,34 +129,68 @@ def test_sainte_lague():
     assert mixing.sainte_lague({}, 5) == {} and mixing.sainte_lague({"a": 0.0}, 5) == {"a": 0}
 
 
+def test_sainte_lague_of_many_seats_equals_the_loop():
+    rng = random.Random(4)
+    for _ in range(60):
+        weights = {k: rng.choice([1.0, 2.0, rng.random() * 50]) for k in range(rng.randrange(1, 9))}
+        caps = {k: rng.choice([0, 3, 400, 10**6]) for k in weights if rng.random() < 0.5}
+        seats = rng.choice([0, 1, 7, 500])
+        held = dict.fromkeys(weights, 0)
+        for _ in range(seats):
+            free = [k for k in weights if held[k] < caps.get(k, 10**9)]
+            if free:
+                held[min(free, key=lambda k: (-weights[k] / (2 * held[k] + 1), k))] += 1
+        assert mixing.sainte_lague(weights, seats, caps) == held
+    assert sum(mixing.sainte_lague({"a": 2.0, "b": 1.0}, 10**12).values()) == 10**12
+
+
 def test_mixture_meets_shares(spark):
     rows = [(k, "abc"[k % 3], 10 + k % 7) for k in range(6000)] + [(9000 + k, "d", 10) for k in range(100)] + [(9999, "e", 0)]
     df = spark.createDataFrame(rows, "doc_id long, source string, tokens long")
-    done = mixing.mixed(df, [("a", 0.5, 1), ("b", 0.2, 2), ("d", 0.1, 3), ("gone", 0.2, 4), ("e", 0.1, 1), (None, 1.0, 1)]).collect()
+    targets = [("a", 0.5, 1), ("b", 0.2, 2), ("d", 0.1, 3), ("gone", 0.2, 4), ("e", 0.1, 1), (None, 1.0, 1)]
+    done = mixing.mixed(df, targets, 30_000).collect()
     total = sum(r.tokens * r.repeats for r in done)
     share = {s: sum(r.tokens * r.repeats for r in done if r.source == s) / total for s in "abd"}
-    assert abs(share["a"] - 0.625) < 0.05 and abs(share["b"] - 0.25) < 0.05 and abs(share["d"] - 0.125) < 0.05
+    assert abs(total - 30_000) < 1_000 and abs(share["a"] - 0.625) < 0.03 and abs(share["b"] - 0.25) < 0.03 and abs(share["d"] - 0.1) < 0.02
     assert len({r.doc_id for r in done}) == len(done) and max(r.repeats for r in done if r.source == "d") == 3 and max(r.repeats for r in done if r.source == "a") == 1
     assert mixing.mixed(df.limit(0), [("a", 1.0, 1)]).count() == 0
 
 
+def test_what_a_capped_source_leaves_goes_to_the_others(spark):
+    rows = [(k, "abc"[k % 3], 300) for k in range(900)] + [(9000 + k, "d", 300) for k in range(10)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, tokens long")
+    done = mixing.mixed(df, [("a", 0.3, 1), ("b", 0.3, 3), ("c", 0.2, 2), ("d", 0.2, 4)]).collect()
+    of = lambda s: sum(r.tokens * r.repeats for r in done if r.source == s)
+    total = sum(map(of, "abcd"))
+    assert abs(total - 910 * 300) < 2_000 and of("d") == 4 * 3_000 and all(r.repeats == 4 for r in done if r.source == "d")
+    assert of("a") <= 90_000 and abs(of("a") - 90_000) < 1_500  # its epochs stop it as well
+    assert abs(of("b") / of("c") - 1.5) < 0.05
+    again = {(r.doc_id, r.repeats) for r in mixing.mixed(df, [("a", 0.3, 1), ("b", 0.3, 3), ("c", 0.2, 2), ("d", 0.2, 4)]).collect()}
+    assert again == {(r.doc_id, r.repeats) for r in done}
+
+
+def test_shards_share_a_quota(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SHARD_ROWS", 50)
+    df = spark.createDataFrame([(k, "a", 100 + k % 50) for k in range(1_000)], "doc_id long, source string, tokens long")
+    whole = sum(100 + k % 50 for k in range(1_000))
+    done = mixing.mixed(df, [("a", 1.0, 3)], 2 * whole + whole // 2).collect()
+    assert abs(sum(r.tokens * r.repeats for r in done) - 2.5 * whole) < 0.03 * 2.5 * whole and {r.repeats for r in done} <= {2, 3} and len(done) == 1_000
+
+
 def test_mixture_report(spark, folder):
     d = folder(documents=[document(k, "some words of a text " * 30, " A_x") for k in range(50)], mix_targets=[("a-x", 0.5, 1), ("none", 0.5, 2)])
     got = {r.source: r for r in mixing.report(spark, d).collect()}
     assert got["a-x"].reached == 1 and got["none"].reached == 0 and got["a-x"].target == 0.5
 
 
-def test_whole_mixture_shows_capped_sources(spark, folder):
-    from corpusmill.llm.queries import QUERIES
-
+def test_report_shows_capped_sources(spark, folder):
     text = "The mill stands near the river and grinds the grain of the valley. " * 40
-    docs = [document(k, text, source="big") for k in range(60)] + [document(100 + k, text, source="small") for k in range(2)]
+    docs = [document(k, text, source="big") for k in range(60)] + [document(100 + k, text, source="small") for k in range(2)] + [document(200, None, source="big")]
     d = folder(documents=docs, mix_targets=[("big", 0.5, 2), ("small", 0.5, 3)])
-    few = {r.source: r for r in QUERIES["p7_report"](spark, d).collect()}
-    got = {r.source: r for r in QUERIES["p7_whole_report"](spark, d).collect()}
-    assert few["big"].epochs < 0.2 and got["big"].epochs > 0.85 and 2.5 < got["small"].epochs <= 3
-    assert got["small"].reached < 0.15 and abs(got["big"].tokens + got["small"].tokens - got["big"].available - got["small"].available) < 0.05 * got["big"].available
-    assert max(r.repeats for r in QUERIES["p7_whole_mixture"](spark, d).filter("source = 'small'").collect()) <= 3
+    got = {r.source: r for r in mixing.report(spark, d).collect()}
+    assert got["small"].capped and not got["big"].capped and 2.5 < got["small"].epochs <= 3 and got["small"].reached < 0.15
+    assert abs(got["big"].tokens + got["small"].tokens - got["big"].available - got["small"].available) < 0.05 * got["big"].available
+    assert max(r.repeats for r in mixing.mixture(spark, d).filter("source = 'small'").collect()) <= 3
 
 
 PROSE = "The mill stands near the river, and the wheel turns with the water. It was the old stone, not the wheel, that made it slow."
