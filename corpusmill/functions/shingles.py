@@ -23,16 +23,13 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def shingle_sets(texts: list[str], width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingles of each text as 48-bit hashes.
+def placed_shingles(texts: list[str], width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
+    """48-bit hash of the shingle at every place of each text.
 
-    Returns (hashes, starts): text i owns hashes[starts[i]:starts[i + 1]], sorted. A text
-    shorter than width is its own single shingle; so is the empty text. texts must be no
-    more than 65,536.
+    Returns (hashes, starts): text i owns hashes[starts[i]:starts[i + 1]], in order of place. A
+    text shorter than width is its own single shingle; so is the empty text.
     """
     n = len(texts)
-    if n > 1 << 16:
-        raise ValueError("too many texts for one batch")
     if n == 0:
         return np.empty(0, np.uint64), np.zeros(1, np.int64)
     # filling characters behind each text: no shingle crosses a border, and short texts have one
@@ -46,16 +43,47 @@ def shingle_sets(texts: list[str], width: int = WIDTH) -> tuple[np.ndarray, np.n
         h *= np.uint64(0x9E3779B97F4A7C15)
         h += points[k : len(points) - width + 1 + k] + np.uint64(1)
         h ^= h >> np.uint64(29)
-    owner = np.repeat(np.arange(n), many)
-    at = np.arange(len(owner)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(begin, many)
-    key = (mix(h[at]) & _LOW48) | (owner.astype(np.uint64) << np.uint64(48))
+    starts = np.concatenate(([0], np.cumsum(many)))
+    at = np.arange(starts[-1]) - np.repeat(starts[:-1], many) + np.repeat(begin, many)
+    return mix(h[at]) & _LOW48, starts
+
+
+def shingle_sets(texts: list[str], width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct shingles of each text as 48-bit hashes.
+
+    Returns (hashes, starts): text i owns hashes[starts[i]:starts[i + 1]], sorted. A text
+    shorter than width is its own single shingle; so is the empty text. texts must be no
+    more than 65,535.
+    """
+    n = len(texts)
+    if n >= 1 << 16:
+        raise ValueError("too many texts for one batch")
+    hashes, places = placed_shingles(texts, width)
+    key = hashes | (np.repeat(np.arange(n, dtype=np.uint64), np.diff(places)) << np.uint64(48))
     key.sort()
     if len(key):
         key = key[np.concatenate(([True], key[1:] != key[:-1]))]
-    starts = np.searchsorted(key, np.arange(n + 1, dtype=np.uint64) << np.uint64(48)) if n < 1 << 16 else np.append(np.searchsorted(key, np.arange(n, dtype=np.uint64) << np.uint64(48)), len(key))
+    starts = np.searchsorted(key, np.arange(n + 1, dtype=np.uint64) << np.uint64(48))
     return key & _LOW48, starts
 
 
+def odd_sketches(hashes: np.ndarray, starts: np.ndarray, bits: int = 1024) -> np.ndarray:
+    """Parities of each set's elements in `bits` cells, as a (sets, bits / 64) array.
+
+    Every element in one set and not in the other flips one bit, so two sketches differ in no more
+    bits than their sets in elements.
+    """
+    n = len(starts) - 1
+    cell = np.repeat(np.arange(n, dtype=np.int64) * bits, np.diff(starts)) + (hashes & np.uint64(bits - 1)).astype(np.int64)
+    odd = (np.bincount(cell, minlength=n * bits) & 1).astype(np.uint8)
+    return np.packbits(odd).view(np.uint64).reshape(n, bits // 64)
+
+
+def most_apart(a: np.ndarray, b: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Elements that sets of sizes a and b hold apart at most, if they share num/den of their union."""
+    return (den - num) * (a + b) // (den + num)
+
+
 def min_hashes(hashes: np.ndarray, starts: np.ndarray, count: int, seed: int = 1) -> np.ndarray:
     """count independent 32-bit min-hashes of each set, as a (sets, count) array."""
     rng = np.random.default_rng(seed)
