@@ -1,271 +1,293 @@
 """Problem 1: records of the evaluation splits that also stand in the training split.
 
-Evaluation texts are cut into passages; blocks of bounded size go to the executors, each
-block becomes one Aho-Corasick automaton, and every training text runs through it. Matched
-intervals are merged into a coverage of each evaluation text; what is covered enough is
-compared exactly. Records that open with the same question meet in an equi-join.
-
-Passages: if two texts share at least 85 % of their shingles, the differing shingles number at
-most D = 0.1765 a, a being those of the evaluation text. Two characters dropped where two
-passages meet spoil both and cost 10 shingles; any other cut inside costs more for each passage
-that it spoils. At either end of the text one passage is spoilt for a single shingle, and each
-further one costs its length, 5 or more. So at most D / 5 + 2 passages are spoilt, and
-0.0353 a + 3 of them hold one that stands in both texts (texts that repeat themselves may cost a
-cut less). The grid has at least so many where D allows that many cuts: texts below 15 characters
-have D < 2 and two passages.
+Evaluation texts, normalised, are sharded into blocks of bounded size; the passages of a block
+become one Aho-Corasick automaton, and every distinct training text runs through it. Candidates
+are compared exactly, and what of an evaluation text stands in near training texts is merged into
+the coverage of that text. Records that open with the same question meet in an equi-join.
+
+No near pair is lost: of an evaluation text with a distinct shingles, a near text lacks at most
+a - ceil(0.85 a). The passages probed are the a - ceil(0.85 a) + 1 shingles that are rarest among
+the training texts, so at least one of them stands in every near text, wherever the edits lie and
+however often a text repeats itself. Before the exact comparison a candidate passes two bounds
+that no near pair breaks: the sizes of the sets, and the bits in which their odd sketches differ.
 """
 
 from __future__ import annotations
 
 import json
-import unicodedata
 from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions.labels import source_key
-from corpusmill.functions.shingles import jaccard_at_least, shingle_sets
+from corpusmill.functions.shingles import WIDTH, jaccard_at_least, most_apart, odd_sketches, placed_shingles, shingle_sets
 from corpusmill.functions.text import py_question, py_squeezed
 from corpusmill.llm.base import batches, samples, text_hash
-from corpusmill.session import written
+from corpusmill.session import forget, written
 
 NUM, DEN = 85, 100
-#: Characters of evaluation text in one automaton: bounds what is broadcast (4 bytes each at
-#: most) and the automaton in a Python worker (about 150 bytes a character).
-BLOCK_CHARS = 2_000_000
-#: Counts of character grams among the evaluation texts, in so many buckets: 1 MB.
-GRAM, BUCKETS = 8, 1 << 18
-#: Blocks that one job scans.
-BLOCKS_A_JOB = 16
+#: Passages and characters of evaluation text in one automaton: bound what is broadcast (some
+#: 15 MB) and the automaton in a Python worker (some 150 MB).
+BLOCK_PROBES, BLOCK_CHARS = 1_200_000, 12_000_000
+#: Counts of shingles among the training texts, in so many buckets: 4 MB on the driver.
+BUCKETS = 1 << 19
+#: Candidates that are looked at as one array.
+EXPANDED = 4_000_000
 
 
-def probes(n: int) -> int:
-    """Passages to probe in a text of n characters: one more than edits can spoil."""
-    return int(0.1765 * n / 5) + 3
+# ---------------------------------------------------------------- records and texts
 
 
-def passage_length(n: int) -> int:
-    """Length of the passages of a text of n characters; short texts have shorter ones."""
-    most = min(12, (n - 8) // 2) if n < 50 else (n // (int(0.022 * n) + 1) + 1) // 2
-    return max(5, min(most, n // probes(n)))
-
-
-def grid(n: int) -> tuple[int, int]:
-    """(length, number) of the passages of a text of n characters; at least one."""
-    size = min(passage_length(n), n)
-    return size, max(1, n // max(size, 1))
-
+def opening_key(payload: str | None) -> bytes | None:
+    """Hash of the opening question with the pictures it is about; None where there is none.
 
-def gram_buckets(text: str) -> np.ndarray:
-    """Bucket of the gram at each position of a text; shorter texts have none."""
-    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
-    many = len(points) - GRAM + 1
-    h = np.zeros(max(many, 0), dtype=np.uint64)
-    for k in range(GRAM if many > 0 else 0):
-        h = (h ^ points[k : k + many]) * np.uint64(0x9E3779B97F4A7C15)
-        h ^= h >> np.uint64(31)
-    return (h & np.uint64(BUCKETS - 1)).astype(np.int64)
+    A payload that is null, torn or without a user turn with content has none.
+    """
+    if payload is None or '"turns"' not in payload:
+        return None
+    try:
+        record = json.loads(payload)
+        first = next((t.get("content") for t in record.get("turns") or [] if isinstance(t, dict) and t.get("role") == "user"), None)
+        if not isinstance(first, str) or not first.strip():
+            return None
+        media = [str(m.get("rgb_sha256")) for m in record.get("media") or [] if isinstance(m, dict)]
+    except (ValueError, AttributeError, TypeError):
+        return None
+    return text_hash(py_question(first) + "\x00" + "|".join(media))
 
 
-def rare_passages(text: str, counts: np.ndarray) -> list[int]:
-    """Offsets of the passages to probe: the rarest of the grid, one more than edits can spoil.
+def normalised(rows: DataFrame) -> DataFrame:
+    """(id, split, source, th, qk, text) of every record with a split, written; text is squeezed.
 
-    At most D / 5 + 2 passages are spoilt (see above), so any D / 5 + 3 of them hold one that
-    is not; taking the rarest only saves work.
+    th and text are null for null and blank texts, qk where there is no opening question.
     """
-    size, number = grid(len(text))
-    take = probes(len(text))
-    if number <= take:
-        return [i * size for i in range(number)]
-    at = counts[gram_buckets(text)]
-    if size < GRAM:
-        rank = [0] * number
-    else:
-        rank = [int(at[i * size : i * size + size - GRAM + 1].min()) for i in range(number)]
-    return sorted(i * size for i in sorted(range(number), key=lambda i: (rank[i], i))[:take])
-
-
-class Block:
-    """Automaton over the probed passages of some evaluation texts."""
 
-    def __init__(self, texts: list[str], offsets: list[list[int]]) -> None:
-        self.texts = texts
-        owners: dict[str, list[int]] = {}
-        for i, (text, own) in enumerate(zip(texts, offsets, strict=True)):
-            size, _ = grid(len(text))
-            for at in own:
-                owners.setdefault(text[at : at + size], []).append(i)
-        self.automaton = ahocorasick.Automaton()
-        self.owners = list(owners.values())
-        for k, p in enumerate(owners):
-            self.automaton.add_word(p, (k, len(p)))
-        self.automaton.make_automaton()
-        self.probed = [grid(len(t))[0] * len(o) for t, o in zip(texts, offsets, strict=True)]
-        self.sets: dict[int, np.ndarray] = {}
+    def on(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            squeezed = [(py_squeezed(t) or None) if t is not None else None for t in pdf["text"]]
+            yield pd.DataFrame({"id": pdf["id"], "split": pdf["split"], "source": pdf["source"], "th": [s and text_hash(s) for s in squeezed], "qk": [opening_key(p) for p in pdf["payload"]], "text": squeezed})
 
-    def covered(self, text: str) -> dict[int, int]:
-        """Characters of each evaluation text's probed passages that stand in this text.
+    keyed = rows.select("id", "split", "source", "text", "payload").filter("id is not null and split is not null")
+    return written(keyed.mapInPandas(on, "id string, split string, source string, th binary, qk binary, text string"))
 
-        The passages of one text lie apart, so their merged intervals add up.
-        """
-        chars: dict[int, int] = {}
-        for k, size in {v for _, v in self.automaton.iter(text)}:
-            for i in self.owners[k]:
-                chars[i] = chars.get(i, 0) + size
-        return chars
 
-    def shingles(self, i: int) -> np.ndarray:
-        if i not in self.sets:
-            self.sets[i] = shingle_sets([self.texts[i]])[0]
-        return self.sets[i]
+def sides(rows: DataFrame) -> DataFrame:
+    """(id, split, source, th, qk): the normalised records without their texts, repeated rows once."""
+    return rows.select("id", "split", "source", "th", "qk").dropDuplicates(["id"])
 
 
-_built: dict[str, object] = {}
 
+def _held():
+    return F.col("split").isin("val", "test")
 
-def _block(broadcast) -> Block:
-    """The automaton of a broadcast block; a worker keeps the one it used last."""
-    if _built.get("key") != broadcast.value[0]:
-        _built["key"], _built["block"] = broadcast.value[0], Block(*broadcast.value[1:])
-    return _built["block"]
 
+def distinct_texts(rows: DataFrame) -> DataFrame:
+    """(th, text, train, held), written: every text once, with the sides it stands on."""
+    return written(rows.filter("th is not null").groupBy("th").agg(F.first("text").alias("text"), F.bool_or(F.col("split") == "train").alias("train"), F.bool_or(_held()).alias("held")))
 
-def _scan(broadcast, hashes: list[bytes]):
-    def on(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        block = _block(broadcast)
-        for pdf in frames:
-            pairs = [(i, s) for i, t in zip(pdf["id"], pdf["text"], strict=True) if i is not None and t is not None and (s := py_squeezed(t))]
-            for a, b in batches([s for _, s in pairs]):
-                some = pairs[a:b]
-                cand = [(k, i, chars) for k, (_, text) in enumerate(some) for i, chars in block.covered(text).items()]
-                used = sorted({k for k, _, _ in cand})
-                sets, starts = shingle_sets([some[k][1] for k in used])
-                place = {k: sets[starts[j] : starts[j + 1]] for j, k in enumerate(used)}
-                near = [(some[k][0], hashes[i], chars / block.probed[i]) for k, i, chars in cand if jaccard_at_least(place[k], block.shingles(i), NUM, DEN)]
-                yield pd.DataFrame(near, columns=["id_t", "th", "coverage"])
 
-    return on
+# ---------------------------------------------------------------- passages
 
 
-def evaluation_texts(rows: DataFrame) -> DataFrame:
-    """(th, text, offsets, chars, block): distinct squeezed evaluation texts, as probed."""
-    spark = rows.sparkSession
+def shingle_counts(texts: DataFrame) -> np.ndarray:
+    """Texts that hold a shingle, by bucket of the shingle. Only costs depend on it.
 
-    def squeeze(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            texts = [s for t in pdf["text"] if t is not None and (s := py_squeezed(t))]
-            yield pd.DataFrame({"th": [text_hash(t) for t in texts], "text": texts})
+    Tasks send one row a bucket that they met, which are added up before they reach the driver.
+    """
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(BUCKETS, dtype=np.int64)
         for pdf in frames:
-            for a, b in batches(pdf["text"].tolist()):
-                total += np.bincount(np.concatenate([gram_buckets(t) for t in pdf["text"].iloc[a:b]]), minlength=BUCKETS)
+            own = pdf["text"].tolist()
+            for a, b in batches(own):
+                total += np.bincount((shingle_sets(own[a:b])[0] & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
         at = np.flatnonzero(total)
-        yield pd.DataFrame({"bucket": at, "n": total[at]})
+        yield pd.DataFrame({"bucket": at.astype(np.int32), "n": total[at]})
 
-    texts = written(rows.select("text").mapInPandas(squeeze, "th binary, text string").dropDuplicates(["th"]))
-    sums = texts.select("text").coalesce(16).mapInPandas(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    sums = texts.select("text").mapInPandas(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()  # BUCKETS rows at most
     counts = np.zeros(BUCKETS, dtype=np.int64)
-    for r in sums.collect():  # BUCKETS rows at most
-        counts[r.bucket] = r.n
+    counts[sums["bucket"].to_numpy()] = sums["n"].to_numpy()
+    return counts
+
+
+def probes(a: int) -> int:
+    """Shingles to probe of a set of a: one more than a near set can lack."""
+    return a - -(-NUM * a // DEN) + 1
+
+
+def passages(text: str, counts: np.ndarray) -> np.ndarray:
+    """Places of the shingles to probe, the rarest; where a shingle stands several times, the first."""
+    each, first = np.unique(placed_shingles([text])[0], return_index=True)
+    rare = np.lexsort((each, counts[(each & np.uint64(BUCKETS - 1)).astype(np.int64)]))
+    return np.sort(first[rare[: probes(len(each))]])
+
+
+def probed(texts: DataFrame, counts: np.ndarray) -> DataFrame:
+    """(th, text, places, block), written: held-out texts with the passages to probe, in blocks."""
+    spark = texts.sparkSession
     shared = spark.sparkContext.broadcast(counts)
 
     def choose(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            pdf["offsets"] = [rare_passages(t, shared.value) for t in pdf["text"]]
-            pdf["chars"] = [grid(len(t))[0] * len(o) for t, o in zip(pdf["text"], pdf["offsets"], strict=True)]
+            pdf["places"] = [passages(t, shared.value).astype(np.int32) for t in pdf["text"]]
             yield pdf
 
-    return written(texts.mapInPandas(choose, "th binary, text string, offsets array<int>, chars long"))
+    # shorter texts are near equal ones only
+    own = written(texts.filter(f"held and length(text) >= {WIDTH}").select("th", "text").mapInPandas(choose, "th binary, text string, places array<int>"))
+    shared.destroy()
+    size = own.agg(F.sum(F.size("places")).alias("p"), F.sum(F.length("text")).alias("c")).first()
+    number = max(1, -(-(size.p or 0) // BLOCK_PROBES), -(-(size.c or 0) // BLOCK_CHARS))
+    out = written(own.withColumn("block", F.pmod(F.xxhash64("th"), F.lit(number)).cast("int")).repartitionByRange("block").sortWithinPartitions("block"))
+    forget(own)
+    return out
 
 
-def near_across(rows: DataFrame) -> DataFrame:
-    """(id_t, th, coverage): training record, hash of a near evaluation text, probed share of it.
+class Block:
+    """Automaton over the probed passages of some evaluation texts."""
 
-    rows: id, split, text. One automaton a block of evaluation texts; blocks are read one
-    after the other, so neither the driver nor a worker ever holds more than one.
-    """
-    spark = rows.sparkSession
-    held = evaluation_texts(rows.filter(F.col("split").isin("val", "test")))
-    train = rows.filter("split = 'train'").select("id", "text")
-    total = held.agg(F.sum("chars")).first()[0] or 0
-    number = max(1, -(-total // BLOCK_CHARS))
-    blocks = written(held.withColumn("block", F.pmod(F.xxhash64("th"), F.lit(number))).repartitionByRange("block").sortWithinPartitions("block"))
-    done, waiting = [], []
-    for k in range(number):
-        part = blocks.filter(F.col("block") == k).select("th", "text", "offsets").collect()
-        a = 0
-        while a < len(part):  # a block that came out larger goes in pieces
-            b, chars = a, 0
-            while b < len(part) and (b == a or chars + len(part[b].text) <= 4 * BLOCK_CHARS):
-                chars += len(part[b].text)
-                b += 1
-            some = part[a:b]
-            shared = spark.sparkContext.broadcast((f"{spark.sparkContext.applicationId}-{id(rows)}-{k}-{a}", [r.text for r in some], [list(r.offsets) for r in some]))
-            waiting.append(train.mapInPandas(_scan(shared, [bytes(r.th) for r in some]), "id_t string, th binary, coverage double"))
+    def __init__(self, hashes: list[bytes], texts: list[str], places: list[np.ndarray]) -> None:
+        self.hashes, self.texts = hashes, texts
+        number: dict[str, int] = {}
+        code = np.fromiter((number.setdefault(t[i : i + WIDTH], len(number)) for t, own in zip(texts, places, strict=True) for i in own.tolist()), dtype=np.int64)
+        owner = np.repeat(np.arange(len(texts)), [len(p) for p in places])
+        order = np.argsort(code, kind="stable")
+        self.owners = owner[order]
+        self.starts = np.searchsorted(code[order], np.arange(len(number) + 1))
+        self.automaton = ahocorasick.Automaton()
+        for p, k in number.items():
+            self.automaton.add_word(p, k)
+        self.automaton.make_automaton()
+        self.sizes = np.zeros(len(texts), dtype=np.int64)
+        self.odd = np.zeros((len(texts), 16), dtype=np.uint64)
+        for a, b in batches(texts):
+            sets, starts = shingle_sets(texts[a:b])
+            self.sizes[a:b], self.odd[a:b] = np.diff(starts), odd_sketches(sets, starts)
+
+    def matched(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(text, passage) of every match, repeats included."""
+        found = [np.fromiter((k for _, k in self.automaton.iter(t)), dtype=np.int64) for t in texts]
+        return np.repeat(np.arange(len(texts)), [len(f) for f in found]), np.concatenate(found)
+
+    def candidates(self, texts: list[str], sizes: np.ndarray, odd: np.ndarray) -> np.ndarray:
+        """Codes text * number of evaluation texts + evaluation text of all pairs within both bounds."""
+        which, passage = self.matched(texts)
+        many = self.starts[passage + 1] - self.starts[passage]
+        upto, out, a = np.cumsum(many), [np.empty(0, np.int64)], 0
+        while a < len(which):
+            b = max(a + 1, int(np.searchsorted(upto, (upto[a - 1] if a else 0) + EXPANDED, side="right")))
+            n = many[a:b]
+            at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.starts[passage[a:b]], n)
+            t, e = np.repeat(which[a:b], n), self.owners[at]
+            fits = (sizes[t] * DEN >= self.sizes[e] * NUM) & (self.sizes[e] * DEN >= sizes[t] * NUM)
+            code = np.unique(t[fits] * len(self.texts) + e[fits])
+            t, e = np.divmod(code, len(self.texts))
+            out.append(code[np.bitwise_count(odd[t] ^ self.odd[e]).sum(axis=1, dtype=np.int64) <= most_apart(sizes[t], self.sizes[e], NUM, DEN)])
             a = b
-            if len(waiting) == BLOCKS_A_JOB:
-                done.append(written(_union(waiting)))
-                waiting = []
-    if waiting:
-        done.append(_union(waiting))
-    return _union(done) if done else spark.createDataFrame([], "id_t string, th binary, coverage double")
-
-
-def _union(frames: list[DataFrame]) -> DataFrame:
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
-    return out
+        return np.unique(np.concatenate(out))
 
 
-def opening_key(payload: str | None) -> bytes | None:
-    """Hash of the opening question with the pictures it is about; None where there is none.
+def intervals(covered: np.ndarray) -> tuple[list[int], list[int]]:
+    """Begins and ends of the runs of true places."""
+    edge = np.diff(np.concatenate(([0], covered.astype(np.int8), [0])))
+    return np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist()
 
-    A payload that is null, torn or without a user turn with content has none.
-    """
-    if payload is None or '"turns"' not in payload:
-        return None
-    try:
-        record = json.loads(payload)
-        first = next((t.get("content") for t in record.get("turns") or [] if isinstance(t, dict) and t.get("role") == "user"), None)
-        if not isinstance(first, str) or not first.strip():
-            return None
-        media = [str(m.get("rgb_sha256")) for m in record.get("media") or [] if isinstance(m, dict)]
-    except (ValueError, AttributeError, TypeError):
-        return None
-    return text_hash(py_question(first) + "\x00" + "|".join(media))
 
+_built: dict[str, object] = {}
+
+
+def _block(name: str, shared) -> Block:
+    """The automaton of a broadcast block; a worker keeps the one it used last."""
+    if _built.get("name") != name:
+        _built.clear()
+        _built["block"] = Block(*shared.value)
+        _built["name"] = name
+    return _built["block"]
 
-def sides(rows: DataFrame) -> DataFrame:
-    """(id, split, source, th, qk) of every record, written; repeated rows once."""
 
+_NEAR = "tt binary, te binary, begins array<int>, ends array<int>"
+
+
+def _scan(name: str, shared):
     def on(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        block = _block(name, shared)
         for pdf in frames:
-            squeezed = [py_squeezed(t) if t is not None else "" for t in pdf["text"]]
-            yield pd.DataFrame({"id": pdf["id"], "split": pdf["split"], "source": pdf["source"], "th": [text_hash(s) if s else None for s in squeezed], "qk": [opening_key(p) for p in pdf["payload"]]})
+            own, hashes = pdf["text"].tolist(), pdf["th"].tolist()
+            pairs, covered = [], {}
+            for a, b in batches(own):
+                some = own[a:b]
+                sets, starts = shingle_sets(some)
+                codes = block.candidates(some, np.diff(starts), odd_sketches(sets, starts))
+                for t, e in zip(*(x.tolist() for x in np.divmod(codes, len(block.texts))), strict=True):
+                    text, theirs = block.texts[e], sets[starts[t] : starts[t + 1]]
+                    if hashes[a + t] == block.hashes[e] or not jaccard_at_least(theirs, shingle_sets([text])[0], NUM, DEN):
+                        continue
+                    pairs.append((hashes[a + t], block.hashes[e]))
+                    hit = np.flatnonzero(np.isin(placed_shingles([text])[0], theirs))
+                    mask = covered.setdefault(e, np.zeros(len(text), dtype=bool))
+                    for k in range(WIDTH):
+                        mask[hit + k] = True
+            # what the texts of a batch cover of one evaluation text is merged before it leaves the task
+            runs = [(block.hashes[e], *intervals(m)) for e, m in covered.items()]
+            rows = [(*p, None, None) for p in pairs] + [(None, *r) for r in runs]
+            if rows:
+                yield pd.DataFrame(rows, columns=["tt", "te", "begins", "ends"], dtype=object)
 
-    keyed = rows.select("id", "split", "source", "text", "payload").filter("id is not null and split is not null")
-    return written(keyed.mapInPandas(on, "id string, split string, source string, th binary, qk binary").dropDuplicates(["id"]))
+    return on
 
 
-def overlaps(rows: DataFrame) -> DataFrame:
-    """(id_t, id_e, coverage): training and evaluation records that overlap, each pair once.
+def near_across(texts: DataFrame) -> DataFrame:
+    """(tt, te, begins, ends): rows with tt are pairs of a training and a near held-out text, by
+    their hashes; rows without hold intervals of te that stand in near training texts.
 
-    coverage is null for pairs that only share their opening question.
+    One automaton a block. A block of bounded size is collected, broadcast, scanned with and
+    destroyed before the next; training texts are read once a block.
     """
-    own = sides(rows)
-    held = own.filter(F.col("split").isin("val", "test"))
-    near = near_across(rows.select("id", "split", "text")).dropDuplicates(["id_t", "th"])
-    by_text = near.join(held.select("th", F.col("id").alias("id_e")), "th").select("id_t", "id_e", "coverage")
-    asked = own.filter("split = 'train' and qk is not null").select("qk", F.col("id").alias("id_t"))
-    by_question = asked.join(held.filter("qk is not null").select("qk", F.col("id").alias("id_e")), "qk").select("id_t", "id_e", F.lit(None).cast("double").alias("coverage"))
-    return by_text.unionByName(by_question).groupBy("id_t", "id_e").agg(F.max("coverage").alias("coverage"))
+    spark = texts.sparkSession
+    train = texts.filter("train").select("th", "text")
+    blocks = probed(texts, shingle_counts(train))
+    whole = texts.filter("train and held")
+    out = whole.select(F.col("th").alias("tt"), F.col("th").alias("te"), F.lit(None).cast("array<int>").alias("begins"), F.lit(None).cast("array<int>").alias("ends"))
+    out = out.unionByName(whole.select(F.lit(None).cast("binary").alias("tt"), F.col("th").alias("te"), F.array(F.lit(0)).alias("begins"), F.array(F.length("text")).alias("ends")))
+    for k in range((blocks.agg(F.max("block")).first()[0] or 0) + 1):
+        part = blocks.filter(F.col("block") == k).select("th", "text", "places").toArrow()  # BLOCK_PROBES and BLOCK_CHARS, about
+        if not part.num_rows:
+            continue
+        shared = spark.sparkContext.broadcast((part["th"].to_pylist(), part["text"].to_pylist(), [np.asarray(p, dtype=np.int64) for p in part["places"].to_numpy()]))
+        found = written(train.mapInPandas(_scan(f"{spark.sparkContext.applicationId}-{shared._jbroadcast.id()}", shared), _NEAR))
+        shared.destroy()
+        out = out.unionByName(found)
+    return out
+
+
+# ---------------------------------------------------------------- pairs and coverage
+
+
+def text_pairs(near: DataFrame) -> DataFrame:
+    return near.filter("tt is not null").select("tt", "te").distinct()
+
+
+def coverage(near: DataFrame, texts: DataFrame) -> DataFrame:
+    """(te, coverage): share of each held-out text's characters in the union of its matched intervals."""
+    runs = near.filter("tt is null").select("te", F.explode(F.arrays_zip("begins", "ends")).alias("r")).select("te", "r.begins", "r.ends")
+    before = Window.partitionBy("te").orderBy("begins", "ends").rowsBetween(Window.unboundedPreceding, -1)
+    new = F.greatest(F.lit(0), F.col("ends") - F.greatest(F.col("begins"), F.coalesce(F.max("ends").over(before), F.lit(0))))
+    sums = runs.withColumn("new", new).groupBy("te").agg(F.sum("new").alias("chars"))
+    return sums.join(texts.filter("held").select(F.col("th").alias("te"), F.length("text").alias("n")), "te").select("te", (F.col("chars") / F.col("n")).alias("coverage"))
+
+
+def overlaps(rows: DataFrame) -> DataFrame:
+    """(id_t, id_e): training and evaluation records that overlap, each pair once."""
+    wide = normalised(rows)
+    own = sides(wide)
+    near = text_pairs(near_across(distinct_texts(wide)))
+    train, held = own.filter("split = 'train'"), own.filter(_held())
+    by_text = near.join(train.select(F.col("th").alias("tt"), F.col("id").alias("id_t")), "tt").join(held.select(F.col("th").alias("te"), F.col("id").alias("id_e")), "te").select("id_t", "id_e")
+    by_question = train.filter("qk is not null").select("qk", F.col("id").alias("id_t")).join(held.filter("qk is not null").select("qk", F.col("id").alias("id_e")), "qk").select("id_t", "id_e")
+    return by_text.unionByName(by_question).distinct()
 
 
 _COLUMNS = ("id", "split", "source", "text", "payload")
@@ -285,13 +307,19 @@ def report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """split, source, records, overlapping, near_pairs, question_pairs, mean_coverage: overlaps by evaluation split and source.
 
     source is spelled as in source_specs. near_pairs and question_pairs count training partners,
-    a pair of both kinds in both. Counted by text and question, without writing pairs down.
+    a pair of both kinds in both. mean_coverage averages the covered shares of the records with a
+    near training text. Counted by text and question, without writing pairs down.
     """
-    rows = samples(spark, sf_dir, *_COLUMNS)
-    own = sides(rows)
-    near = near_across(rows.select("id", "split", "text")).groupBy("th").agg(F.countDistinct("id_t").alias("n"), F.max("coverage").alias("c"))
-    asked = own.filter("split = 'train' and qk is not null").groupBy("qk").agg(F.count("*").alias("q"))
-    held = own.filter(F.col("split").isin("val", "test")).withColumn("source", source_key(F.col("source"))).join(near, "th", "left").join(asked, "qk", "left")
-    return held.groupBy("split", "source").agg(
-        F.count("*").alias("records"), F.count(F.coalesce("n", "q")).alias("overlapping"), F.coalesce(F.sum("n"), F.lit(0)).alias("near_pairs"), F.coalesce(F.sum("q"), F.lit(0)).alias("question_pairs"), F.round(F.avg("c"), 4).alias("mean_coverage")
+    wide = normalised(samples(spark, sf_dir, *_COLUMNS))
+    own = sides(wide)
+    texts = distinct_texts(wide)
+    near = near_across(texts)
+    train = own.filter("split = 'train'")
+    copies = train.filter("th is not null").groupBy(F.col("th").alias("tt")).agg(F.count("*").alias("n"))
+    partners = text_pairs(near).join(copies, "tt").groupBy(F.col("te").alias("th")).agg(F.sum("n").alias("n"))
+    asked = train.filter("qk is not null").groupBy("qk").agg(F.count("*").alias("q"))
+    held = own.filter(_held()).withColumn("source", source_key(F.col("source")))
+    all_ = held.join(partners, "th", "left").join(coverage(near, texts).withColumnRenamed("te", "th"), "th", "left").join(asked, "qk", "left")
+    return all_.groupBy("split", "source").agg(
+        F.count("*").alias("records"), F.count(F.coalesce("n", "q")).alias("overlapping"), F.coalesce(F.sum("n"), F.lit(0)).alias("near_pairs"), F.coalesce(F.sum("q"), F.lit(0)).alias("question_pairs"), F.round(F.avg("coverage"), 4).alias("mean_coverage")
     )

@@ -58,13 +58,12 @@ def test_near_texts_equal_brute_force(spark, folder, seed):
     assert len(got) == len(set(got)) and set(got) == across
 
 
-def test_edits_at_the_ends_and_between_passages(spark, folder):
+def test_edits_at_the_ends_and_inside_short_texts(spark, folder):
     rng, rows, want = random.Random(8), [], set()
     for k, n in enumerate([*range(12, 90, 3), 140, 200, 400]):
         t = "".join(rng.sample([chr(c) for c in range(0x4E00, 0x4E00 + 900)], n))
-        size, number = overlap.grid(n)
         edits = ["x" + t[1:], t[1:], t[2:], t[3:], t[:-1], t[1:-1], "yz" + t[2:], t[:-2] + "q"]
-        edits += [t[1 : size * m - 1] + t[size * m + 1 : -1] for m in range(1, number)]
+        edits += [t[1 : m - 1] + t[m + 1 : -1] for m in range(3, n - 2, 5)]
         rows.append(sample(f"e{k}", t, "val"))
         for j, e in enumerate(edits):
             rows.append(sample(f"t{k}-{j}", e, "train"))
@@ -73,10 +72,57 @@ def test_edits_at_the_ends_and_between_passages(spark, folder):
     assert {tuple(r) for r in overlap.found(spark, folder(samples=rows)).collect()} == want and len(want) > 200
 
 
-def test_as_many_passages_as_edits_need():
-    for n in range(15, 5_000):
-        size, number = overlap.grid(n)
-        assert size >= 5 and number >= overlap.probes(n)
+@pytest.mark.parametrize("seed", [1, 2])
+def test_short_and_repeating_texts_equal_brute_force(spark, folder, seed):
+    rng, rows, letters = random.Random(seed), [], "etaoinshrdlucm"
+    word = lambda n: "".join(rng.choice(letters) for _ in range(n))
+    for k in range(160):
+        if k % 2:
+            t = word(rng.randrange(20, 91))
+        else:  # units that the evaluation text repeats more often, each time edited
+            unit = word(rng.randrange(6, 40))
+            t = "".join(unit if rng.random() < 0.7 else unit[:3] + rng.choice(letters) + unit[4:] for _ in range(rng.randrange(2, 9)))
+        rows.append(sample(f"e{k}", t, rng.choice(["val", "test"])))
+        for j in range(6):
+            e = list(t)
+            e[rng.randrange(2)] = rng.choice(letters)
+            if j % 2:
+                e[-1 - rng.randrange(2)] = rng.choice(letters)
+            for _ in range(rng.randrange(1 + len(e) // 40)):
+                e[rng.randrange(len(e))] = rng.choice(letters)
+            e = "".join(e)
+            rows.append(sample(f"t{k}-{j}", e[: rng.randrange(len(e) // 2, len(e))] + e if j == 5 else e, "train"))
+    held, train = [r for r in rows if r[0][0] == "e"], [r for r in rows if r[0][0] == "t"]
+    want = {(a[0], b[0]) for a in held for b in train if near(a[5], b[5])}
+    assert {tuple(r) for r in overlap.found(spark, folder(samples=rows)).collect()} == want and len(want) > 150
+
+
+def test_several_blocks_and_small_arrays(spark, folder, monkeypatch):
+    rng = random.Random(3)
+    rows = [sample(f"i{k:03}", t, rng.choice(["train", "val"])) for k, t in enumerate(texts(150, 12))]
+    d = folder(samples=rows)
+    whole = {tuple(r) for r in overlap.found(spark, d).collect()}
+    monkeypatch.setattr(overlap, "BLOCK_PROBES", 300)
+    monkeypatch.setattr(overlap, "EXPANDED", 50)
+    assert {tuple(r) for r in overlap.found(spark, d).collect()} == whole and len(whole) > 10
+
+
+def test_probed_shingles_are_more_than_a_near_text_lacks():
+    for a in range(1, 5_000):
+        assert overlap.probes(a) - 1 == max(m for m in range(a) if 100 * (a - m) >= 85 * a)
+
+
+def test_coverage_is_the_union_of_all_training_texts(spark, folder):
+    letters = [chr(c) for c in range(0x4E00, 0x4E00 + 420)]  # no shingle stands twice
+    words = ["".join(letters[7 * k : 7 * k + 7]) for k in range(60)]
+    t = " ".join(words)
+    edit = lambda *at: " ".join("#####" if k in at else w for k, w in enumerate(words))
+    rows = [sample("e", t, "test"), sample("a", edit(5), "train"), sample("b", edit(40), "train"), sample("f", t + " more", "val")]
+    got = {r.split: r for r in overlap.report(spark, folder(samples=rows)).collect()}
+    assert got["test"].mean_coverage == 1 and got["test"].near_pairs == 2 and 0.98 < got["val"].mean_coverage < 1
+    got = {r.split: r for r in overlap.report(spark, folder(samples=rows[:2])).collect()}
+    lost = len(words[5])
+    assert lost == 7 and got["test"].mean_coverage == round(1 - 7 / len(squeezed(t)), 4)
 
 
 def test_edges_of_texts(spark, folder):
