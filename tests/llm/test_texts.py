@@ -231,6 +231,24 @@ def test_quality_of_a_collection(spark, folder):
     assert quality.found(spark, folder()).count() == 0
 
 
+def test_the_score_decides_and_the_border_moves_with_the_collection(spark):
+    rows = [(k, "en", "list", [0.0] * 8, [u, 0.0, 0.2]) for k, u in enumerate([0.0] * 300 + [0.4, 0.9, 0.999999, 1.0, 1.5] + [2.0] * 250)]
+    rows += [(2_000, "zh", "junk", [0.0] * 8, [0.0, 0.99, 0.0]), (2_001, "de", "junk", [0.0] * 8, [0.3, 3.0, 0.0]), (2_002, None, None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, pool string, kind string, v array<double>, u array<double>")
+    got = {r.doc_id: r.margin for r in quality.outliers(df).collect()}
+    assert set(got) == {*range(303, 555), 2_001} and got[303] == 0 and 0 < got[304] < got[305] == got[554]
+
+
+def test_hot_values_are_looked_up_as_others(spark, monkeypatch):
+    rows = [(k, "en", k % 3, float(k % 7 if k % 2 else 1)) for k in range(500)]
+    values = spark.createDataFrame(rows, "doc_id long, lang string, k int, v double")
+    own = quality.ranks(values.select("lang", "k", "v"))
+    want = sorted(tuple(r) for r in values.join(own, ["lang", "k", "v"]).select("doc_id", "k", "v", "upto").collect())
+    for hot in (1, 5, 4_000):
+        monkeypatch.setattr(quality, "HOT", hot)
+        assert sorted(tuple(r) for r in quality.looked_up(values, own).select("doc_id", "k", "v", "upto").collect()) == want
+
+
 @pytest.mark.parametrize("few", [30, 120])
 def test_frequent_lists_and_tables_are_found(spark, folder, few):
     cases = [(SHAPES[6][0], "list"), (SHAPES[12][0], "table")]
