@@ -6,6 +6,7 @@ the text, with the tag as a fallback, tasks by the source's own where they are m
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -18,17 +19,19 @@ from corpusmill.llm.bpe import TOKENIZERS, VOCABULARY, Counter, read_ranks
 from corpusmill.llm.language import detect
 from corpusmill.session import table
 
-_ready: dict[str, Counter] = {}
+#: Counters of a worker, by the vocabulary's bytes, as one name may stand for several files.
+_ready: dict[bytes, Counter] = {}
 
 
 def token_counter(spark: SparkSession, folder: str = TOKENIZERS, name: str = VOCABULARY):
     """A function that gives the counter on a worker; the file (under 1 MB) is broadcast."""
-    shared = spark.sparkContext.broadcast(read_ranks(folder, name))
+    data = read_ranks(folder, name)
+    shared, digest = spark.sparkContext.broadcast(data), hashlib.sha256(data).digest()
 
     def get() -> Counter:
-        if name not in _ready:
-            _ready[name] = Counter(shared.value)
-        return _ready[name]
+        if digest not in _ready:
+            _ready[digest] = Counter(shared.value)
+        return _ready[digest]
 
     return get
 

@@ -1,8 +1,8 @@
 """Problem 5: user turns without a proper answer, each with its type of defect.
 
 Copies are found by aligning prompt and answer: containment of character shingles first, then
-the longest common subsequence of tokens. Refusals are found by aligning the sentences of the
-answer with refusal templates of five languages. What is left is looked at for its language
+longest common subsequences of tokens. Refusals are found by aligning the sentences of the
+answer with refusal templates of five languages (align.py). What is left is looked at for its language
 and its ending.
 """
 
@@ -11,14 +11,13 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
-from collections import Counter
 from collections.abc import Iterator
-from difflib import SequenceMatcher
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusmill.llm.align import ALIKE, COMPANIONS, REFUSALS, common_length
 from corpusmill.llm.base import samples
 from corpusmill.llm.language import detect
 
@@ -29,24 +28,6 @@ CONTAINED, ALIGNED, LENGTH = 0.8, 0.8, 0.4
 #: Least share of an answer that its refusing sentences make up.
 REFUSING = 0.5
 
-#: What refusing sentences say, by language.
-REFUSALS = re.compile(
-    "|".join((
-        r"\b(?:i|we)(?:'m| am|'re| are)?(?: really| very| so| truly)?(?: sorry| afraid)?,? ?(?:but )?(?:i |we )?(?:can(?:not|'t| not)|could not|couldn't|won't|will not|must not|may not|shouldn't|am not able|'m not able|am unable|'m unable|are unable|do not feel comfortable|don't feel comfortable|refuse|decline|have to decline|must decline|would rather not|'d rather not|prefer not|have no way)\b",
-        r"\bi am not able to\b|\bmust decline\b|\bi must not\b|\bnot able to discuss\b|\bi'm not able\b",
-        r"\bno answer can be given\b|\bnot (?:a topic|something) (?:that )?i (?:can|am|will|may)\b|\bfalls outside (?:of )?what i\b|\bguidelines do not allow\b|\bnot allowed to (?:talk|speak|discuss|answer)\b|\bdo(?:n't| not) have enough access\b|\blet's change the subject\b",
-        r"\b(?:kann|darf|möchte|will|werde) ich (?:\w+ ){0,5}?(?:nicht|nichts|keine)\b|\bich (?:kann|darf|möchte|will|werde) (?:\w+ ){0,6}?(?:nicht|nichts|keine)\b|\bmuss ich (?:\w+ ){0,4}?ablehnen\b|\bich (?:lehne|muss) (?:\w+ ){0,5}?(?:ab|ablehnen)\b|\b(?:ist|war) mir (?:\w+ ){0,4}?nicht (?:möglich|erlaubt|gestattet)\b|\bmir ist es nicht (?:möglich|erlaubt|gestattet)\b|\bes tut mir leid, aber\b.*\bnicht\b|\bbin ich nicht (?:befugt|in der lage)\b",
-        r"\bje (?:ne |n')(?:peux|puis|suis|dois|veux|souhaite|saurais|répondrai|parlerai)\b|\bm'est (?:impossible|interdit)\b|\bje (?:préfère|préférerais) ne\b|\bje (?:dois |me vois obligé de )?(?:refuser|refuse|décline|décliner)\b|\bil m'est impossible\b|\bje n'ai pas le droit\b|\bne m'est pas permis\b",
-        r"\bno (?:puedo|podemos|debo|voy a|quiero|deseo|podré)\b|\bno me (?:está|es) (?:permitido|posible)\b|\b(?:prefiero|preferiría) no\b|\bme niego\b|\b(?:debo|tengo que) (?:rechazar|declinar)\b|\bme es imposible\b|\blo siento, pero\b.*\bno\b|\bno tengo permitido\b",
-        r"我(?:们)?(?:实在|暂时|目前)?(?:不能|无法|不便|没法|不会|不想|不愿|没有办法|拒绝)|恕我|恕不|(?:抱歉|对不起|很遗憾|不好意思)[，,]?(?:我|这|但|该|此)[^。]*(?:不能|无法|不便|超出|不予|没法)|无法(?:回答|提供|协助|处理|帮助)|不便(?:讨论|回答|透露)|(?:话题|问题)[^。]{0,8}不谈|超出了我的",
-    )),
-    re.I,
-)
-#: Sentences that go with a refusal without refusing themselves.
-COMPANIONS = re.compile(
-    r"^(?:i hope you understand|please (?:contact|ask|consult|try)|is there anything else|i'm sorry|i am sorry|sorry|es tut mir leid|bitte (?:frag|wende)|frag bitte|je suis désolé|désolé|lo siento|disculpa|抱歉|对不起|很遗憾|请谅解|建议|换个问题)",
-    re.I,
-)
 _ASKED = {
     "zh": r"chinese|chinesisch|chinois|\bchino\b|中文|汉语|普通话",
     "en": r"english|englisch|anglais|ingl[eé]s|英文|英语",
@@ -76,23 +57,34 @@ def is_empty(answer: str | None) -> bool:
 
 def is_refusal(answer: str) -> bool:
     """Whether sentences that align with refusal templates make up most of the answer."""
-    text = unicodedata.normalize("NFKC", readable(answer)).replace("’", "'").strip()
     whole = refusing = 0
     before = False
-    for sentence in re.split(r"(?<=[.!?。！？])\s*|\n+", text):
-        if s := sentence.strip():
-            whole += len(s)
-            before = bool(REFUSALS.search(s)) or (before and bool(COMPANIONS.search(s)))
-            refusing += len(s) * before
+    for s in sentences(readable(answer)):
+        whole += len(s)
+        before = REFUSALS.score(s) >= ALIKE or (before and COMPANIONS.score(s) >= ALIKE)
+        refusing += len(s) * before
     return whole > 0 and refusing >= REFUSING * whole
 
 
+def sentences(text: str) -> list[str]:
+    parts = re.split(r"(?<=[.!?。！？])\s*|\n+", unicodedata.normalize("NFKC", text).strip())
+    return [s for p in parts if (s := p.strip())]
+
+
 def _squeeze(text: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFKC", text).casefold() if c.isalnum())
 
 
+def _tokens(text: str) -> list[str]:
+    return _TOKEN.findall(unicodedata.normalize("NFKC", text).casefold())
+
+
 def is_copy(prompt: str, answer: str) -> bool:
-    """Whether the answer is made of the prompt: shingle containment, then common subsequence."""
+    """Whether the answer is made of the prompt: shingle containment, then common subsequences.
+
+    Each sentence of the answer is aligned with the whole prompt, so sentences that changed
+    places, or come several times, still are the prompt's.
+    """
     q, a = _squeeze(prompt), _squeeze(readable(answer))
     if not q or not a or len(a) < LENGTH * len(q):
         return False
@@ -103,17 +95,12 @@ def is_copy(prompt: str, answer: str) -> bool:
     theirs, each = set(of(q)), of(a)
     inside = lambda c: sum(g in theirs for g in c) / max(1, len(c))
     # in an answer longer than the prompt every place counts: repeats that each have another edit
-    contained = max(inside(set(each)), inside(each) if len(a) > len(q) else 0.0)
-    if not each or contained < CONTAINED:
+    if not each or max(inside(set(each)), inside(each) if len(a) > len(q) else 0.0) < CONTAINED:
         return False
-    x, y = _TOKEN.findall(unicodedata.normalize("NFKC", answer).casefold()), _TOKEN.findall(unicodedata.normalize("NFKC", prompt).casefold())
-    # a prompt given back several times is aligned in runs of its own length, each of which lies in two prompts on end
-    n = max(1, len(y))
-    runs, wide = ([x], y) if len(x) <= n else ([x[i : i + n] for i in range(0, len(x), n)], y + y)
-    common = sum(m.size for run in runs for m in SequenceMatcher(None, run, wide, autojunk=False).get_matching_blocks())
-    # sentences may have changed places: then nearly all tokens are the prompt's, in another order
-    times = Counter({t: c * len(runs) for t, c in Counter(y).items()})
-    return common >= ALIGNED * len(x) or contained >= 0.9 or sum((Counter(x) & times).values()) >= 0.95 * len(x)
+    y = _tokens(prompt)
+    own = [_tokens(s) for s in sentences(readable(answer))]
+    # an edit may have moved the ends of sentences: then a piece is aligned with the prompt twice on end
+    return sum(common_length(x, y if len(x) <= len(y) else y * (1 + len(x) // max(1, len(y)))) for x in own) >= ALIGNED * sum(map(len, own))
 
 
 def other_language(prompt: str, answer: str) -> bool:

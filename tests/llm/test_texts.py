@@ -7,7 +7,7 @@ import random
 import pytest
 import tiktoken
 
-from corpusmill.llm import mixing, packing, quality, tokens, turns
+from corpusmill.llm import align, mixing, packing, quality, sizes, tokens, turns
 from corpusmill.llm.bpe import PATTERN, TOKENIZERS, Counter, read_ranks
 from corpusmill.llm.shape import Shape
 
@@ -37,6 +37,15 @@ def test_budget_totals(spark, folder):
     assert tokens.budget(spark, folder()).filter("records > 0").count() == 0
 
 
+def test_files_of_one_name_are_told_apart(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "the mill", "the mill")], "doc_id long, text string, t string").select("doc_id", "text")
+    data = read_ranks(TOKENIZERS, "byte_bpe_50k.tiktoken")
+    few = b"\n".join(line for line in data.splitlines() if len(base64.b64decode(line.split()[0])) == 1)
+    (tmp_path / "byte_bpe_50k.tiktoken").write_bytes(few)
+    own = rows.select("doc_id", "text")
+    assert [sizes.token_sizes(own, "", f, "byte_bpe_50k.tiktoken").first().tokens for f in (TOKENIZERS, str(tmp_path))] == [2, 8]
+
+
 ASK = "The old mill stands near the river. What is the role of the wheel in it?"
 CASES = [
     ("", "empty_answer"), (None, "empty_answer"), ("<think>The wheel is old and it turns.</think>\n", "empty_answer"), ("**\n**", "empty_answer"), ("…", "empty_answer"),
@@ -54,6 +63,35 @@ def test_defects(answer, want):
     assert turns.defect(ASK, answer) == want
 
 
+def test_common_subsequences_equal_the_table():
+    rng = random.Random(5)
+    for _ in range(200):
+        x, y = ([rng.choice("abcdef") for _ in range(rng.randrange(90))] for _ in "xy")
+        row = [0] * (len(y) + 1)
+        for t in x:
+            last = row[:]
+            for j, u in enumerate(y):
+                row[j + 1] = last[j] + 1 if t == u else max(last[j + 1], row[j])
+        assert align.common_length(x, y) == row[-1]
+    assert align.common_length(["a"] * 5_000, ["a", "b"] * 3_000) == 3_000
+
+
+def test_templates_take_gaps_but_not_other_orders():
+    t = align.Templates(["i|we cannot help|answer", "无法 回答"])
+    assert t.score("We really cannot, sadly, answer that") > 0.9 and t.score("I cannot for any reason of this wide and old world help") < align.ALIKE
+    assert t.score("help cannot i") < align.ALIKE and t.score("我无法为您回答") > 0.9 and t.score("") == 0
+
+
+@pytest.mark.parametrize("text", ["We cannot breathe under water because lungs need air.", "No, I will not be closed on Monday.", "The wheel cannot turn without water. I have seen it.", "Je ne suis pas grand.", "Ich kann das Rad nicht sehen.", "No puedo ver la rueda desde aquí.", "水太冷，鱼不能游泳。", "You must not touch the wheel while it turns."])
+def test_sentences_that_do_not_refuse(text):
+    assert turns.defect(ASK, text) != "refusal"
+
+
+@pytest.mark.parametrize("text", ["Sorry, but we can't really provide that.", "I would prefer not to discuss it.", "I must respectfully decline.", "Dazu kann ich Ihnen leider keine Auskunft geben.", "Ich möchte darüber lieber nicht sprechen.", "Je ne peux malheureusement pas vous aider.", "Lamento decirte que no podemos responder.", "抱歉，我暂时无法为您提供这方面的信息。"])
+def test_refusals_of_other_wordings(text):
+    assert turns.defect(ASK, text) == "refusal" and turns.defect(ASK, text * 40) == "refusal"
+
+
 @pytest.mark.parametrize("times", [2, 3, 7])
 def test_prompts_given_back_several_times(times):
     ask = "Which of the old wheels in the valley still turns with the water of the river?"
