@@ -18,21 +18,21 @@ def rgb_identity(width: Column, height: Column, pixels: Column) -> Column:
     return F.sha2(F.concat(F.concat(width.cast("string"), F.lit("x"), height.cast("string"), F.lit(":")).cast("binary"), pixels), 256)
 
 
-def _basis() -> np.ndarray:
-    k, n = np.arange(LOW)[:, None], np.arange(SIDE)[None, :]
-    return np.cos(np.pi * k * (2 * n + 1) / (2 * SIDE))
+def _low_terms() -> np.ndarray:
+    """One row a low term of the two-dimensional cosine transform, over the pixels of a picture."""
+    wave = np.cos(np.pi * np.outer(np.arange(LOW), np.arange(SIDE) + 0.5) / SIDE)
+    return np.einsum("ux,vy->uvxy", wave, wave).reshape(LOW * LOW, SIDE * SIDE)
 
 
-def luma_hash(luma: np.ndarray) -> int:
-    """64-bit perceptual hash of a 32 x 32 luma: the 8 x 8 low cosine terms above their median.
+def luma_hashes(lumas: np.ndarray) -> np.ndarray:
+    """64-bit perceptual hashes of pictures, a row of 1,024 luma values each.
 
-    The constant term takes no part in the median; the first term is the highest bit.
+    A bit is set where a low cosine term lies above the median of all but the constant one; the
+    first term is the highest bit.
     """
-    basis = _basis()
-    low = basis @ np.asarray(luma, dtype=np.float64).reshape(SIDE, SIDE) @ basis.T
-    terms = low.ravel()
-    bits = terms > np.median(terms[1:])
-    return int.from_bytes(np.packbits(bits).tobytes(), "big")
+    terms = np.asarray(lumas, dtype=np.float64).reshape(-1, SIDE * SIDE) @ _low_terms().T
+    above = terms > np.median(terms[:, 1:], axis=1, keepdims=True)
+    return (above.astype(np.uint64) << np.arange(63, -1, -1, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
 
 
 def perceptual_hash(luma: Column) -> Column:
@@ -40,8 +40,10 @@ def perceptual_hash(luma: Column) -> Column:
 
     @F.pandas_udf("string")
     def on(s: pd.Series) -> pd.Series:
-        return pd.Series([f"{luma_hash(x):016x}" if x is not None and len(x) == SIDE * SIDE else None for x in s], dtype=object)
+        out = pd.Series([None] * len(s), index=s.index, dtype=object)
+        whole = s[[x is not None and len(x) == SIDE * SIDE for x in s]]
+        if len(whole):
+            out[whole.index] = [f"{h:016x}" for h in luma_hashes(np.stack(whole.to_numpy())).tolist()]
+        return out
 
     return on(luma)
-
-

@@ -7,6 +7,8 @@ independent set of a conflict graph, found in rounds over DataFrames.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
+from itertools import combinations, pairwise
 
 import numpy as np
 import pandas as pd
@@ -55,27 +57,32 @@ def code_identity(text: Column) -> Column:
 # ---------------------------------------------------------------- sim hashes
 
 
+def _votes(values: np.ndarray, owner: np.ndarray, texts: int) -> np.ndarray:
+    """64-bit sim hash of each text from the hashes of its shingles: every bit by majority, ties give 1."""
+    whole, out = np.bincount(owner, minlength=texts), np.zeros(texts, dtype=np.uint64)
+    for bit in range(64):
+        ones = np.bincount(owner[values >> np.uint64(bit) & np.uint64(1) == 1], minlength=texts)
+        out |= (2 * ones >= whole).astype(np.uint64) << np.uint64(bit)
+    return out
+
+
 def sim_hash(texts: Column) -> Column:
     """64-bit sim hash of a text's shingles as BIGINT; ties give 1, the first bit is the highest.
 
-    Shingles are hashed by BLAKE2b, as stored sim hashes are.
+    Shingles are hashed by BLAKE2b, as stored sim hashes are; a batch is counted bit by bit.
     """
-    import hashlib
 
     @F.pandas_udf("long")
     def on(s: pd.Series) -> pd.Series:
-        out = []
-        for t in s:
-            if t is None:
-                out.append(None)
-                continue
-            c = py_squeezed(t)
-            grams = {c[i : i + WIDTH] for i in range(max(1, len(c) - WIDTH + 1))}
-            data = b"".join(hashlib.blake2b(g.encode("utf-8", "surrogatepass"), digest_size=8).digest() for g in grams)
-            bits = np.unpackbits(np.frombuffer(data, dtype=np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-            value = int.from_bytes(np.packbits(bits * 2 >= len(grams)).tobytes(), "big")
-            out.append(value - (1 << 64) if value >> 63 else value)
-        return pd.Series(out, dtype="Int64")
+        given = [(i, py_squeezed(t)) for i, t in enumerate(s) if t is not None]
+        out = pd.Series([None] * len(s), dtype="Int64")
+        for k in range(0, len(given), 500):
+            part = given[k : k + 500]
+            each = [{c[i : i + WIDTH] for i in range(max(1, len(c) - WIDTH + 1))} for _, c in part]
+            data = b"".join(blake2b(g.encode("utf-8", "surrogatepass"), digest_size=8).digest() for own in each for g in own)
+            votes = _votes(np.frombuffer(data, dtype=">u8").astype(np.uint64), np.repeat(np.arange(len(part)), [len(x) for x in each]), len(part))
+            out.iloc[[i for i, _ in part]] = votes.view(np.int64)
+        return out
 
     return on(texts)
 
@@ -87,26 +94,39 @@ def parsed_sim_hash(c: Column) -> Column:
     return F.when(plain.rlike("^[0-9a-f]{16}$"), value)
 
 
-def bands(value: Column, layout: list[tuple[int, int]]) -> Column:
-    """array<struct(band, value)> of a 64-bit value, by (offset, width) from the lowest bit."""
-    cut = lambda o, w: F.shiftrightunsigned(value, o).bitwiseAND(F.lit((1 << w) - 1)).cast("int")
-    return F.array(*[F.struct(F.lit(i).alias("band"), cut(o, w).alias("value")) for i, (o, w) in enumerate(layout)])
-
-
+#: Bits (offset, width) of the bands that stored tables hold.
 TEXT_BANDS = [(0, 16), (16, 16), (32, 16), (48, 16)]
 PICTURE_BANDS = [(0, 10), (10, 9), (19, 9), (28, 9), (37, 9), (46, 9), (55, 9)]
 
 
+def band_masks(total: int, layout: list[tuple[int, int]], radius: int) -> list[int]:
+    """Masks of bits of which two values within the radius agree in at least one, the cheapest for `total` values.
+
+    With m bands they agree in m - radius of them, so every choice of that many bands is a mask:
+    few short masks for small tables, more and longer ones where buckets would grow too full.
+    """
+    plans = [[((1 << w) - 1) << o for o, w in layout]]
+    for same in (2, 3, 4):
+        m = radius + same
+        edges = [64 * i // m for i in range(m + 1)]
+        own = [((1 << (b - a)) - 1) << a for a, b in pairwise(edges)]
+        plans.append([sum(some) for some in combinations(own, same)])
+    return min(plans, key=lambda masks: sum(1 + 0.5 * total / 2 ** x.bit_count() for x in masks))
+
+
 def band_pairs(rows: DataFrame, key: str, value: str, layout: list[tuple[int, int]], radius: int) -> DataFrame:
     """(a, b), a < b: rows whose 64-bit values differ in at most radius bits, radius < bands.
 
-    Lossless, since some band must agree. Equal values are one class while bands are compared.
+    Lossless, since some band must agree; see band_masks. Equal values are one class while bands
+    are compared.
     """
     if radius >= len(layout):
         raise ValueError("needs more bands than differing bits")
     own = rows.select(F.col(key).alias("k"), F.col(value).alias("v")).dropna().distinct()
-    values = own.select("v").distinct()
-    wide = values.select("v", F.explode(bands(F.col("v"), layout)).alias("b")).select("v", "b.band", "b.value")
+    values = written(own.select("v").distinct())
+    masks = [m - (1 << 64) if m >> 63 else m for m in band_masks(values.count(), layout, radius)]
+    each = F.array(*[F.struct(F.lit(i).alias("band"), F.col("v").bitwiseAND(F.lit(m)).alias("value")) for i, m in enumerate(masks)])
+    wide = values.select("v", F.explode(each).alias("b")).select("v", "b.band", "b.value")
     other = wide.select(F.col("v").alias("u"), "band", "value")
     near = wide.join(other, ["band", "value"]).filter((F.col("v") < F.col("u")) & (F.bit_count(F.col("v").bitwiseXOR(F.col("u"))) <= radius)).select("v", "u").distinct()
     x, y = own.select(F.col("k").alias("x"), "v"), own.select(F.col("k").alias("y"), F.col("v").alias("u"))
@@ -147,14 +167,19 @@ def admitted(rows: DataFrame, conflicts: DataFrame, cap: int = 3) -> DataFrame:
     """
     base = written(rows.select("node", F.when(F.coalesce("question", F.lit("")) != "", F.col("question")).alias("q")).withColumn("s", F.lit(None).cast("boolean")))
     edges = written(conflicts.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct())
-    w = Window.partitionBy("q").orderBy("node").rowsBetween(Window.unboundedPreceding, -1)
+    w = Window.partitionBy("q").orderBy("node")
+
+    def nth(rows: DataFrame, name: str) -> DataFrame:
+        """The `cap`-th node of every question; Spark keeps `cap` rows a question and task before the shuffle."""
+        return rows.filter("q is not null").select("q", "node", F.row_number().over(w).alias("_n")).filter(F.col("_n") <= cap).filter(F.col("_n") == cap).select("q", F.col("node").alias(name))
+
     for _ in range(MAX_ROUNDS):
         seen = edges.join(base.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").groupBy(F.col("b").alias("node")).agg(F.bool_or(F.coalesce("sa", F.lit(False))).alias("hit"), F.bool_and(F.coalesce(~F.col("sa"), F.lit(False))).alias("free"))
-        kept, open_ = F.when(F.coalesce("s", F.lit(False)), 1).otherwise(0), F.when(F.coalesce("s", F.lit(True)), 1).otherwise(0)
-        asked = base.filter("q is not null").select("node", F.coalesce(F.sum(kept).over(w), F.lit(0)).alias("k"), F.coalesce(F.sum(open_).over(w), F.lit(0)).alias("o"))
-        j = base.join(seen, "node", "left").join(asked, "node", "left")
-        out = F.coalesce("hit", F.lit(False)) | F.coalesce(F.col("k") >= cap, F.lit(False))
-        stay = F.coalesce("free", F.lit(True)) & F.coalesce(F.col("o") < cap, F.lit(True))
+        full, tight = nth(base.filter("s"), "full"), nth(base.filter("s is null or s"), "tight")
+        j = base.join(seen, "node", "left").join(full, "q", "left").join(tight, "q", "left")
+        # behind the cap-th kept record; not behind the cap-th that is kept or open
+        out = F.coalesce("hit", F.lit(False)) | F.coalesce(F.col("node") > F.col("full"), F.lit(False))
+        stay = F.coalesce("free", F.lit(True)) & F.coalesce(F.col("node") <= F.col("tight"), F.lit(True))
         new = written(j.select("node", "q", F.coalesce("s", F.when(out, False).when(stay, True)).alias("s")))
         forget(base)
         base = new
@@ -180,10 +205,12 @@ def exact_similar(sets: DataFrame, num: int = 85, den: int = 100, probe: Column
     ordered = written(ranked.join(base.select("id", "p"), "id").select("id", "p", F.transform("r", lambda x: x["t"]).alias("tokens"), F.size("r").alias("n")))
     prefix = F.col("n") - F.ceil(F.col("n") * num / den) + 1
     keyed = ordered.select("id", "p", "n", F.explode(F.slice("tokens", F.lit(1), prefix.cast("int"))).alias("t"))
-    a = keyed.select("t", F.col("id").alias("a"), F.col("n").alias("na"), F.col("p").alias("pa"))
-    b = keyed.select("t", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("p").alias("pb"))
-    fits = (F.col("na") * den >= F.col("nb") * num) & (F.col("nb") * den >= F.col("na") * num)
-    cand = a.join(b, "t").filter((F.col("a") < F.col("b")) & fits & (F.col("pa") | F.col("pb"))).select("a", "b").distinct()
+    own = keyed if probe is None else keyed.filter("p")  # rows that ask; all rows answer
+    a = own.select("t", F.col("id").alias("x"), F.col("n").alias("nx"))
+    b = keyed.select("t", F.col("id").alias("y"), F.col("n").alias("ny"))
+    fits = (F.col("nx") * den >= F.col("ny") * num) & (F.col("ny") * den >= F.col("nx") * num)
+    once = F.col("x") < F.col("y") if probe is None else F.col("x") != F.col("y")
+    cand = a.join(b, "t").filter(once & fits).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     left = ordered.select(F.col("id").alias("a"), F.col("tokens").alias("ta"))
     right = ordered.select(F.col("id").alias("b"), F.col("tokens").alias("tb"))
     over = cand.join(left, "a").join(right, "b").select("a", "b", F.size(F.array_intersect("ta", "tb")).alias("overlap"), (F.size("ta") + F.size("tb")).alias("s"))

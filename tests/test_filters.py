@@ -71,11 +71,29 @@ def test_overlay_and_delta(spark):
     assert only(base, base.unionByName(base.limit(1))) == {"left": 0, "right": 1}
 
 
-def test_verifiers():
-    q = {"kind": "quantity", "value": 1.5, "unit": "km", "unit_factors": {"m": 1, "km": 1000}}
-    assert verify.score('{"value": 1500, "unit": "m"}', q) == 1 and verify.score('{"value": true, "unit": "m"}', q) == 0 and verify.score("1.5 km", q) == 0
-    box = {"kind": "box", "expected": [0, 0, 1, 1], "max_coordinate_error": 0.1}
-    assert verify.score("[0, 0, 1, 0.95]", box) == 1 and verify.score("[1, 0, 0, 1]", box) == 0 and verify.score(None, box) == 0
+def test_verifiers(spark):
+    q = '{"kind": "quantity", "value": 1.5, "unit": "km", "unit_factors": {"m": 1, "km": 1000}}'
+    near = '{"kind": "quantity", "value": 2, "unit": "m", "unit_factors": {"m": 1}, "relative_tolerance": 0.1}'
+    b = '{"kind": "box", "expected": [0, 0, 1, 1], "max_coordinate_error": 0.1}'
+    j = '{"kind": "json", "expected": {"a": [1, 2.5], "b": null}}'
+    cases = [
+        ('{"value": 1500, "unit": "m"}', q, 1), ('{"unit": "m", "value": 1500.0}', q, 1), ('{"value": true, "unit": "m"}', q, 0), ('{"value": "1500", "unit": "m"}', q, 0), ("1.5 km", q, 0), ('{"value": 1.5, "unit": "mile"}', q, 0), ('{"value": 1500, "unit": "m", "x": 1}', q, 0), (None, q, 0),
+        ('{"value": 2.1, "unit": "m"}', near, 1), ('{"value": 2.3, "unit": "m"}', near, 0),
+        ("[0, 0, 1, 0.95]", b, 1), ("[1, 0, 0, 1]", b, 0), ("[0, 0, 1]", b, 0), ("[0, 0, 1, 1.01]", b, 0), ('[0, 0, 1, "1"]', b, 0), (None, b, 0), ("[]", b, 0),
+        ('{"b": null, "a": [1.0, 2.5]}', j, 1), ('{"a": [1, 2.5]}', j, 0), ("{", j, 0),
+    ]
+    got = [r.s for r in spark.createDataFrame(cases, "t string, spec string, want int").select(verify.structured(F.col("t"), F.col("spec")).alias("s")).collect()]
+    assert got == [w for _, _, w in cases]
+
+
+def test_headers_and_grants(spark):
+    mit = "Copyright 2020 A\nPermission is hereby granted, free of charge, to deal in the Software without restriction\nthe above copyright notice and this permission notice shall be included. The software is provided as is"
+    bsd = "Copyright\n* Redistribution and use in source and binary forms\n Redistributions of source code\nRedistributions in binary form\nThis software is provided as is"
+    note = lambda t: "".join(f"# {x}\n" for x in t.split("\n"))
+    rows = [(note(mit) + "import os\nclass A: pass", "mit", None), (f'"""{mit}"""\ndef f(): pass', "mit", None), ("x = 1\n" + note(mit) + "def f(): pass", "mit", "missing_or_conflicting_file_grant"), (note(mit) + "# SPDX-License-Identifier: GPL-3.0\ndef f(): pass", "mit", "conflicting_spdx_header"), (note(mit) + "# SPDX-License-Identifier: MIT\ndef f(): pass", "mit", None), (note(mit + " non-commercial") + "def f(): pass", "mit", "missing_or_conflicting_file_grant"), (note(bsd) + "def f(): pass", "bsd-2-clause", None), (note(bsd) + "def f(): pass", "bsd-3-clause", "no_matching_in_file_license"), (note(bsd + " neither the name") + "def f(): pass", "bsd-3-clause", None)]
+    df = spark.createDataFrame(rows, "t string, l string, want string").withColumn("s", filters.python_shape(F.col("t")))
+    assert all(r.s.reason is None and r.s.ast_sha256 for r in df.collect())
+    assert [r.r for r in df.select(filters.license_grant(F.col("s.header"), F.col("l")).alias("r")).collect()] == [w for _, _, w in rows]
 
 
 def test_schedules():
