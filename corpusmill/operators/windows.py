@@ -5,6 +5,8 @@ Global running sums go by range partitions with offsets, so that no task holds a
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,18 +17,23 @@ from corpusmill.session import written
 def running(rows: DataFrame, value: str, order: list[str], keys: list[str] | None = None, name: str = "cum") -> DataFrame:
     """rows with the running sum of value up to and including each row, in the order given.
 
-    Without keys the sum runs over all rows: they are sorted by range partitions, and every
-    partition adds the total of those before it. Null values count as 0.
+    The sum runs over all rows, or within each of the keys. Rows are sorted by range partitions,
+    and every partition adds the totals of those before it, so a key that a third of the rows
+    share is spread over many tasks. Null values count as 0; a null key is a key.
     """
-    if keys:
-        w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-        return rows.withColumn(name, F.sum(F.coalesce(F.col(value), F.lit(0))).over(w))
+    keys = keys or []
+    v = F.coalesce(F.col(value), F.lit(0))
     # written, since partition numbers must not change between the two passes
-    part = written(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
-    sums = part.groupBy("_part").agg(F.sum(F.coalesce(F.col(value), F.lit(0))).alias("_s"))
-    before = sums.withColumn("_before", F.sum("_s").over(Window.orderBy("_part")) - F.col("_s")).select("_part", "_before")  # a row a partition
-    w = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return part.withColumn("_own", F.sum(F.coalesce(F.col(value), F.lit(0))).over(w)).join(before, "_part").withColumn(name, F.col("_own") + F.col("_before")).drop("_own", "_before", "_part")
+    part = written(rows.repartitionByRange(*keys, *order).withColumn("_part", F.spark_partition_id()))
+    sums = part.groupBy(*keys, "_part").agg(F.sum(v).alias("_s"))  # a row a partition and key in it
+    earlier = Window.partitionBy(*keys).orderBy("_part") if keys else Window.orderBy("_part")
+    before = sums.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_part").alias("_p"), (F.sum("_s").over(earlier) - F.col("_s")).alias("_before"))
+    same = part["_part"] == before["_p"]
+    for i, k in enumerate(keys):
+        same = same & part[k].eqNullSafe(before[f"_k{i}"])
+    w = Window.partitionBy("_part", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    own = part.withColumn("_own", F.sum(v).over(w))
+    return own.join(before, same).withColumn(name, F.col("_own") + F.col("_before")).select(*rows.columns, name)
 
 
 def numbered(rows: DataFrame, order: list[str], name: str = "n") -> DataFrame:
@@ -170,23 +177,41 @@ def identity_quota(rows: DataFrame, keys: list[str], order: str, count: str, fla
     return folded(rows.select(*names), keys, step, schema)
 
 
-def media_mixture(pools: dict[str, list[tuple[int, int, int]]], goals: dict[str, int], budget: int, steps: int) -> list[tuple[str, int]]:
-    """(pool, index) served in turn: media kinds behind the text's progress first, text otherwise.
+def media_mixture(rows: DataFrame, goals: dict[str, int], budget: int, order: list[str], kind: str = "kind", tokens: str = "tokens", items: str = "items") -> DataFrame:
+    """rows with `epoch`, `due` and `position`: kinds of media spread evenly over the tokens of a run.
 
-    pools: kind -> (tokens, images, videos) of its rows, served in a circle. A sampler's state
-    is a few numbers, so this runs where the sampler runs.
+    rows: a kind, tokens, and the number of pictures or clips of that kind; goals: kind -> items
+    wanted by the end of the budget. A row is due at the share of its kind that is served before
+    it: items against the goal, and for kinds without a goal tokens against what the budget
+    leaves them together. Rows are served as they are due, media before text, in `order`; a kind
+    that ends too early starts again. The place of a row is a rank, so no sampler has to be run.
+    """
+    goals = {k: g for k, g in goals.items() if g > 0}
+    goal = F.create_map(*[x for k, g in goals.items() for x in (F.lit(k), F.lit(float(g)))]) if goals else F.lit(None).cast("map<string,double>")
+    lane = rows.withColumn("_goal", F.try_element_at(goal, F.col(kind))).withColumn("_lane", F.when(F.col("_goal").isNotNull(), F.col(kind)).otherwise(""))
+    lane = lane.withColumn("_v", F.when(F.col("_goal").isNotNull(), F.col(items)).otherwise(F.col(tokens)))
+    held = {r["_lane"]: (r.v or 0, r.t or 0) for r in lane.groupBy("_lane").agg(F.sum("_v").alias("v"), F.sum(tokens).alias("t")).collect()}  # a row a kind
+    media = sum(t * goals[k] / v for k, (v, t) in held.items() if k and v)
+    wanted = {k: goals.get(k, max(0, budget - media)) for k, (v, _) in held.items() if v}
+    plan = rows.sparkSession.createDataFrame([(k, float(w), float(held[k][0]), math.ceil(w / held[k][0])) for k, w in wanted.items() if w > 0], "_lane string, _wanted double, _held double, _epochs int")
+    own = running(lane, "_v", ["_lane", *order], ["_lane"], "_cum").join(F.broadcast(plan), "_lane")
+    each = own.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("_epochs") - 1)))
+    due = each.withColumn("due", (F.col("epoch") * F.col("_held") + F.col("_cum") - F.col("_v")) / F.col("_wanted")).filter("due < 1")
+    placed = numbered(due.withColumn("_last", F.col("_lane") == ""), ["due", "_last", "_lane", "epoch", *order], "position")
+    return placed.select(*rows.columns, "epoch", "due", "position")
+
+
+def resumed_windows(rows: DataFrame, proportions: dict[str, float], order: list[str], length: int, start: int, count: int, domain: str = "domain", size: str = "tokens") -> DataFrame:
+    """The `count` windows from `start` on of a mixture of documents cut into windows, with `window` and `position`.
+
+    Documents are cut every `length` tokens, the domain furthest behind its share serves its next
+    window, so a sampler that stopped inside a document goes on with the window after.
     """
-    at, seen, total, out = dict.fromkeys(pools, 0), {"image": 0, "video": 0}, 0, []
-    for _ in range(steps):
-        late = [k for k in goals if goals[k] and k in pools and seen[k] / goals[k] < min(1, total / budget)]
-        rank = lambda k: seen.get(k, 0) / max(1, goals.get(k, 0))
-        kind = min(late, key=rank) if late else "text" if "text" in pools else min(pools, key=rank)
-        i = at[kind] % len(pools[kind])
-        at[kind] += 1
-        tokens, images, videos = pools[kind][i]
-        total, seen["image"], seen["video"] = total + tokens, seen["image"] + images, seen["video"] + videos
-        out.append((kind, i))
-    return out
+    n = F.ceil(F.col(size) / length).cast("int")
+    cut = rows.filter(F.col(size) > 0).withColumn("window", F.explode(F.sequence(F.lit(0), n - 1)))
+    cut = cut.withColumn("begin", F.col("window") * length).withColumn("served_tokens", F.least(F.lit(length), F.col(size) - F.col("begin")))
+    placed = mixture_order(cut, proportions, [*order, "window"], domain, "served_tokens")
+    return placed.filter(F.col("position").between(start, start + count - 1)).select(*rows.columns, "window", "begin", "served_tokens", "position")
 
 
 # ---------------------------------------------------------------- sampling

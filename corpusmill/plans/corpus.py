@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from corpusmill.functions import chat, expr
 from corpusmill.functions.labels import language_key, source_key
 from corpusmill.operators import decontam, dedup, filters, reports, splits, views
+from corpusmill.operators.graph import star_edges
 from corpusmill.plans.registry import query
 from corpusmill.session import table, written
+from corpusmill.sources import readers
 
 LETTERS = r"length(regexp_replace(text, '[^\p{L}]', '', 'g'))"
 HAN = "length(regexp_replace(text, '[^㐀-鿿]', '', 'g'))"
@@ -189,6 +191,20 @@ def _(spark, d):
     return dedup.exact_similar(rows, probe=F.coalesce(F.col("split").isin("val", "test"), F.lit(False))).select("a", "b", F.col("overlap").cast("long"), F.col("united").cast("long"))
 
 
+@query("shingle_pairs", "D2 D7 J13")
+def _(spark, d):
+    sets = dedup.shingle_table(_records(spark, d, "id", "text"), "id", "text")
+    return dedup.exact_similar(sets).select("a", "b", F.col("overlap").cast("long"), F.col("united").cast("long"))
+
+
+@query("shingle_holdout_audit", "D8 D9 X7")
+def _(spark, d):
+    rows = _records(spark, d, "id", "split", "text")
+    held = rows.filter("split in ('val', 'test')").select("id", F.lit(True).alias("held"))
+    sets = dedup.shingle_table(rows, "id", "text").join(held, "id", "left")
+    return dedup.exact_similar(sets, probe=F.coalesce("held", F.lit(False))).select("a", "b", F.col("overlap").cast("long"), F.col("united").cast("long"))
+
+
 @query("admission_order", "D4 D5 D6")
 def _(spark, d):
     rows = _records(spark, d, "id", "first_question", "simhash")
@@ -215,7 +231,7 @@ def _(spark, d):
     return rows.filter("split = 'train'").select("fp").intersect(rows.filter("split in ('val', 'test')").select("fp"))
 
 
-@query("prompt_uniqueness", "D16")
+@query("prompt_uniqueness", "D16", f"WITH r AS ({RECORDS}) SELECT id AS node, id = min(id) OVER (PARTITION BY first_question) AS kept FROM r WHERE first_question <> ''")
 def _(spark, d):
     rows = _records(spark, d, "id", "first_question").filter("first_question <> ''")
     least = rows.groupBy("first_question").agg(F.min("id").alias("b"))
@@ -247,23 +263,17 @@ def _(spark, d):
     return reports.slice_counts(rows, ["source", "split"])
 
 
-CC = """WITH RECURSIVE e AS (SELECT DISTINCT a.id AS x, b.id AS y FROM (SELECT DISTINCT id, key FROM links WHERE key LIKE 'origin_id:%' OR key LIKE 'document:%') a JOIN (SELECT DISTINCT id, key FROM links WHERE key LIKE 'origin_id:%' OR key LIKE 'document:%') b USING (key)),
-c(x, y) AS (SELECT x, y FROM e UNION SELECT c.x, e.y FROM c JOIN e ON c.y = e.x)"""
-
-
-@query("groups_cc", "G1 G2 G8", CC + " SELECT x AS id, min(y) AS group_root FROM c GROUP BY x")
-def _(spark, d):
-    links = table(spark, d, "links").filter("key like 'origin_id:%' or key like 'document:%'")
-    return splits.grouped(links, links.select("id").distinct()).select("id", "group_root")
+#: Components by the smallest label that reaches an id; keys are stars around their smallest id.
+CC = """WITH RECURSIVE k AS (SELECT DISTINCT id, key FROM links WHERE id IS NOT NULL AND key IS NOT NULL), s AS (SELECT id, min(id) OVER (PARTITION BY key) AS hub FROM k),
+e AS (SELECT id AS x, hub AS y FROM s UNION SELECT hub, id FROM s), c(x, r) AS (SELECT DISTINCT x, x FROM e UNION SELECT e.y, c.r FROM c JOIN e ON c.x = e.x WHERE c.r < e.y), m AS (SELECT x AS id, min(r) AS root FROM c GROUP BY x)"""
 
 
 def _all_links(spark, d):
     return table(spark, d, "links").select("id", "key").dropna().distinct()
 
 
-@query("groups_cc_all_keys", "G1 G2 G8")
+@query("groups_cc", "G1 G2 G8", CC + " SELECT id, root AS group_root FROM m")
 def _(spark, d):
-    # groups_cc over every kind of key; the recursive SQL is too slow for that
     links = _all_links(spark, d)
     return splits.grouped(links, links.select("id").distinct()).select("id", "group_root")
 
@@ -286,22 +296,31 @@ def _(spark, d):
     return splits.without_groups(rows, rows.filter("id < '20'")).select("id", "group_root")
 
 
-@query(
-    "group_conflicts", "G9 G10 V4",
-    CC + f", g AS (SELECT x AS id, min(y) AS root FROM c GROUP BY x), r AS ({RECORDS}) SELECT root AS group_root, count(DISTINCT split) AS splits, count(*) AS nodes FROM g JOIN r USING (id) GROUP BY root HAVING count(DISTINCT split) > 1",
-)
+@query("group_conflicts", "G9 V4", CC + f", r AS ({RECORDS}) SELECT root AS group_root, count(DISTINCT split) AS splits, count(*) AS nodes FROM m JOIN r USING (id) GROUP BY root HAVING count(DISTINCT split) > 1")
 def _(spark, d):
-    return _conflicts(table(spark, d, "links").filter("key like 'origin_id:%' or key like 'document:%'").distinct(), _records(spark, d, "id", "split"))
+    links = _all_links(spark, d)
+    own = splits.grouped(links, links.select("id").distinct()).join(_records(spark, d, "id", "split"), "id")
+    return own.groupBy("group_root").agg(F.countDistinct("split").alias("splits"), F.count("*").alias("nodes")).filter("splits > 1")
 
 
-def _conflicts(links, rows):
-    single = splits.grouped(links, links.select("id").distinct())
-    return single.join(rows, "id").groupBy("group_root").agg(F.countDistinct("split").alias("splits"), F.count("*").alias("nodes")).filter("splits > 1")
+NEAR_PICTURES = f"SELECT DISTINCT a.id AS x, b.id AS y FROM (SELECT DISTINCT id, {PHASH} AS v FROM image_bands WHERE phash IS NOT NULL) a JOIN (SELECT DISTINCT id, {PHASH} AS v FROM image_bands WHERE phash IS NOT NULL) b ON a.id < b.id AND bit_count(xor(a.v, b.v)) <= 6"
 
 
-@query("group_conflicts_all_keys", "G9 G10 V4")
+@query(
+    "media_identity_groups", "G10 G9",
+    f"""WITH RECURSIVE r AS ({RECORDS}), k AS (SELECT DISTINCT id, key, CASE WHEN starts_with(key, 'rgb:') THEN 'exact_rgb' ELSE 'origin_alias' END AS reason FROM links WHERE key LIKE 'rgb:%' OR key LIKE 'origin_id:%'),
+h AS (SELECT id, min(id) OVER (PARTITION BY key) AS hub, reason FROM k), t AS (SELECT id AS x, hub AS y, reason FROM h WHERE id <> hub UNION SELECT x, y, 'phash_neighbour' FROM ({NEAR_PICTURES})),
+e AS (SELECT x, y FROM t UNION SELECT y, x FROM t), c(x, r) AS (SELECT DISTINCT x, x FROM e UNION SELECT e.y, c.r FROM c JOIN e ON c.x = e.x WHERE c.r < e.y), m AS (SELECT x AS id, min(r) AS root FROM c GROUP BY x),
+w AS (SELECT root, string_agg(DISTINCT reason, ',' ORDER BY reason) AS reasons FROM t JOIN m ON t.x = m.id GROUP BY root)
+SELECT root AS group_root, count(DISTINCT split) AS splits, count(*) AS nodes, any_value(reasons) AS reasons FROM m JOIN r USING (id) JOIN w USING (root) GROUP BY root HAVING count(DISTINCT split) > 1""",
+)
 def _(spark, d):
-    return _conflicts(_all_links(spark, d), _records(spark, d, "id", "split"))
+    links = _all_links(spark, d)
+    star = lambda prefix: star_edges(links.filter(F.col("key").startswith(prefix)), "id", "key")
+    pictures = table(spark, d, "image_bands").select("id", dedup.parsed_sim_hash(F.col("phash")).alias("v"))
+    near = dedup.band_pairs(pictures, "id", "v", dedup.PICTURE_BANDS, 6)
+    nodes = _records(spark, d, "id", "split").withColumnRenamed("id", "node")
+    return splits.identity_groups(nodes, [("origin_alias", star("origin_id:")), ("exact_rgb", star("rgb:")), ("phash_neighbour", near)])[1]
 
 
 @query("identity_aliases", "G13", "SELECT id, string_agg(DISTINCT key, '|' ORDER BY key) AS aliases FROM links WHERE key LIKE 'rgb:%' GROUP BY id")
@@ -360,13 +379,12 @@ def _(spark, d):
 
 @query(
     "reservation_faults", "V3 J2",
-    f"WITH r AS ({RECORDS}), g AS (SELECT group_root, min(split) AS lo, max(split) AS hi FROM r WHERE group_root IS NOT NULL GROUP BY 1) SELECT group_root, 'val_from_held_out' AS fault FROM g WHERE group_root LIKE '0%' AND (lo <> 'train' OR hi <> 'train') UNION ALL SELECT group_root, 'test_not_from_val' FROM g WHERE group_root LIKE '1%' AND (lo <> 'val' OR hi <> 'val') UNION ALL SELECT group_root, 'excluded_held_out' FROM g WHERE group_root LIKE '2%' AND (lo <> 'train' OR hi <> 'train')",
+    f"WITH r AS ({RECORDS}), g AS (SELECT group_root, min(split) AS lo, max(split) AS hi FROM r WHERE group_root IS NOT NULL GROUP BY 1) SELECT group_root, 'val_from_held_out' AS fault FROM g WHERE group_root LIKE '0%' AND (lo <> 'train' OR hi <> 'train') UNION ALL SELECT group_root, 'test_not_from_val' FROM g WHERE group_root LIKE '1%' AND (lo <> 'val' OR hi <> 'val') UNION ALL SELECT group_root, 'excluded_held_out' FROM g WHERE group_root LIKE '2%' AND (lo <> 'train' OR hi <> 'train') UNION ALL SELECT group_root, 'unknown_group' FROM g WHERE substr(group_root, 1, 1) IN ('0', '1', '2') AND lo IS NULL",
 )
 def _(spark, d):
     rows = _records(spark, d, "id", "group_root", "split").filter("group_root is not null")
     of = lambda p: rows.filter(f"group_root like '{p}%'").select("group_root")
-    faults = views.reservation_faults(rows, of("0"), of("2"), of("1"))
-    return faults.filter("fault <> 'unknown_group'")
+    return views.reservation_faults(rows, of("0"), of("2"), of("1"))
 
 
 @query("too_few_held", "A5", f"WITH r AS ({RECORDS}), c AS (SELECT {SOURCE} AS source, count(DISTINCT group_root) AS groups, count(DISTINCT CASE WHEN split = 'val' THEN group_root END) AS held FROM r GROUP BY 1) SELECT source, groups, held, ceil(groups * 0.08::DOUBLE)::BIGINT AS needed FROM c WHERE held < needed")
@@ -388,15 +406,7 @@ def _(spark, d):
     return views.composition_faults(parts, ["group_root"])
 
 
-@query("union_aliases", "E3 E4", f"SELECT fp, min(doc_id) AS retained, count(*) AS members FROM (SELECT {FINGER} AS fp, doc_id FROM documents WHERE doc_id % 2 = 0 AND text IS NOT NULL UNION SELECT {FINGER}, doc_id FROM documents WHERE doc_id % 3 = 0 AND text IS NOT NULL) GROUP BY fp HAVING count(*) > 1")
-def _(spark, d):
-    # the two parts stand for two slices that share documents
-    docs = table(spark, d, "documents").filter("text is not null").select(expr.plain_fingerprint(F.col("text")).alias("fp"), "doc_id")
-    both = docs.filter("doc_id % 2 = 0").union(docs.filter("doc_id % 3 = 0")).distinct()
-    return both.groupBy("fp").agg(F.min("doc_id").alias("retained"), F.count("*").alias("members")).filter("members > 1")
-
-
-@query("union_aliases_all", "E3 E4", f"SELECT {FINGER} AS fp, min(doc_id) AS retained, count(DISTINCT doc_id) AS members FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL GROUP BY 1 HAVING count(DISTINCT doc_id) > 1")
+@query("union_aliases", "E3 E4", f"SELECT {FINGER} AS fp, min(doc_id) AS retained, count(DISTINCT doc_id) AS members FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL GROUP BY 1 HAVING count(DISTINCT doc_id) > 1")
 def _(spark, d):
     # the two slices share a third of the documents, and together hold all of them
     docs = table(spark, d, "documents").filter("text is not null").select(expr.plain_fingerprint(F.col("text")).alias("fp"), "doc_id")
@@ -407,18 +417,28 @@ def _(spark, d):
 # ---------------------------------------------------------------- contamination
 
 
-GRAM = r"regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')"
-CONTAM = f"""WITH r AS ({RECORDS}), w AS (SELECT id, group_root, split, {GRAM} AS w FROM r),
-g AS (SELECT id, group_root, split, array_to_string(w[i:i+12], ' ') AS gram FROM (SELECT *, unnest(generate_series(1, len(w) - 12)) AS i FROM w WHERE len(w) >= 13)),
-p AS (SELECT DISTINCT gram FROM g WHERE split = 'test' AND id IN (SELECT id FROM w WHERE length(array_to_string(w, ' ')) >= 64)),
-h AS (SELECT DISTINCT id FROM g WHERE split = 'train' AND gram IN (FROM p))"""
+GRAM = lambda c: rf"regexp_extract_all(lower({c}), '[\p{{L}}\p{{N}}_]+')"
+CONTAM = f"""WITH r AS ({RECORDS}), j AS (SELECT id, group_root, split, text, CASE WHEN json_valid(payload) THEN payload::JSON END AS p FROM r),
+t AS (SELECT *, CASE WHEN json_array_length(p, '$.turns') > 0 THEN (p->'turns')::JSON[] END AS t FROM j),
+q AS (SELECT id, {GRAM("list_filter(t, lambda x: (x->>'role') = 'user')[1]->>'content'")} AS w, true AS whole FROM t WHERE split IN ('val', 'test')
+  UNION ALL SELECT id, {GRAM("CASE WHEN t IS NULL THEN text ELSE list_filter(t, lambda x: (x->>'role') = 'assistant')[-1]->>'content' END")}, false FROM t WHERE split IN ('val', 'test')),
+i AS (SELECT id, w, whole, array_to_string(w, ' ') AS s FROM q WHERE w IS NOT NULL),
+g AS (SELECT DISTINCT array_to_string(w[k:k+12], ' ') AS gram FROM (SELECT w, unnest(generate_series(1, len(w) - 12)) AS k FROM i WHERE len(w) >= 13 AND length(s) >= 64)),
+o AS (SELECT DISTINCT s FROM i WHERE whole AND length(s) >= 32),
+n AS (SELECT id, {GRAM("text")} AS w FROM r WHERE split = 'train'),
+h AS (SELECT DISTINCT id FROM (SELECT id, array_to_string(w[k:k+12], ' ') AS gram FROM (SELECT id, w, unnest(generate_series(1, len(w) - 12)) AS k FROM n WHERE len(w) >= 13)) WHERE gram IN (FROM g)
+  UNION SELECT n.id FROM n JOIN o ON contains(concat(' ', array_to_string(n.w, ' '), ' '), concat(' ', o.s, ' ')))"""
 
 
 def _hits(spark, d):
-    rows = _records(spark, d, "id", "group_root", "split", "text").withColumn("t", F.array_join(expr.simple_words(F.col("text")), " "))
-    items = rows.filter("split = 'test'").select(F.col("id").alias("item"), F.lit(None).cast("string").alias("prompt"), F.col("t").alias("answer"))
+    """Items are the held-out records: their opening question as prompt, their last answer, or the text where they have no turns, as answer."""
+    spell = lambda c: F.array_join(expr.simple_words(c), " ")
+    rows = _records(spark, d, "id", "group_root", "split", "text", "payload").withColumn("turns", chat.parsed_turns(F.col("payload")))
+    held = rows.filter("split in ('val', 'test')")
+    last = F.try_element_at(F.filter("turns", lambda t: t["role"] == "assistant"), F.lit(-1))["content"]
+    items = readers.benchmark_items(held.select(F.col("id").alias("item"), spell(chat.first_user(F.col("turns"))).alias("prompt"), spell(F.when(F.size("turns") > 0, last).otherwise(F.col("text"))).alias("answer")), "prompt", "answer", "held-out")
     found = written(decontam.phrases(items))
-    return rows, decontam.matches(rows.filter("split = 'train'").select("id", F.col("t").alias("text")), found)
+    return rows, decontam.matches(rows.filter("split = 'train'").select("id", spell(F.col("text")).alias("text")), found)
 
 
 @query("contamination_13gram", "B1 B2 S13 C4", CONTAM + " SELECT id FROM h")

@@ -9,10 +9,11 @@ from corpusmill.functions import media
 from corpusmill.functions.labels import source_key
 from corpusmill.functions.text import canonical_question, match_text, normalized, squeezed
 from corpusmill.operators import encode, filters, splits, views, windows
-from corpusmill.plans.corpus import RECORDS, SOURCE
+from corpusmill.operators.graph import components, star_edges
+from corpusmill.plans.corpus import CC, RECORDS, SOURCE
 from corpusmill.plans.registry import query
 from corpusmill.plans.relational import PATTERN
-from corpusmill.session import table
+from corpusmill.session import TOKENIZERS, table
 
 
 @query("normal_forms", "P1 P3 P4 C1")
@@ -24,12 +25,12 @@ def _(spark, d):
 
 @query(
     "source_projection", "P8",
-    f"WITH d AS (SELECT *, {SOURCE} AS s FROM documents) SELECT s || ':' || doc_id AS item_id, coalesce(group_id, s) AS group_id, CASE s WHEN 'hanmo-edu-zh' THEN 'zh' ELSE 'en' END AS lang, CASE s WHEN 'hanmo-edu-zh' THEN 'zh_edu' ELSE 'en_edu' END AS task FROM d WHERE s IN ('hanmo-edu-zh', 'lumen-edu-en')",
+    f"WITH d AS (SELECT *, {SOURCE} AS s FROM documents) SELECT s || ':' || doc_id AS item_id, coalesce(group_id, s) AS group_id, CASE WHEN len(langs) = 1 THEN langs[1] END AS lang, p.task AS task, p.revision AS revision, p.license AS license FROM d JOIN source_specs p ON d.s = p.source",
 )
 def _(spark, d):
-    rows = table(spark, d, "documents").withColumn("s", source_key(F.col("source")))
-    one = lambda s, lang: rows.filter(F.col("s") == s).select(F.concat_ws(":", "s", F.col("doc_id").cast("string")).alias("item_id"), F.coalesce("group_id", "s").alias("group_id"), F.lit(lang).alias("lang"), F.lit(f"{lang}_edu").alias("task"))
-    return one("hanmo-edu-zh", "zh").unionByName(one("lumen-edu-en", "en"))
+    rows = table(spark, d, "documents").select("doc_id", "group_id", source_key(F.col("source")).alias("source"))
+    specs = table(spark, d, "source_specs").select("source", "task", "revision", "license", F.when(F.size("langs") == 1, F.col("langs")[0]).alias("lang"))  # a row a source
+    return rows.join(F.broadcast(specs), "source").select(F.concat_ws(":", "source", F.col("doc_id").cast("string")).alias("item_id"), F.coalesce("group_id", "source").alias("group_id"), "lang", "task", "revision", "license")
 
 
 @query("reserved_official_splits", "F2", f"WITH r AS ({RECORDS}) SELECT id, CASE WHEN starts_with(s, 'test') OR starts_with(s, 'validation') THEN 'reserved_official_split' WHEN length(text) < 20 OR contains(text, chr(65533)) THEN 'invalid_text' END AS reason FROM (SELECT id, text, CASE WHEN id < '10' THEN 'test_sft' WHEN id < '18' THEN 'validation' WHEN id < '80' THEN 'train' END AS s FROM r)")
@@ -69,22 +70,8 @@ def _(spark, d):
     return out.withColumn("change", F.lit("excluded")).unionByName(up.withColumn("change", F.lit("promoted")))
 
 
-@query(
-    "incremental_groups", "G11 X7",
-    "WITH RECURSIVE e AS (SELECT DISTINCT a.id AS x, b.id AS y FROM (SELECT DISTINCT id, key FROM links WHERE key LIKE 'origin_id:%' OR key LIKE 'repo:a%') a JOIN (SELECT DISTINCT id, key FROM links WHERE key LIKE 'origin_id:%' OR key LIKE 'repo:a%') b USING (key)), c(x, y) AS (SELECT x, y FROM e UNION SELECT c.x, e.y FROM c JOIN e ON c.y = e.x), m AS (SELECT x AS node, min(y) AS root FROM c GROUP BY x) SELECT node, root FROM m WHERE node IN (SELECT x FROM e WHERE x <> y)",
-)
+@query("incremental_groups", "G11 X7", CC + " SELECT id AS node, root FROM m WHERE id IN (SELECT x FROM e WHERE x <> y)")
 def _(spark, d):
-    from corpusmill.operators.graph import components, star_edges
-
-    links = table(spark, d, "links").distinct()
-    closed = components(star_edges(links.filter("key like 'origin_id:%'"), "id", "key"))
-    return splits.incremental_groups(closed, star_edges(links.filter("key like 'repo:a%'"), "id", "key"))
-
-
-@query("incremental_groups_all_keys", "G11 X7")
-def _(spark, d):
-    from corpusmill.operators.graph import components, star_edges
-
     # a quarter of the ids arrives later; its keys bring in all their rows, older ones too
     links = table(spark, d, "links").select("id", "key").dropna().distinct()
     late = F.pmod(F.xxhash64("id"), F.lit(4)) == 0
@@ -123,7 +110,7 @@ def _(spark, d):
     size = rows.agg(F.sum(F.octet_length("text")).alias("bytes"))
     out = None
     for name in ("byte_bpe_50k", "byte_bpe_multi_50k"):
-        own = encode.encoded_documents(rows, f"/opt/tokenizers/{name}.tiktoken", PATTERN).agg(F.lit(name).alias("tokenizer"), F.sum(F.size("tokens") - 2).alias("tokens"), F.lit(1).alias("k"))
+        own = encode.encoded_documents(rows, f"{TOKENIZERS}/{name}.tiktoken", PATTERN).agg(F.lit(name).alias("tokenizer"), F.sum(F.size("tokens") - 2).alias("tokens"), F.lit(1).alias("k"))
         own = own.join(size.withColumn("k", F.lit(1)), "k").select("tokenizer", "tokens", "bytes", F.round(F.col("bytes") / F.col("tokens"), 4).alias("bytes_a_token"))
         out = own if out is None else out.unionByName(own)
     return out
@@ -145,8 +132,10 @@ def _(spark, d):
 
 @query("embedding_pictures", "D10")
 def _(spark, d):
-    # vectors stand in for scaled luma: the first values, repeated over the picture
-    rows = table(spark, d, "embeddings").select("vec_id", F.transform(F.sequence(F.lit(0), F.lit(1023)), lambda i: F.get("embedding", F.pmod(i, F.size("embedding"))).cast("double")).alias("luma"))
+    # no table holds pixels: the luma at (x, y) is the product of two values of a vector
+    value = lambda k: F.get("embedding", F.pmod(k.cast("int"), F.size("embedding"))).cast("double")
+    luma = F.transform(F.sequence(F.lit(0), F.lit(1023)), lambda i: value(F.floor(i / 32)) * value(i % 32 + 7))
+    rows = table(spark, d, "embeddings").select("vec_id", luma.alias("luma"))
     return rows.select("vec_id", media.perceptual_hash(F.col("luma")).alias("phash"))
 
 

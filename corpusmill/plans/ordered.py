@@ -69,16 +69,40 @@ def _(spark, d):
     return own.filter("before < 200000").select("doc_id", F.when(F.col("before") < 50_000, "periodic").otherwise("phase_end").alias("scope"))
 
 
-_SHARES = {"lumen-edu-en": 0.5, "hanmo-edu-zh": 0.3, "pyshelf-mit": 0.2}
+def _shares(spark, d):
+    """Proportions of mix_targets, a row a source."""
+    return {r.s: r.p for r in table(spark, d, "mix_targets").groupBy(source_key(F.col("source")).alias("s")).agg(F.sum("proportion").alias("p")).collect()}
 
 
 @query(
-    "mixture_order", "W6 T13 A23",
-    f"""WITH s AS (SELECT *, CASE source WHEN 'lumen-edu-en' THEN 0.5::DOUBLE WHEN 'hanmo-edu-zh' THEN 0.3::DOUBLE ELSE 0.2::DOUBLE END AS p FROM ({SIZED}) WHERE source IN ('lumen-edu-en', 'hanmo-edu-zh', 'pyshelf-mit')),
+    "mixture_order", "W6 A23",
+    f"""WITH p AS (SELECT {SOURCE} AS source, sum(proportion) AS p FROM mix_targets GROUP BY 1), s AS (SELECT doc_id, source, n, p FROM ({SIZED}) JOIN p USING (source) WHERE p > 0),
 c AS (SELECT doc_id, source, (sum(n) OVER (PARTITION BY source ORDER BY doc_id) - n)::BIGINT / p AS served FROM s) SELECT doc_id, source, row_number() OVER (ORDER BY served, source, doc_id) - 1 AS position FROM c""",
 )
 def _(spark, d):
-    return windows.mixture_order(_sized(spark, d), _SHARES, ["doc_id"], "source", "n").select("doc_id", "source", "position")
+    return windows.mixture_order(_sized(spark, d), _shares(spark, d), ["doc_id"], "source", "n").select("doc_id", "source", "position")
+
+
+@query(
+    "resumed_windows", "T13 W6",
+    f"""WITH p AS (SELECT {SOURCE} AS source, sum(proportion) AS p FROM mix_targets GROUP BY 1), w AS (SELECT doc_id, source, n, p, unnest(generate_series(0, ceil(n / 1000.0)::BIGINT - 1)) AS k FROM ({SIZED}) JOIN p USING (source) WHERE p > 0 AND n > 0),
+v AS (SELECT *, least(1000, n - 1000 * k) AS t FROM w), c AS (SELECT doc_id, k, t, source, (sum(t) OVER (PARTITION BY source ORDER BY doc_id, k) - t)::BIGINT / p AS served FROM v), o AS (SELECT *, row_number() OVER (ORDER BY served, source, doc_id, k) - 1 AS position FROM c)
+SELECT doc_id, k::INT AS "window", t::BIGINT AS served_tokens, position FROM o WHERE position >= (SELECT count(*) // 3 FROM v)""",
+)
+def _(spark, d):
+    rows = _sized(spark, d)
+    shares = _shares(spark, d)
+    # a run that stopped after a third of the windows goes on to the end
+    whole = rows.filter(F.col("source").isin([k for k, p in shares.items() if p > 0]) & (F.col("n") > 0)).agg(F.coalesce(F.sum(F.ceil(F.col("n") / 1000)), F.lit(0)).alias("n")).first().n
+    return windows.resumed_windows(rows, shares, ["doc_id"], 1_000, whole // 3, whole, "source", "n").select("doc_id", "window", "served_tokens", "position")
+
+
+@query("media_mixture", "T12")
+def _(spark, d):
+    rows = table(spark, d, "samples").select("id", "text", F.from_json(F.get_json_object("payload", "$.media"), "array<struct<kind:string>>").alias("m")).dropDuplicates(["id"])
+    rows = rows.select("id", F.when(F.size("m") > 0, F.coalesce(F.col("m")[0]["kind"], F.lit("image"))).otherwise("text").alias("kind"), F.length("text").cast("long").alias("tokens"), F.greatest(F.size("m"), F.lit(0)).cast("long").alias("items"))
+    held = rows.groupBy("kind").agg(F.sum("tokens").alias("t"), F.sum("items").alias("i")).collect()  # a row a kind
+    return windows.media_mixture(rows, {r.kind: 2 * r.i for r in held if r.kind != "text"}, sum(r.t for r in held), ["id"]).select("id", "kind", "epoch", "position")
 
 
 @query("document_windows", "T8", f"SELECT doc_id, start::BIGINT AS start, least(start + 512, n)::BIGINT AS stop FROM (SELECT doc_id, n, unnest(generate_series(0, n - 2, 511)) AS start FROM ({SIZED}) WHERE n >= 2)")
@@ -93,13 +117,14 @@ def _(spark, d):
 
 @query("pack_records", "T10")
 def _(spark, d):
-    rows = _sized(spark, d).filter("n between 1 and 8192").withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(16)))
-    return windows.packed_in_order(rows, ["shard"], "doc_id", "n", 8_192)
+    rows = _sized(spark, d).withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(16)))
+    longest = rows.agg(F.max("n")).first()[0] or 0
+    return windows.packed_in_order(rows, ["shard"], "doc_id", "n", max(8_192, longest))
 
 
 @query("microbatches", "T11")
 def _(spark, d):
-    rows = _sized(spark, d).filter("n > 0").withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(16)))
+    rows = _sized(spark, d).withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(16)))
     return windows.microbatches(rows, ["shard"], "doc_id", "n", "source", 8, 16_384)
 
 

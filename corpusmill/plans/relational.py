@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from corpusmill.functions import chat, expr
 from corpusmill.operators import encode, filters, reports, retrieval, verify, views
 from corpusmill.plans.registry import query
-from corpusmill.session import table
+from corpusmill.session import TOKENIZERS, table, written
 from corpusmill.sources import generators, readers
 
 
@@ -168,21 +168,32 @@ def _(spark, d):
     return table(spark, d, "run_metrics").groupBy("run").agg(F.sum(F.when(expr.is_real(F.col("lm_loss")), 1).otherwise(0)).alias("finite"), F.count("*").alias("n"))
 
 
-@query("image_bounds", "F24", "SELECT l_orderkey, l_linenumber, CASE WHEN l_extendedprice * 400 > 16777216 THEN 'too_many_bytes' WHEN l_partkey * l_suppkey > 20000000 THEN 'too_many_pixels' WHEN least(l_partkey, l_suppkey) < 32 THEN 'side_below_32' END AS reason FROM lineitem")
+MEDIA = "WITH r AS (SELECT DISTINCT * FROM samples), j AS (SELECT id, text, CASE WHEN json_valid(payload) THEN payload::JSON END AS p FROM r), m AS (SELECT id, text, unnest((p->'media')::JSON[]) AS m FROM j WHERE json_array_length(p, '$.media') > 0)"
+
+
+def _media(spark, d):
+    rows = table(spark, d, "samples").select("id", "text", "payload").dropDuplicates(["id"]).filter(F.try_parse_json("payload").isNotNull())
+    return rows.select("id", "text", F.explode(F.from_json(F.get_json_object("payload", "$.media"), "array<struct<kind:string,width:int,height:int,rgb_sha256:string>>")).alias("m")).select("id", "text", "m.*")
+
+
+@query("image_bounds", "F24", MEDIA + " SELECT id, m->>'rgb_sha256' AS rgb, CASE WHEN w IS NULL OR h IS NULL THEN 'missing_size' WHEN 3 * w * h > 16777216 THEN 'too_many_bytes' WHEN w * h > 20000000 THEN 'too_many_pixels' WHEN least(w, h) < 32 THEN 'side_below_32' END AS reason FROM (SELECT *, (m->>'width')::BIGINT AS w, (m->>'height')::BIGINT AS h FROM m)")
 def _(spark, d):
-    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", filters.image_bounds(F.col("l_extendedprice") * 400, F.col("l_partkey"), F.col("l_suppkey")).alias("reason"))
+    raw = 3 * F.col("width").cast("long") * F.col("height")  # bytes of the decoded picture
+    return _media(spark, d).select("id", F.col("rgb_sha256").alias("rgb"), filters.image_bounds(raw, F.col("width"), F.col("height")).alias("reason"))
 
 
-@query("video_captions", "F26", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_quantity BETWEEN 2 AND 30 AND l_partkey BETWEEN 8 AND 3600")
+@query("video_captions", "F26", MEDIA + " SELECT id FROM m WHERE length(trim(text, ' ')) BETWEEN 40 AND 16000 AND (m->>'width')::DOUBLE / 64 BETWEEN 2 AND 30 AND (m->>'height')::BIGINT BETWEEN 8 AND 3600")
 def _(spark, d):
-    keep = filters.video_caption(F.lit("x" * 50), F.col("l_quantity"), F.col("l_partkey"))
-    return table(spark, d, "lineitem").filter(keep).select("l_orderkey", "l_linenumber")
+    # pictures stand in for clips: a second for 64 columns, a frame for a row
+    rows = _media(spark, d)
+    return rows.filter(filters.video_caption(F.col("text"), F.col("width").cast("double") / 64, F.col("height"))).select("id")
 
 
-@query("over_context", "F34", "SELECT count(*) FILTER (WHERE l_extendedprice > 50000) AS rejected, count(*) FILTER (WHERE l_extendedprice <= 50000) AS kept FROM lineitem")
+@query("over_context", "F34", "WITH r AS (SELECT DISTINCT * FROM samples) SELECT task, count(*) FILTER (WHERE length(text) > 1024) AS rejected, count(*) FILTER (WHERE length(text) <= 1024) AS kept FROM r GROUP BY task")
 def _(spark, d):
-    bad = filters.over_context(F.col("l_extendedprice"), 50_000)
-    return table(spark, d, "lineitem").agg(F.sum(bad.cast("int")).cast("long").alias("rejected"), F.sum((~bad).cast("int")).cast("long").alias("kept"))
+    bad = filters.over_context(F.length("text"), 1_024)
+    rows = table(spark, d, "samples").select("id", "task", "text").dropDuplicates(["id"])
+    return rows.groupBy("task").agg(F.count(F.when(bad, 1)).alias("rejected"), F.count(F.when(~bad, 1)).alias("kept"))
 
 
 @query("span_merge", "T16 T7 J6", "SELECT p_partkey AS k, CASE WHEN p_partkey % 10 = 0 THEN upper(p_name) ELSE p_name END AS name FROM part")
@@ -194,21 +205,77 @@ def _(spark, d):
 @query("encoded_windows", "T3 T14 S9")
 def _(spark, d):
     rows = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("id"), "text").filter("text is not null")
-    enc = encode.encoded_documents(rows, "/opt/tokenizers/byte_bpe_50k.tiktoken", PATTERN)
+    enc = encode.encoded_documents(rows, RANKS, PATTERN)
     return enc.select("id", F.size("tokens").alias("tokens"), encode.supervised(F.col("labels")).alias("supervised"))
 
 
-@query("encoded_chats", "T4 T5 T15")
+@query("encoded_chats", "T4")
 def _(spark, d):
     rows = table(spark, d, "samples").select("id", chat.parsed_turns(F.col("payload")).alias("turns")).dropDuplicates(["id"])
     known = rows.filter(F.size("turns") > 0).filter(~chat.invalid(F.col("turns")))
-    return encode.encoded_chats(known, "/opt/tokenizers/byte_bpe_50k.tiktoken", PATTERN).select("id", F.size("tokens").alias("tokens"), encode.supervised(F.col("labels")).alias("supervised"))
+    return encode.encoded_chats(known, RANKS, PATTERN).select("id", F.size("tokens").alias("tokens"), encode.supervised(F.col("labels")).alias("supervised"))
+
+
+CHATS = """WITH r AS (SELECT DISTINCT * FROM samples), j AS (SELECT id, CASE WHEN json_valid(payload) THEN payload::JSON END AS p FROM r), u AS (SELECT id, (p->'turns')::JSON[] AS t FROM j WHERE json_array_length(p, '$.turns') > 0),
+a AS (SELECT id, t, CASE WHEN len(list_filter(t, lambda x: coalesce(x->>'reasoning', '') <> '')) > 0 THEN 'thinking' ELSE 'direct' END AS mode FROM u)"""
+
+
+def _controlled(spark, d):
+    """id, turns, mode, effort, fault: chats, in thinking mode at high effort if some turn has reasoning."""
+    rows = table(spark, d, "samples").select("id", chat.parsed_turns(F.col("payload")).alias("turns")).dropDuplicates(["id"]).filter(F.size("turns") > 0)
+    thinks = F.exists("turns", lambda t: F.coalesce(t["reasoning"], F.lit("")) != "")
+    m = expr.mode_and_effort(F.when(thinks, "thinking-high"), F.lit(None).cast("string"))
+    rows = rows.withColumn("m", m).select("id", "turns", F.col("m.mode").alias("mode"), F.col("m.effort").alias("effort"))
+    return rows.withColumn("fault", encode.control_fault(F.col("turns"), F.col("mode")))
+
+
+@query(
+    "control_template", "T5 P16 P5",
+    CHATS + """, f AS (SELECT *, CASE WHEN len(list_filter(t, lambda x: (x->>'role') NOT IN ('system', 'user', 'assistant', 'tool'))) > 0 THEN 'unknown_role' WHEN mode = 'thinking' AND len(list_filter(t, lambda x: (x->>'role') = 'assistant' AND coalesce(x->>'reasoning', '') = '' AND coalesce(x->>'tool_calls', '') = '')) > 0 THEN 'no_reasoning_in_thinking_mode' END AS fault FROM a)
+SELECT id, mode, fault, 4 + list_sum(list_transform(t, lambda x: CASE WHEN (x->>'role') = 'assistant' THEN 5 + CASE WHEN coalesce(x->>'reasoning', '') <> '' THEN 3 ELSE 0 END WHEN (x->>'role') = 'tool' THEN 4 ELSE 3 END))::INT AS segments,
+ list_sum(list_transform(t, lambda x: CASE WHEN (x->>'role') = 'assistant' THEN 3 + CASE WHEN coalesce(x->>'reasoning', '') <> '' THEN 3 ELSE 0 END ELSE 0 END))::INT AS learned,
+ list_sum(list_transform(t, lambda x: CASE WHEN coalesce(x->>'tool_calls', '') <> '' AND (x->>'role') = 'assistant' THEN 0 ELSE length(coalesce(x->>'content', '')) END))::BIGINT AS plain_chars FROM f""",
+)
+def _(spark, d):
+    rows = _controlled(spark, d).withColumn("s", encode.control_segments(F.col("turns"), F.col("mode"), F.col("effort")))
+    spoken = F.filter("turns", lambda t: ~((F.coalesce(t["tool_calls"], F.lit("")) != "") & (t["role"] == "assistant")))
+    plain = F.aggregate(spoken, F.lit(0).cast("long"), lambda n, t: n + F.length(F.coalesce(t["content"], F.lit(""))))
+    return rows.select("id", "mode", "fault", F.size("s").alias("segments"), F.size(F.filter("s", lambda x: x["learned"])).alias("learned"), plain.alias("plain_chars"))
+
+
+@query(
+    "parsed_actions", "T5 T14",
+    CHATS + """, x AS (SELECT id, mode, unnest(t) AS t FROM a) SELECT mode, CASE WHEN coalesce(t->>'tool_calls', '') <> '' THEN 'tool' ELSE 'final' END AS kind, count(*) AS actions, count(*) FILTER (WHERE coalesce(t->>'reasoning', '') <> '') AS thought FROM x WHERE (t->>'role') = 'assistant' GROUP BY 1, 2""",
+)
+def _(spark, d):
+    # every assistant's turn is encoded by itself and parsed again from its learned ids
+    rows = _controlled(spark, d).select("id", "mode", "effort", F.posexplode("turns").alias("i", "t")).filter("t.role = 'assistant'")
+    one = rows.select(F.concat_ws("/", "mode", "id", F.col("i").cast("string")).alias("id"), encode.control_segments(F.array("t"), F.col("mode"), F.col("effort")).alias("segments"))
+    learned = encode.encoded_segments(one, RANKS, PATTERN).select("id", F.filter("labels", lambda x: x != encode.IGNORED).alias("ids"))
+    acts = learned.select(F.substring_index("id", "/", 1).alias("mode"), encode.parsed_action(F.col("ids"), True).alias("a"))
+    return acts.groupBy("mode", F.col("a.kind").alias("kind")).agg(F.count("*").alias("actions"), F.count(F.when(F.size("a.thoughts") > 0, 1)).alias("thought"))
+
+
+@query("encoding_audit", "T15 T3", "SELECT doc_id::VARCHAR AS id, 'not_a_member' AS fault FROM documents WHERE text IS NULL")
+def _(spark, d):
+    rows = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("id"), "text")
+    enc = written(encode.encoded_documents(rows, RANKS, PATTERN))
+    members = rows.filter("text is not null")
+    return encode.audit(enc, members).unionByName(encode.round_trip_faults(enc, members, RANKS, PATTERN))
+
+
+@query("encoding_reuse", "T7", r"SELECT doc_id::VARCHAR AS id, NOT regexp_matches(text, '[ \t\n\x{0b}\f\r]{2,}|[\t\n\x{0b}\f\r]') AS reuse FROM documents WHERE text IS NOT NULL")
+def _(spark, d):
+    # the parent encoded texts as they are, the next corpus has runs of white space made one space
+    rows = table(spark, d, "documents").filter("text is not null").select(F.col("doc_id").cast("string").alias("id"), "text")
+    parent = rows.select("id", F.sha2("text", 256).alias("identity"))
+    return encode.reused(rows.select("id", expr.plain_fingerprint(F.col("text")).alias("identity")), parent).select("id", "reuse")
 
 
 @query("token_chunks", "C14")
 def _(spark, d):
     rows = table(spark, d, "documents").select("doc_id", "text").filter("text is not null").select(F.col("doc_id").cast("string").alias("id"), "text")
-    return encode.chunks(rows, "/opt/tokenizers/byte_bpe_50k.tiktoken", PATTERN, 256).select("id", "chunk", "begin", "end")
+    return encode.chunks(rows, RANKS, PATTERN, 256).select("id", "chunk", "begin", "end")
 
 
 @query(
@@ -238,13 +305,19 @@ def _(spark, d):
     return rows.groupBy("y", "reason").agg(F.count("*").alias("n"))
 
 
-@query("preference_pairs", "F22", "SELECT o_orderkey FROM orders WHERE o_orderkey % 3 <> 0 AND o_orderkey % 5 <> 0")
+@query(
+    "preference_pairs", "F22",
+    """WITH r AS (SELECT DISTINCT * FROM samples), j AS (SELECT id, first_question, CASE WHEN json_valid(payload) THEN payload::JSON END AS p FROM r WHERE first_question <> ''),
+t AS (SELECT first_question, id, list_transform((p->'turns')::JSON[], lambda x: {'r': x->>'role', 'c': x->>'content'}) AS t FROM j WHERE json_array_length(p, '$.turns') > 0),
+q AS (SELECT first_question, arg_min(t, id) AS a, arg_max(t, id) AS b FROM t GROUP BY first_question HAVING count(*) > 1)
+SELECT first_question FROM q WHERE len(a) > 1 AND len(b) > 1 AND a[:-2] = b[:-2] AND a[-1].r = 'assistant' AND b[-1].r = 'assistant' AND a[-1].c <> b[-1].c""",
+)
 def _(spark, d):
-    turn = lambda r, c: F.struct(F.lit(r).alias("role"), c.alias("content"))
-    user = turn("user", F.col("o_orderpriority"))
-    good = F.array(user, turn("assistant", F.lit("yes")))
-    bad = F.when(F.col("o_orderkey") % 3 == 0, good).when(F.col("o_orderkey") % 5 == 0, F.array(turn("user", F.lit("other")), turn("assistant", F.lit("no")))).otherwise(F.array(user, turn("assistant", F.lit("no"))))
-    return table(spark, d, "orders").filter(chat.valid_preference(good, bad)).select("o_orderkey")
+    # of each opening question the first and the last record by id
+    rows = table(spark, d, "samples").select("id", "first_question", "payload").dropDuplicates(["id"]).filter("first_question <> ''").filter(F.try_parse_json("payload").isNotNull())
+    turns = rows.select("first_question", "id", F.transform(chat.parsed_turns(F.col("payload")), lambda t: F.struct(t["role"].alias("role"), t["content"].alias("content"))).alias("t")).filter(F.size("t") > 0)
+    pairs = turns.groupBy("first_question").agg(F.min_by("t", "id").alias("chosen"), F.max_by("t", "id").alias("rejected"), F.count("*").alias("n")).filter("n > 1")
+    return pairs.filter(chat.valid_preference(F.col("chosen"), F.col("rejected"))).select("first_question")
 
 
 @query("rated_turns", "F23 F25", "SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN NULL WHEN o_orderkey % 4 = 1 THEN 2 ELSE 1 END::INT AS turns, o_orderkey % 2 = 0 AS two_pages FROM orders")
@@ -302,5 +375,6 @@ def _(spark, d):
     return readers.shuffled_parquet(spark, f"{d}/part.parquet", 7, 100, ["p_partkey"]).select("p_partkey", "place")
 
 
+RANKS = f"{TOKENIZERS}/byte_bpe_50k.tiktoken"
 #: Fixed value: the piece pattern of the public byte-level vocabularies.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""

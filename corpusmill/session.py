@@ -26,6 +26,9 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8) -> SparkSession
     )
 
 
+#: Folder of the vocabulary files, read on the driver only.
+TOKENIZERS = os.environ.get("CORPUSMILL_TOKENIZERS", "/opt/tokenizers")
+
 _shipped: set[str] = set()
 
 
@@ -65,7 +68,7 @@ def shared_folder(spark: SparkSession) -> str:
 _folders: set[str] = set()
 
 
-def _own_folder(spark: SparkSession) -> str:
+def own_folder(spark: SparkSession) -> str:
     """The application's part of the shared folder; removed when the driver ends."""
     folder = f"{shared_folder(spark)}/corpusmill/{spark.sparkContext.applicationId}"
     if folder not in _folders:
@@ -89,7 +92,7 @@ def written(df: DataFrame) -> DataFrame:
     compressed and columnar.
     """
     spark = df.sparkSession
-    path = f"{_own_folder(spark)}/{uuid.uuid4().hex}"
+    path = f"{own_folder(spark)}/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -97,7 +100,7 @@ def written(df: DataFrame) -> DataFrame:
 def forget(df: DataFrame) -> None:
     """Removes the files of a table made by written(), once nothing reads it any more."""
     spark = df.sparkSession
-    own = _own_folder(spark)
+    own = own_folder(spark)
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         if own.split(":", 1)[-1].lstrip("/") in folder:
             _remove(spark, folder)

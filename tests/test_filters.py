@@ -60,6 +60,24 @@ def test_short_prompts_and_answers_match(spark):
     assert got == {1: "p", 3: "q"}
 
 
+def test_phrases_of_many_lengths_equal_a_search(spark):
+    import random
+
+    rng = random.Random(2)
+    words = ["alpha", "beta", "gamma", "delta"]
+    some = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    prompts = [some(n) for n in (6, 7, 8, 13, 14, 15, 20, 40, 41)] + [""]
+    items = spark.createDataFrame([(f"i{k}", p, None) for k, p in enumerate(prompts)], "item string, prompt string, answer string")
+    found = decontam.phrases(items)
+    texts = [some(3) + " " + p[: rng.randrange(20, len(p) + 1) if p else 0] + " " + some(2) if k % 2 else some(4) + " " + p + " " + some(30) for k, p in enumerate(prompts * 6)]
+    got = {r.id: (r.item, r.phrase) for r in decontam.matches(spark.createDataFrame(list(enumerate(texts)), "id long, text string"), found).collect()}
+    rows = [(r.phrase, r["words"], r.item) for r in found.collect()]
+    for k, t in enumerate(texts):
+        w = t.split()
+        hits = [(i + n, item, p) for p, n, item in rows for i in range(1, len(w) - n + 2) if " ".join(w[i - 1 : i - 1 + n]) == p]
+        assert got.get(k) == (min(hits)[1:] if hits else None)
+
+
 def test_overlay_and_delta(spark):
     base = spark.createDataFrame([("a", "g1", "train"), ("b", "g2", "val"), ("c", "g3", "train"), ("d", None, "test")], "id string, group_root string, split string")
     g = lambda *x: spark.createDataFrame([(v,) for v in x], "group_root string")

@@ -124,7 +124,7 @@ def test_encoding_round_trip(spark):
     path = "/opt/tokenizers/byte_bpe_50k.tiktoken"
     texts = ["hello world 汉字", "", "é" * 300]
     df = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "id string, text string")
-    enc = encode.load_ranks(path, PATTERN)
+    enc = encode.encoding_of(spark, path, PATTERN)()
     rows = {r.id: r for r in encode.encoded_documents(df, path, PATTERN).collect()}
     for i, t in enumerate(texts):
         assert enc.decode([x - encode.OFFSET for x in rows[str(i)].tokens[1:-1]]) == t and rows[str(i)].labels[0] == -100

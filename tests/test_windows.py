@@ -74,9 +74,36 @@ def test_review_quota_equals_seats(spark):
     assert {r.source: r.seats for r in windows.review_quota(df, 20, ["task"], "source", "n").collect()} == seats
 
 
-def test_media_mixture_serves_what_is_late():
-    out = windows.media_mixture({"text": [(10, 0, 0)], "image": [(10, 1, 0)]}, {"image": 5, "video": 0}, 100, 10)
-    assert sum(k == "image" for k, _ in out) == 5 and [k for k, _ in out[:4]] == ["text", "image", "text", "image"]
+def test_running_sum_by_key_with_nulls(spark):
+    rng = random.Random(5)
+    rows = [(i, rng.choice(["a", "a", "a", "b", None]), rng.choice([None, 1, 2, 3])) for i in range(300)]
+    got = {r.id: r.cum for r in windows.running(spark.createDataFrame(rows, "id long, k string, n long").repartition(9), "n", ["id"], ["k"]).collect()}
+    total = {}
+    for i, k, n in rows:
+        total[k] = total.get(k, 0) + (n or 0)
+        assert got[i] == total[k]
+
+
+def test_media_mixture_spreads_media_over_the_budget(spark):
+    rows = [(k, "text", 10, 0) for k in range(50)] + [(100 + k, "image", 10, 1) for k in range(3)] + [(200 + k, "video", 20, 2) for k in range(9)]
+    df = spark.createDataFrame(rows, "id long, kind string, tokens long, items long")
+    out = windows.media_mixture(df, {"image": 6, "video": 4, "audio": 3}, 500, ["id"]).orderBy("position").collect()
+    assert [r.position for r in out] == list(range(len(out))) and sum(r.tokens for r in out) == 500
+    assert sum(r["items"] for r in out if r.kind == "image") == 6 and sum(r["items"] for r in out if r.kind == "video") == 4
+    assert sorted((r.id, r.epoch) for r in out if r.kind == "image") == [(100, 0), (100, 1), (101, 0), (101, 1), (102, 0), (102, 1)]
+    at, images = 0, 0
+    for r in out:  # no kind is ever more than a row away from its share
+        assert abs(images / 6 - at / 500) <= 1 / 6 + 0.1
+        at, images = at + r.tokens, images + (r.kind == "image")
+    assert windows.media_mixture(df.limit(0), {"image": 6}, 500, ["id"]).count() == 0
+
+
+def test_sampler_resumes_inside_a_document(spark):
+    df = spark.createDataFrame([(1, "a", 25), (2, "a", 10), (3, "b", 40), (4, "b", 0)], "id long, domain string, tokens long")
+    whole = windows.resumed_windows(df, {"a": 0.5, "b": 0.5}, ["id"], 10, 0, 99).orderBy("position").collect()
+    assert [(r.id, r.begin, r.served_tokens) for r in whole] == [(1, 0, 10), (3, 0, 10), (1, 10, 10), (3, 10, 10), (1, 20, 5), (3, 20, 10), (2, 0, 10), (3, 30, 10)]
+    rest = windows.resumed_windows(df, {"a": 0.5, "b": 0.5}, ["id"], 10, 3, 4).orderBy("position").collect()
+    assert [tuple(r) for r in rest] == [tuple(r) for r in whole[3:7]]
 
 
 def test_cursor_over_epochs_has_no_rows_of_empty_tables(spark):
