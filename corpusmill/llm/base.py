@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.functions.shingles import min_hashes, mix, shingle_sets
+from corpusmill.functions.shingles import min_hashes, shingle_sets
 from corpusmill.functions.text import py_squeezed
 from corpusmill.session import table
 
@@ -39,37 +39,47 @@ def text_hash(squeezed: str) -> bytes:
     return hashlib.blake2b(squeezed.encode("utf-8", "surrogatepass"), digest_size=16).digest()
 
 
-def profiles(records: DataFrame, widths: list[int], seed: int = 1) -> DataFrame:
-    """(id, th, rk, n, sk, bands) of every record with a text.
+#: Counts of shingles among texts, in so many buckets: 4 MB on the driver.
+BUCKETS = 1 << 19
 
-    th: 128-bit hash of the squeezed text, equal for copies; rk: its first 64 bits; n: number
-    of distinct shingles; sk: 64 one-bit min-hashes; bands: one key for each band, of widths[i]
-    min-hashes. Records whose text is null or blank have no profile.
+
+def buckets(hashes: np.ndarray) -> np.ndarray:
+    return (hashes & np.uint64(BUCKETS - 1)).astype(np.int64)
+
+
+def shingle_counts(texts: DataFrame) -> np.ndarray:
+    """Texts that hold a shingle, by bucket of the shingle; texts (one column) may be squeezed or not.
+
+    Tasks send one row a bucket that they met, which are added up before they reach the driver.
     """
-    count = sum(widths)
-    edges = np.concatenate(([0], np.cumsum(widths)))
-    rng = np.random.default_rng(seed + 1)
-    mult = rng.integers(1, 1 << 63, count, dtype=np.uint64) | np.uint64(1)
-    bit = (np.uint64(1) << np.arange(64, dtype=np.uint64))[None, :]
 
-    def on(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(BUCKETS, dtype=np.int64)
         for pdf in frames:
-            pairs = [(i, s) for i, t in zip(pdf["id"], pdf["text"], strict=True) if t is not None and i is not None and (s := py_squeezed(t))]
-            ids, texts = [p[0] for p in pairs], [p[1] for p in pairs]
-            for a, b in batches(texts):
-                hashes, starts = shingle_sets(texts[a:b])
-                low = min_hashes(hashes, starts, max(count, 64), seed)
-                sk = (((low[:, :64] >> np.uint32(7)) & np.uint32(1)).astype(np.uint64) * bit).sum(axis=1, dtype=np.uint64)
-                mixed = low[:, :count].astype(np.uint64) * mult[None, :]
-                keys = mix(np.add.reduceat(mixed, edges[:-1], axis=1) + np.arange(len(widths), dtype=np.uint64)[None, :])
-                th = [text_hash(t) for t in texts[a:b]]
-                yield pd.DataFrame({
-                    "id": ids[a:b],
-                    "th": th,
-                    "rk": np.frombuffer(b"".join(x[:8] for x in th), dtype=np.int64),
-                    "n": np.diff(starts).astype(np.int32),
-                    "sk": sk.view(np.int64),
-                    "bands": list(keys.view(np.int64)),
-                })
-
-    return records.select("id", "text").mapInPandas(on, "id string, th binary, rk long, n int, sk long, bands array<long>")
+            own = [s for t in pdf.iloc[:, 0] if t is not None and (s := py_squeezed(t))]
+            for a, b in batches(own):
+                total += np.bincount(buckets(shingle_sets(own[a:b])[0]), minlength=BUCKETS)
+        at = np.flatnonzero(total)
+        yield pd.DataFrame({"bucket": at.astype(np.int32), "n": total[at]})
+
+    sums = texts.mapInPandas(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()  # BUCKETS rows at most
+    counts = np.zeros(BUCKETS, dtype=np.int64)
+    counts[sums["bucket"].to_numpy()] = sums["n"].to_numpy()
+    return counts
+
+
+def rare_first(hashes: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Places of the shingles of sorted sets, each set's rarest first; one order for all sets.
+
+    By the count of the bucket, then by the hash.
+    """
+    owner = np.repeat(np.arange(len(starts) - 1, dtype=np.uint64), np.diff(starts))
+    seen = np.minimum(counts[buckets(hashes)], (1 << 20) - 1).astype(np.uint64)
+    # 16 bits of owner, 20 of count, 28 of hash; what is equal in all stays in the order of the hash
+    return np.argsort((owner << np.uint64(48)) | (seen << np.uint64(28)) | (hashes >> np.uint64(20)), kind="stable")
+
+
+def sketches(hashes: np.ndarray, starts: np.ndarray, bits: int, seed: int) -> np.ndarray:
+    """One bit of each of so many min-hashes of every set, as uint64; two sets that share s of their union agree in (1 + s) / 2 of them."""
+    low = min_hashes(hashes, starts, bits, seed)
+    return (((low >> np.uint32(7)) & np.uint32(1)).astype(np.uint64) << np.arange(bits, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)

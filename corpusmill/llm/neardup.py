@@ -1,17 +1,21 @@
 """Problem 4: near copies of texts and pictures.
 
-Both kinds go through one scheme, the generalised pigeonhole: the positions of a signature
-are grouped into partitions, every partition gets a threshold of its own by dynamic
-programming on estimated candidate counts, partitions are probed, and every candidate is
-verified exactly.
-
-* Pictures: the positions are the 64 bits of the perceptual hash. Thresholds t_i with
-  sum(t_i + 1) = 7 find every pair within 6 bits; correlated bits share a partition.
-* Texts: the relation is a Jaccard similarity of 5-character shingles, which no short bit
-  vector bounds, so the positions are min-hashes and the bound is one of probability: the
-  widths of the partitions (threshold 0 each) are chosen by the same dynamic programming so
-  that a pair at exactly the least similarity is missed with a probability of at most
-  MISS. Copies are collapsed before and need no luck.
+Both kinds go through the generalised pigeonhole: what two near items may differ in is bounded,
+their bits are put into partitions, every partition gets a threshold of its own on estimated
+candidate counts, partitions are probed, and every candidate is verified exactly. No pair is lost.
+
+* Pictures: 64 bits of a perceptual hash, of which 6 may differ. Correlated bits share a
+  partition, and dynamic programming gives thresholds t_i with sum(t_i + 1) = 7.
+* Texts: a bit for each 5-character shingle. Of a set of a shingles a near one lacks at most
+  a - ceil(0.85 a), so thresholds of -1 (not probed) and 0 (probed) suffice, with one partition
+  more of threshold 0 than that. With these two thresholds alone the programme is a choice of the
+  partitions with the least estimated candidates, in one order for all texts: then the cheapest
+  shingle that two near texts share is among those that either probes. Partitions are single
+  shingles: with shingles that stand side by side in one partition, as for pictures, check_l needs
+  9.0 million keys and meets 150 million pairs, with single ones 7.7 and 92 million.
+
+Candidates of texts pass three bounds before their texts are compared: the sizes of the sets, and
+one-bit min-hashes in two parts, of which a near pair breaks either with a chance below 10^-8.
 """
 
 from __future__ import annotations
@@ -25,60 +29,28 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.functions.shingles import jaccard_at_least, min_hashes, shingle_sets
+from corpusmill.functions.shingles import jaccard_at_least, shingle_sets
 from corpusmill.functions.text import py_squeezed
-from corpusmill.llm.base import profiles, samples, text_hash
+from corpusmill.llm.base import batches, rare_first, samples, shingle_counts, sketches, text_hash
 from corpusmill.operators.graph import components, star_edges
 from corpusmill.session import table, written
 
-#: Least similarity, as a fraction of whole numbers, and the least chance that is neglected.
-NUM, DEN, MISS = 85, 100, 1e-6
+#: Least similarity, as a fraction of whole numbers.
+NUM, DEN = 85, 100
 #: Pictures: most bits of difference.
 BITS, RADIUS = 64, 6
 #: Rows from which candidate counts are estimated; only costs depend on the estimate.
 SAMPLE = 1_000
-#: At most so many of 64 one-bit min-hashes differ, at 85 % similarity, but for 1 pair in 10^8.
-SKETCH_RADIUS = 21
+#: One-bit min-hashes beside each key and of each class, and how many may differ: at 85 % more do
+#: in less than 1 of 10^8 pairs.
+KEY_BITS, KEY_RADIUS, CLASS_BITS, CLASS_RADIUS = 48, 17, 64, 20
+#: Classes whose ids are broadcast (8 bytes each) to pick their texts; more are joined.
+PICKED = 500_000
 
 
 # ---------------------------------------------------------------- thresholds
 
 
-def band_widths(records: DataFrame, total: int, sample: int = SAMPLE) -> list[int]:
-    """Widths of the bands: least estimated cost with a chance of missing of at most MISS.
-
-    The chance that two unlike texts agree in r min-hashes is estimated, without bias, on the
-    texts of `sample` rows; cost counts hashes, index rows and candidates.
-    """
-    texts = [py_squeezed(r.text) for r in records.filter("text is not null").select("text").orderBy(F.xxhash64("id")).limit(sample).collect()]
-    texts = list(dict.fromkeys(t for t in texts if t))
-    agree = {r: 0.07**r for r in range(2, 13)}
-    if len(texts) > 20:
-        low = min_hashes(*shingle_sets(texts), 96, seed=7)
-        hist = np.zeros(97)
-        for i in range(len(low) - 1):
-            hist += np.bincount((low[i + 1 :] == low[i]).sum(axis=1), minlength=97)
-        hist[80:] = 0  # near copies are wanted, not a cost
-        for r in agree:
-            falling = np.array([math.comb(m, r) / math.comb(96, r) for m in range(97)])
-            agree[r] = max(float((hist * falling).sum() / hist.sum()), 1e-12)
-    s, unit = NUM / DEN, 0.02
-    need = math.ceil(-math.log(MISS) / unit)
-    gain = {r: -math.log1p(-(s**r)) / unit for r in agree}
-    cost = {r: 1 + 0.12 * r + 0.5 * total * agree[r] for r in agree}
-    best, choice = [0.0] + [math.inf] * need, [0] * (need + 1)
-    for k in range(1, need + 1):
-        for r in agree:
-            c = best[max(0, k - math.floor(gain[r]))] + cost[r]
-            if c < best[k]:
-                best[k], choice[k] = c, r
-    out, k = [], need
-    while k > 0:
-        out.append(choice[k])
-        k -= math.floor(gain[choice[k]])
-    return sorted(out)
-
-
 def bit_partitions(values: np.ndarray, total: int, bits: int = BITS, radius: int = RADIUS) -> list[tuple[int, int]]:
     """(mask, threshold) of each partition, sum(threshold + 1) = radius + 1.
 
@@ -193,26 +165,77 @@ def picture_pairs(bands: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- texts
 
 
-def text_classes(records: DataFrame, total: int | None = None) -> DataFrame:
-    """Written profiles of all records; copies share th. The bands fit the number of rows."""
-    if total is None:
-        total = records.count()
-    return written(profiles(records, band_widths(records, total)))
+def _squeezed_classes(pdf: pd.DataFrame) -> tuple[list, list[bytes], list[str]]:
+    """(id, hash, squeezed text) of the rows of a batch that have a text."""
+    own = [(i, s) for i, t in zip(pdf["id"], pdf["text"], strict=True) if i is not None and t is not None and (s := py_squeezed(t))]
+    return [i for i, _ in own], [text_hash(s) for _, s in own], [s for _, s in own]
+
+
+def _short(hashes: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(h[:8] for h in hashes), dtype=np.int64)
+
+
+def text_members(records: DataFrame) -> DataFrame:
+    """(id, th, rk, sk), written: the class of every record with a text; copies share th.
+
+    th: 128-bit hash of the squeezed text; rk: its first 64 bits; sk: CLASS_BITS one-bit
+    min-hashes. Records whose text is null or blank have none.
+    """
+
+    def on(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            ids, hashes, texts = _squeezed_classes(pdf)
+            for a, b in batches(texts):
+                sk = sketches(*shingle_sets(texts[a:b]), CLASS_BITS, 2)
+                yield pd.DataFrame({"id": ids[a:b], "th": hashes[a:b], "rk": _short(hashes[a:b]), "sk": sk.view(np.int64)})
+
+    return written(records.select("id", "text").mapInPandas(on, "id string, th binary, rk long, sk long").dropDuplicates(["id"]))
+
 
+def probed(a: np.ndarray) -> np.ndarray:
+    """Partitions of threshold 0 of sets of a shingles: one more than a near set can lack."""
+    return a - -(-NUM * a // DEN) + 1
 
-def representatives(prof: DataFrame) -> DataFrame:
-    """One row a text class: its smallest id and its signature."""
-    return prof.groupBy("th").agg(F.min("id").alias("rep"), F.first("rk").alias("rk"), F.first("n").alias("n"), F.first("sk").alias("sk"), F.first("bands").alias("bands"))
 
+def text_keys(records: DataFrame, counts: np.ndarray) -> DataFrame:
+    """(key, rk, w): a row for each class and shingle that it probes; w packs KEY_BITS min-hash bits and the set's size.
 
-def class_candidates(reps: DataFrame) -> DataFrame:
-    """(ra, rb), ra < rb: classes that share a band, of fitting sizes and sketches."""
-    rows = reps.select("rk", "n", "sk", F.explode("bands").alias("key"))
-    a = rows.select("key", F.col("rk").alias("ra"), F.col("n").alias("na"), F.col("sk").alias("sa"))
-    b = rows.select("key", F.col("rk").alias("rb"), F.col("n").alias("nb"), F.col("sk").alias("sb"))
-    fit = (F.col("na") * DEN >= F.col("nb") * NUM) & (F.col("nb") * DEN >= F.col("na") * NUM)
-    alike = F.bit_count(F.col("sa").bitwiseXOR(F.col("sb"))) <= SKETCH_RADIUS
-    return a.join(b, "key").filter((F.col("ra") < F.col("rb")) & fit & alike).select("ra", "rb").distinct()
+    counts: shingle_counts of the texts. Copies within a batch have one row.
+    """
+    shared = records.sparkSession.sparkContext.broadcast(counts)
+
+    def on(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            _, hashes, texts = _squeezed_classes(pdf)
+            own = dict(zip(hashes, texts, strict=True))
+            hashes, texts = list(own), list(own.values())
+            for a, b in batches(texts):
+                sets, starts = shingle_sets(texts[a:b])
+                n = np.diff(starts)
+                rank = np.arange(len(sets)) - np.repeat(starts[:-1], n)
+                taken = rank < np.repeat(probed(n), n)
+                keys = np.split(sets[rare_first(sets, starts, shared.value)][taken].view(np.int64), np.cumsum(probed(n))[:-1])
+                w = (sketches(sets, starts, KEY_BITS, 1) << np.uint64(16)) | np.minimum(n, 0xFFFF).astype(np.uint64)
+                yield pd.DataFrame({"rk": _short(hashes[a:b]), "w": w.view(np.int64), "keys": keys})
+
+    rows = records.select("id", "text").mapInPandas(on, "rk long, w long, keys array<long>")
+    return rows.select(F.explode("keys").alias("key"), "rk", "w")
+
+
+def class_candidates(keys: DataFrame, members: DataFrame) -> DataFrame:
+    """(ra, rb), ra < rb, written: classes that share a probed shingle, of fitting sizes and sketches.
+
+    A key that many classes probe is split over tasks by adaptive execution.
+    """
+    a = keys.select("key", F.col("rk").alias("ra"), F.col("w").alias("wa"))
+    b = keys.select("key", F.col("rk").alias("rb"), F.col("w").alias("wb"))
+    size = lambda w: F.col(w).bitwiseAND(F.lit(0xFFFF))
+    fit = (size("wa") * DEN >= size("wb") * NUM) & (size("wb") * DEN >= size("wa") * NUM)
+    alike = F.bit_count(F.shiftrightunsigned(F.col("wa").bitwiseXOR(F.col("wb")), 16)) <= KEY_RADIUS
+    some = a.join(b, "key").filter((F.col("ra") < F.col("rb")) & fit & alike).select("ra", "rb").distinct()
+    sk = members.groupBy("rk").agg(F.first("sk").alias("sk"))
+    both = some.join(sk.select(F.col("rk").alias("ra"), F.col("sk").alias("sa")), "ra").join(sk.select(F.col("rk").alias("rb"), F.col("sk").alias("sb")), "rb")
+    return written(both.filter(F.bit_count(F.col("sa").bitwiseXOR(F.col("sb"))) <= CLASS_RADIUS).select("ra", "rb"))
 
 
 def _near(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -225,20 +248,19 @@ def _near(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(out, dtype=bool)
 
 
-def class_pairs(records: DataFrame, prof: DataFrame) -> DataFrame:
+def class_pairs(records: DataFrame, members: DataFrame) -> DataFrame:
     """(tha, thb): pairs of different text classes whose texts are near. Verified exactly."""
-    reps = written(representatives(prof))
-    cand = written(class_candidates(reps))
-    used = cand.select(F.col("ra").alias("rk")).unionByName(cand.select(F.col("rb").alias("rk"))).distinct()
-    wanted = reps.join(used, "rk").select(F.col("rep").alias("id"), "rk", "th")
+    cand = class_candidates(text_keys(records, shingle_counts(records.select("text"))), members)
+    used = written(cand.select(F.col("ra").alias("rk")).unionByName(cand.select(F.col("rb").alias("rk"))).distinct())
 
     def squeeze(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            pdf["text"] = [py_squeezed(t) for t in pdf["text"]]
-            yield pdf
+            _, hashes, texts = _squeezed_classes(pdf)
+            own = dict(zip(hashes, texts, strict=True))
+            yield pd.DataFrame({"rk": _short(list(own)), "th": list(own), "text": list(own.values())})
 
-    texts = records.filter("text is not null").select("id", "text").join(wanted, "id").dropDuplicates(["th"]).select("rk", "th", "text")
-    texts = written(texts.mapInPandas(squeeze, "rk long, th binary, text string"))
+    few = F.broadcast(used) if used.count() <= PICKED else used
+    texts = written(records.select("id", "text").mapInPandas(squeeze, "rk long, th binary, text string").join(few, "rk", "left_semi").dropDuplicates(["th"]))
     a = texts.select(F.col("rk").alias("ra"), F.col("th").alias("tha"), F.col("text").alias("ta"))
     b = texts.select(F.col("rk").alias("rb"), F.col("th").alias("thb"), F.col("text").alias("tb"))
     near = F.pandas_udf(_near, "boolean")
@@ -247,9 +269,8 @@ def class_pairs(records: DataFrame, prof: DataFrame) -> DataFrame:
 
 def text_pairs(records: DataFrame) -> DataFrame:
     """(id_a, id_b): records whose texts are near, copies included, each pair once."""
-    prof = text_classes(records)
-    members = written(prof.select("id", "th").distinct())
-    pairs = class_pairs(records, prof)
+    members = text_members(records)
+    pairs = class_pairs(records, members)
     a, b = members.select(F.col("id").alias("a"), F.col("th").alias("tha")), members.select(F.col("id").alias("b"), F.col("th").alias("thb"))
     apart = pairs.join(a, "tha").join(b, "thb").select("a", "b").filter("a != b")
     same = a.join(members.select(F.col("id").alias("b"), F.col("th").alias("tha")), "tha").filter("a < b").select("a", "b")
@@ -294,9 +315,9 @@ def groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows: a record with two pictures near one another counts them both.
     """
     records = samples(spark, sf_dir, "id", "text")
-    prof = text_classes(records)
-    texts = written(prof.select("id", F.hex("th").alias("c")).distinct())
-    near = written(class_pairs(records, prof).select(F.hex("tha").alias("a"), F.hex("thb").alias("b")))
+    members = text_members(records)
+    texts = members.select("id", F.hex("th").alias("c"))
+    near = written(class_pairs(records, members).select(F.hex("tha").alias("a"), F.hex("thb").alias("b")))
     own = written(table(spark, sf_dir, "image_bands").select("id", phash_bits(F.col("phash")).alias("c")).dropna().distinct())
     alike = written(hamming_pairs(own, "c").select(F.col("x").alias("a"), F.col("y").alias("b")))
     tag = lambda df, kind: df.select(F.lit(kind).alias("kind"), "id", "group_id", "links")

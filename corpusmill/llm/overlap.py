@@ -26,15 +26,13 @@ from pyspark.sql import functions as F
 from corpusmill.functions.labels import source_key
 from corpusmill.functions.shingles import WIDTH, jaccard_at_least, most_apart, odd_sketches, placed_shingles, shingle_sets
 from corpusmill.functions.text import py_question, py_squeezed
-from corpusmill.llm.base import batches, samples, text_hash
+from corpusmill.llm.base import batches, buckets, samples, shingle_counts, text_hash
 from corpusmill.session import forget, written
 
 NUM, DEN = 85, 100
 #: Passages and characters of evaluation text in one automaton: bound what is broadcast (some
 #: 15 MB) and the automaton in a Python worker (some 150 MB).
 BLOCK_PROBES, BLOCK_CHARS = 1_200_000, 12_000_000
-#: Counts of shingles among the training texts, in so many buckets: 4 MB on the driver.
-BUCKETS = 1 << 19
 #: Candidates that are looked at as one array.
 EXPANDED = 4_000_000
 
@@ -93,27 +91,6 @@ def distinct_texts(rows: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- passages
 
 
-def shingle_counts(texts: DataFrame) -> np.ndarray:
-    """Texts that hold a shingle, by bucket of the shingle. Only costs depend on it.
-
-    Tasks send one row a bucket that they met, which are added up before they reach the driver.
-    """
-
-    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(BUCKETS, dtype=np.int64)
-        for pdf in frames:
-            own = pdf["text"].tolist()
-            for a, b in batches(own):
-                total += np.bincount((shingle_sets(own[a:b])[0] & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
-        at = np.flatnonzero(total)
-        yield pd.DataFrame({"bucket": at.astype(np.int32), "n": total[at]})
-
-    sums = texts.select("text").mapInPandas(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()  # BUCKETS rows at most
-    counts = np.zeros(BUCKETS, dtype=np.int64)
-    counts[sums["bucket"].to_numpy()] = sums["n"].to_numpy()
-    return counts
-
-
 def probes(a: int) -> int:
     """Shingles to probe of a set of a: one more than a near set can lack."""
     return a - -(-NUM * a // DEN) + 1
@@ -122,7 +99,7 @@ def probes(a: int) -> int:
 def passages(text: str, counts: np.ndarray) -> np.ndarray:
     """Places of the shingles to probe, the rarest; where a shingle stands several times, the first."""
     each, first = np.unique(placed_shingles([text])[0], return_index=True)
-    rare = np.lexsort((each, counts[(each & np.uint64(BUCKETS - 1)).astype(np.int64)]))
+    rare = np.lexsort((each, counts[buckets(each)]))
     return np.sort(first[rare[: probes(len(each))]])
 
 
@@ -248,7 +225,7 @@ def near_across(texts: DataFrame) -> DataFrame:
     """
     spark = texts.sparkSession
     train = texts.filter("train").select("th", "text")
-    blocks = probed(texts, shingle_counts(train))
+    blocks = probed(texts, shingle_counts(train.select("text")))
     whole = texts.filter("train and held")
     out = whole.select(F.col("th").alias("tt"), F.col("th").alias("te"), F.lit(None).cast("array<int>").alias("begins"), F.lit(None).cast("array<int>").alias("ends"))
     out = out.unionByName(whole.select(F.lit(None).cast("binary").alias("tt"), F.col("th").alias("te"), F.array(F.lit(0)).alias("begins"), F.array(F.length("text")).alias("ends")))

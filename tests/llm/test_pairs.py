@@ -198,11 +198,39 @@ def test_thresholds_keep_the_pigeonhole_bound():
         assert sum(t + 1 for _, t in parts) == 7 and all(not (a & b) for (a, _), (b, _) in itertools.combinations(parts, 2))
 
 
-def test_bands_keep_the_chance_bound(spark, folder):
-    rows = spark.createDataFrame([(str(k), t) for k, t in enumerate(texts(60, 9))], "id string, text string")
-    for total in (100, 10**9):
-        miss = np.prod([1 - 0.85**r for r in neardup.band_widths(rows, total)])
-        assert miss <= 1.1e-6
+def test_near_sets_share_a_probed_shingle():
+    from corpusmill.llm.base import BUCKETS, rare_first
+
+    rng = np.random.default_rng(3)
+    counts = rng.integers(0, 6, BUCKETS)  # many ties
+    met = 0
+    for _ in range(3_000):
+        a = int(rng.integers(1, 300))
+        small = np.sort(rng.choice(1 << 47, a, replace=False).astype(np.uint64))
+        lost = int(rng.integers(0, a - -(-85 * a // 100) + 1))
+        gain = int((a - lost) / 0.85 - a)
+        other = np.sort(np.concatenate((rng.permutation(small)[lost:], rng.choice(1 << 47, max(gain, 0), replace=False).astype(np.uint64) + np.uint64(1 << 47))))
+        both = len(np.intersect1d(small, other))
+        if 100 * both < 85 * (a + len(other) - both):
+            continue
+        keys = [set(x[rare_first(x, np.array([0, len(x)]), counts)][: neardup.probed(np.array([len(x)]))[0]].tolist()) for x in (small, other)]
+        assert keys[0] & keys[1]
+        met += 1
+    assert met > 1_000
+
+
+def test_sketch_bounds():
+    from math import comb
+
+    for bits, radius in ((neardup.KEY_BITS, neardup.KEY_RADIUS), (neardup.CLASS_BITS, neardup.CLASS_RADIUS)):
+        assert sum(comb(bits, k) * 0.075**k * 0.925 ** (bits - k) for k in range(radius + 1, bits + 1)) < 1e-8
+
+
+def test_many_classes_are_joined_as_few_are(spark, folder, monkeypatch):
+    d = folder(samples=[sample(f"i{k:03}", t) for k, t in enumerate(texts(80, 4))])
+    few = {tuple(r) for r in neardup.found(spark, d).collect()}
+    monkeypatch.setattr(neardup, "PICKED", 0)
+    assert {tuple(r) for r in neardup.found(spark, d).collect()} == few and len(few) > 5
 
 
 def test_groups_with_two_splits(spark, folder):
