@@ -186,12 +186,11 @@ def group_advantage(rows: DataFrame, key: str, reward: str, floor: float = 1e-4)
     return rows.join(s, key).withColumn("advantage", (F.col(reward) - F.col("_m")) / F.greatest(F.coalesce("_s", F.lit(0.0)), F.lit(floor))).drop("_m", "_s")
 
 
-def recall_at_1(queries: DataFrame, items: DataFrame, block: int = 4096) -> DataFrame:
+def recall_at_1(queries: DataFrame, items: DataFrame, block: int = 2048) -> DataFrame:
     """queries, hits, recall, chance: share of queries whose nearest item (dot product) has their label.
 
-    queries: qid, q, ql; items: iid, v, l. The query set goes to the executors in blocks of a
-    fixed number of rows; every block is one matrix product per batch of items, and only the
-    best item of each query leaves a task. Ties go to the smaller id.
+    queries: qid, q, ql; items: iid, v, l. Blocks of queries meet blocks of items on executors,
+    and only the best item of each query leaves a task. Ties go to the smaller id.
     """
     from corpusmill.operators.retrieval import nearest
 

@@ -2,57 +2,42 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def _scan(shared):
-    def on(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        qids, q, own = shared.value
-        score, best = np.full(len(qids), -np.inf), np.zeros(len(qids), dtype=np.int64)
-        for pdf in frames:
-            if not len(pdf):
-                continue
-            ids, v = pdf["iid"].to_numpy(np.int64), np.stack(pdf["v"].to_numpy()).astype(np.float64)
-            order = np.argsort(ids, kind="stable")
-            ids, v = ids[order], v[order]
-            s = q @ v.T
-            s[own[:, None] == ids[None, :]] = -np.inf
-            at = s.argmax(axis=1)
-            top = s[np.arange(len(q)), at]
-            better = (top > score) | ((top == score) & (ids[at] < best))
-            score, best = np.where(better, top, score), np.where(better, ids[at], best)
-        ok = np.isfinite(score)
-        yield pd.DataFrame({"qid": qids[ok], "iid": best[ok], "score": score[ok]})
-
-    return on
+def _best(queries: pd.DataFrame, items: pd.DataFrame) -> pd.DataFrame:
+    """The best item of a block for every query of a block; ties go to the smaller id."""
+    if not len(queries) or not len(items):
+        return pd.DataFrame({"qid": [], "iid": [], "score": []}).astype({"qid": "int64", "iid": "int64", "score": "float64"})
+    items = items.sort_values("iid")
+    qid, iid = queries["qid"].to_numpy(np.int64), items["iid"].to_numpy(np.int64)
+    s = np.stack(queries["q"].to_numpy()).astype(np.float64) @ np.stack(items["v"].to_numpy()).astype(np.float64).T
+    s[qid[:, None] == iid[None, :]] = -np.inf
+    at = s.argmax(axis=1)
+    top = s[np.arange(len(qid)), at]
+    ok = np.isfinite(top)
+    return pd.DataFrame({"qid": qid[ok], "iid": iid[at[ok]], "score": top[ok]})
 
 
-def nearest(queries: DataFrame, items: DataFrame, block: int = 4096) -> DataFrame:
+def nearest(queries: DataFrame, items: DataFrame, block: int = 2048) -> DataFrame:
     """(qid, iid, score): the item with the greatest dot product for every query, never the query itself.
 
     queries: qid, q; items: iid, v (arrays of one length). Queries with a null vector get none.
-    Queries go out in blocks of `block` rows, so what is broadcast has a fixed bound.
+    Both sides are cut into blocks of some `block` rows by hash, and each pair of blocks is one
+    matrix product on an executor; nothing passes the driver or is broadcast.
     """
-    spark = queries.sparkSession
-    numbered = queries.filter("qid is not null and q is not null").select("qid", "q")
-    total = numbered.count()
-    blocks = max(1, -(-total // block))
+    q = queries.filter("qid is not null and q is not null").select("qid", "q")
     v = items.filter("iid is not null and v is not null").select("iid", "v")
-    out = None
-    for k in range(blocks):
-        rows = numbered.filter(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == k).collect()
-        if not rows:
-            continue
-        ids = np.array([r.qid for r in rows], dtype=np.int64)
-        shared = spark.sparkContext.broadcast((ids, np.array([r.q for r in rows], dtype=np.float64), ids))
-        one = v.mapInPandas(_scan(shared), "qid long, iid long, score double").groupBy("qid").agg(F.min_by(F.struct("iid", "score"), F.struct((-F.col("score")).alias("s"), "iid")).alias("b")).select("qid", "b.iid", "b.score")
-        out = one if out is None else out.unionByName(one)
-    return out if out is not None else spark.createDataFrame([], "qid long, iid long, score double")
+    qs, vs = (max(1, -(-df.count() // block)) for df in (q, v))
+    number = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = q.withColumn("qb", number("qid", qs)).withColumn("vb", every(vs)).groupBy("qb", "vb")
+    right = v.withColumn("vb", number("iid", vs)).withColumn("qb", every(qs)).groupBy("qb", "vb")
+    met = left.cogroup(right).applyInPandas(lambda a, b: _best(a, b), "qid long, iid long, score double")
+    return met.groupBy("qid").agg(F.min_by(F.struct("iid", "score"), F.struct((-F.col("score")).alias("s"), "iid")).alias("b")).select("qid", "b.iid", "b.score")
 
 
 def lookup(rows: DataFrame, where: dict[str, object], columns: list[str], most: int = 32) -> DataFrame:
