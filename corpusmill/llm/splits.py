@@ -19,12 +19,12 @@ from pyspark.sql import functions as F
 from corpusmill.functions.text import squeezed
 from corpusmill.llm.base import samples
 from corpusmill.operators.graph import components, star_edges
-from corpusmill.session import table, written
+from corpusmill.session import forget, table, written
 
 #: Components in one annealing task, and rounds and chains of the search.
 PART, ROUNDS, CHAINS = 20_000, 3, 2
-#: Labels told apart; rarer ones count together.
-LABELS = 32
+#: Labels that have a count of their own; rarer ones share CELLS counts by hash, each of which is balanced.
+LABELS, CELLS = 31, 16
 #: A component is large from this share of the smallest split on, so there are 20 / share at most.
 LARGE = 0.05
 
@@ -81,7 +81,7 @@ def anneal(weights: np.ndarray, at: np.ndarray, surplus: np.ndarray, scale: np.n
     w, d, at = weights / scale, surplus / scale, at.copy()
     cost = float((d**2 * factor).sum())
     best, kept, log = cost, 0, []
-    steps = int(min(4 * n + 500, 60_000))
+    steps = 4 * n + 500  # n is PART or so at most
     heat, cool = max(cost / 50, 1e-14), (1e-4) ** (1 / steps)
     who, other, to, swap, luck = rng.integers(0, n, steps), rng.integers(0, n, steps), rng.integers(0, splits, steps), rng.random(steps) < 0.3, rng.random(steps)
     start = at.copy()
@@ -132,17 +132,21 @@ def assign(groups: DataFrame, plan: list[tuple[str, float]]) -> DataFrame:
     if not total_share:
         raise ValueError("the plan has no positive share")
     plan = sorted((n, s / total_share) for n, s in plan)
-    labels = [r.label for r in groups.groupBy("label").count().orderBy(F.desc("count"), "label").limit(LABELS - 1).collect()]
-    width = len(labels) + 2
-    count = [F.count("*")] + [F.sum(F.when(F.col("label").eqNullSafe(F.lit(x)), 1).otherwise(0)) for x in labels]
-    base = groups.groupBy("group_id").agg(F.array(*[c.cast("long") for c in count]).alias("w"))
-    base = base.withColumn("w", F.concat("w", F.array(F.col("w")[0] - F.aggregate(F.slice("w", 2, width), F.lit(0).cast("long"), lambda x, y: x + y))))
+    labels = [r.label for r in groups.groupBy("label").count().orderBy(F.desc("count"), "label").limit(LABELS + 1).collect()]
+    rare = len(labels) > LABELS
+    labels = labels[:LABELS]
+    mine = [F.col("label").eqNullSafe(F.lit(x)) for x in labels]
+    if rare:
+        own = F.coalesce(F.col("label").isin([x for x in labels if x is not None]), F.lit(None in labels))
+        mine += [~own & (F.pmod(F.xxhash64("label"), F.lit(CELLS)) == c) for c in range(CELLS)]
+    width = len(mine) + 1
+    base = groups.groupBy("group_id").agg(F.array(F.count("*"), *[F.count(F.when(m, 1)) for m in mine]).alias("w"))
     u = F.pmod(F.xxhash64("group_id", "chain"), F.lit(1_000_003)) / F.lit(1_000_003.0)
     at = F.lit(len(plan) - 1)
     for k in range(len(plan) - 2, -1, -1):
         at = F.when(u < sum(s for _, s in plan[: k + 1]), k).otherwise(at)
     state = written(base.withColumn("chain", F.explode(F.array(*[F.lit(c) for c in range(CHAINS)]))).withColumn("at", at.cast("int")))
-    number = max(1, base.count())
+    number = max(1, state.count() // CHAINS)
     parts = max(1, math.ceil(number / PART))
 
     def held(state: DataFrame) -> np.ndarray:
@@ -157,21 +161,25 @@ def assign(groups: DataFrame, plan: list[tuple[str, float]]) -> DataFrame:
     scale = np.maximum(whole, 1.0)
     large = max(2.0, LARGE * whole[0] * min(s for _, s in plan))
     best = min(((deviation(now[c], goal), 0, c) for c in range(CHAINS)), default=(math.inf, 0, 0))
-    states = [state]
+    kept = state
     for turn in range(ROUNDS + 1):
         # the large ones move in the first turn only, the others in the later ones
         is_large = F.col("w")[0] >= large
         spread = F.pmod(F.xxhash64("group_id", F.lit(turn)), F.lit(parts))
         stay = state.filter(~is_large if turn == 0 else is_large)
         moved = state.filter(is_large if turn == 0 else ~is_large).withColumn("part", (F.lit(-1) if turn == 0 else spread).cast("int"))
-        state = written(stay.unionByName(moved.groupBy("chain", "part").applyInPandas(_annealing(now - goal[None], parts, scale, turn), state.schema)))
+        last, state = state, written(stay.unionByName(moved.groupBy("chain", "part").applyInPandas(_annealing(now - goal[None], parts, scale, turn), state.schema)))
         now = held(state)
-        states.append(state)
-        best = min([best, *((deviation(now[c], goal), turn + 1, c) for c in range(CHAINS))])
+        here = min((deviation(now[c], goal), turn + 1, c) for c in range(CHAINS))
+        for old in {id(x): x for x in (last, kept)}.values():  # only the best state and the last are kept
+            if old is not (kept if here >= best else None):
+                forget(old)
+        if here < best:
+            best, kept = here, state
     name = F.lit(plan[-1][0])
     for k in range(len(plan) - 1):
         name = F.when(F.col("at") == k, plan[k][0]).otherwise(name)
-    return states[best[1]].filter(F.col("chain") == best[2]).select("group_id", name.alias("split"))
+    return kept.filter(F.col("chain") == best[2]).select("group_id", name.alias("split"))
 
 
 # ---------------------------------------------------------------- queries

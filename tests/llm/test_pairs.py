@@ -252,3 +252,18 @@ def test_assignment_keeps_groups_and_meets_shares(spark, folder):
     x = {s: sum(r.split == s and by_task[r.id] == "x" for r in done) for s in share}
     assert abs(x["val"] / sum(x.values()) - 0.1) < 0.03
     assert {r.id: r.split for r in splits.assignment(spark, d).collect()} == {r.id: r.split for r in done}
+
+
+def test_rare_labels_are_balanced_too(spark):
+    rng = random.Random(4)
+    rows = [(f"i{k:05}", f"g{k // 3}", f"label-{rng.randrange(60)}") for k in range(9_000)]
+    done = splits.assign(spark.createDataFrame(rows, "id string, group_id string, label string"), [("train", 0.8), ("val", 0.2)])
+    split = {r.group_id: r.split for r in done.collect()}
+    assert len(split) == 3_000
+    share = sum(split[g] == "val" for _, g, _ in rows) / len(rows)
+    assert abs(share - 0.2) < 0.002
+    count = {}
+    for _, g, label in rows:
+        count.setdefault(label, []).append(split[g] == "val")
+    frequent = sorted(count, key=lambda x: -len(count[x]))[: splits.LABELS - 4]
+    assert max(abs(sum(count[x]) / len(count[x]) - 0.2) for x in frequent) < 0.05
