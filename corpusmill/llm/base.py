@@ -11,7 +11,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.functions.shingles import min_hashes, shingle_sets
-from corpusmill.functions.text import py_squeezed
 from corpusmill.session import table
 
 #: Texts a NumPy batch; keeps the arrays of a batch in a few MB whatever the lengths.
@@ -48,7 +47,7 @@ def buckets(hashes: np.ndarray) -> np.ndarray:
 
 
 def shingle_counts(texts: DataFrame) -> np.ndarray:
-    """Texts that hold a shingle, by bucket of the shingle; texts (one column) may be squeezed or not.
+    """Texts that hold a shingle, by bucket of the shingle. texts: one column, squeezed.
 
     Tasks send one row a bucket that they met, which are added up before they reach the driver.
     """
@@ -56,7 +55,7 @@ def shingle_counts(texts: DataFrame) -> np.ndarray:
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(BUCKETS, dtype=np.int64)
         for pdf in frames:
-            own = [s for t in pdf.iloc[:, 0] if t is not None and (s := py_squeezed(t))]
+            own = pdf.iloc[:, 0].tolist()
             for a, b in batches(own):
                 total += np.bincount(buckets(shingle_sets(own[a:b])[0]), minlength=BUCKETS)
         at = np.flatnonzero(total)

@@ -165,31 +165,28 @@ def picture_pairs(bands: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- texts
 
 
-def _squeezed_classes(pdf: pd.DataFrame) -> tuple[list, list[bytes], list[str]]:
-    """(id, hash, squeezed text) of the rows of a batch that have a text."""
-    own = [(i, s) for i, t in zip(pdf["id"], pdf["text"], strict=True) if i is not None and t is not None and (s := py_squeezed(t))]
-    return [i for i, _ in own], [text_hash(s) for _, s in own], [s for _, s in own]
-
-
 def _short(hashes: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(h[:8] for h in hashes), dtype=np.int64)
 
 
 def text_members(records: DataFrame) -> DataFrame:
-    """(id, th, rk, sk), written: the class of every record with a text; copies share th.
+    """(id, th, rk, sk, text), written: the class of every record with a text; copies share th.
 
     th: 128-bit hash of the squeezed text; rk: its first 64 bits; sk: CLASS_BITS one-bit
-    min-hashes. Records whose text is null or blank have none.
+    min-hashes; text is squeezed. Records whose text is null or blank have none; rows that come
+    twice come twice.
     """
 
     def on(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            ids, hashes, texts = _squeezed_classes(pdf)
+            own = [(i, s) for i, t in zip(pdf["id"], pdf["text"], strict=True) if i is not None and t is not None and (s := py_squeezed(t))]
+            ids, texts = [i for i, _ in own], [s for _, s in own]
             for a, b in batches(texts):
+                th = [text_hash(t) for t in texts[a:b]]
                 sk = sketches(*shingle_sets(texts[a:b]), CLASS_BITS, 2)
-                yield pd.DataFrame({"id": ids[a:b], "th": hashes[a:b], "rk": _short(hashes[a:b]), "sk": sk.view(np.int64)})
+                yield pd.DataFrame({"id": ids[a:b], "th": th, "rk": _short(th), "sk": sk.view(np.int64), "text": texts[a:b]})
 
-    return written(records.select("id", "text").mapInPandas(on, "id string, th binary, rk long, sk long").dropDuplicates(["id"]))
+    return written(records.select("id", "text").mapInPandas(on, "id string, th binary, rk long, sk long, text string"))
 
 
 def probed(a: np.ndarray) -> np.ndarray:
@@ -197,18 +194,17 @@ def probed(a: np.ndarray) -> np.ndarray:
     return a - -(-NUM * a // DEN) + 1
 
 
-def text_keys(records: DataFrame, counts: np.ndarray) -> DataFrame:
+def text_keys(members: DataFrame, counts: np.ndarray) -> DataFrame:
     """(key, rk, w): a row for each class and shingle that it probes; w packs KEY_BITS min-hash bits and the set's size.
 
     counts: shingle_counts of the texts. Copies within a batch have one row.
     """
-    shared = records.sparkSession.sparkContext.broadcast(counts)
+    shared = members.sparkSession.sparkContext.broadcast(counts)
 
     def on(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            _, hashes, texts = _squeezed_classes(pdf)
-            own = dict(zip(hashes, texts, strict=True))
-            hashes, texts = list(own), list(own.values())
+            own = dict(zip(pdf["rk"], pdf["text"], strict=True))
+            rks, texts = np.fromiter(own, dtype=np.int64, count=len(own)), list(own.values())
             for a, b in batches(texts):
                 sets, starts = shingle_sets(texts[a:b])
                 n = np.diff(starts)
@@ -216,9 +212,9 @@ def text_keys(records: DataFrame, counts: np.ndarray) -> DataFrame:
                 taken = rank < np.repeat(probed(n), n)
                 keys = np.split(sets[rare_first(sets, starts, shared.value)][taken].view(np.int64), np.cumsum(probed(n))[:-1])
                 w = (sketches(sets, starts, KEY_BITS, 1) << np.uint64(16)) | np.minimum(n, 0xFFFF).astype(np.uint64)
-                yield pd.DataFrame({"rk": _short(hashes[a:b]), "w": w.view(np.int64), "keys": keys})
+                yield pd.DataFrame({"rk": rks[a:b], "w": w.view(np.int64), "keys": keys})
 
-    rows = records.select("id", "text").mapInPandas(on, "rk long, w long, keys array<long>")
+    rows = members.select("rk", "text").mapInPandas(on, "rk long, w long, keys array<long>")
     return rows.select(F.explode("keys").alias("key"), "rk", "w")
 
 
@@ -248,19 +244,12 @@ def _near(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(out, dtype=bool)
 
 
-def class_pairs(records: DataFrame, members: DataFrame) -> DataFrame:
+def class_pairs(members: DataFrame) -> DataFrame:
     """(tha, thb): pairs of different text classes whose texts are near. Verified exactly."""
-    cand = class_candidates(text_keys(records, shingle_counts(records.select("text"))), members)
+    cand = class_candidates(text_keys(members, shingle_counts(members.select("text"))), members)
     used = written(cand.select(F.col("ra").alias("rk")).unionByName(cand.select(F.col("rb").alias("rk"))).distinct())
-
-    def squeeze(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            _, hashes, texts = _squeezed_classes(pdf)
-            own = dict(zip(hashes, texts, strict=True))
-            yield pd.DataFrame({"rk": _short(list(own)), "th": list(own), "text": list(own.values())})
-
     few = F.broadcast(used) if used.count() <= PICKED else used
-    texts = written(records.select("id", "text").mapInPandas(squeeze, "rk long, th binary, text string").join(few, "rk", "left_semi").dropDuplicates(["th"]))
+    texts = written(members.select("rk", "th", "text").join(few, "rk", "left_semi").dropDuplicates(["th"]))
     a = texts.select(F.col("rk").alias("ra"), F.col("th").alias("tha"), F.col("text").alias("ta"))
     b = texts.select(F.col("rk").alias("rb"), F.col("th").alias("thb"), F.col("text").alias("tb"))
     near = F.pandas_udf(_near, "boolean")
@@ -269,8 +258,8 @@ def class_pairs(records: DataFrame, members: DataFrame) -> DataFrame:
 
 def text_pairs(records: DataFrame) -> DataFrame:
     """(id_a, id_b): records whose texts are near, copies included, each pair once."""
-    members = text_members(records)
-    pairs = class_pairs(records, members)
+    rows = text_members(records)
+    members, pairs = rows.select("id", "th").distinct(), class_pairs(rows)
     a, b = members.select(F.col("id").alias("a"), F.col("th").alias("tha")), members.select(F.col("id").alias("b"), F.col("th").alias("thb"))
     apart = pairs.join(a, "tha").join(b, "thb").select("a", "b").filter("a != b")
     same = a.join(members.select(F.col("id").alias("b"), F.col("th").alias("tha")), "tha").filter("a < b").select("a", "b")
@@ -316,8 +305,8 @@ def groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     records = samples(spark, sf_dir, "id", "text")
     members = text_members(records)
-    texts = members.select("id", F.hex("th").alias("c"))
-    near = written(class_pairs(records, members).select(F.hex("tha").alias("a"), F.hex("thb").alias("b")))
+    texts = members.select("id", F.hex("th").alias("c")).distinct()
+    near = written(class_pairs(members).select(F.hex("tha").alias("a"), F.hex("thb").alias("b")))
     own = written(table(spark, sf_dir, "image_bands").select("id", phash_bits(F.col("phash")).alias("c")).dropna().distinct())
     alike = written(hamming_pairs(own, "c").select(F.col("x").alias("a"), F.col("y").alias("b")))
     tag = lambda df, kind: df.select(F.lit(kind).alias("kind"), "id", "group_id", "links")
