@@ -138,6 +138,31 @@ def control_segments(turns: Column, mode: Column, effort: Column, title: str = "
     return F.concat(head, F.flatten(F.transform(turns, turn)))
 
 
+#: Markers around the places of a picture, and of one place.
+PICTURE, PATCH, PICTURE_END = 20, 9, 10
+
+
+def picture_places(width: Column, height: Column, patch: int = 28, most: int = 256) -> Column:
+    """Places that a picture takes: patches of its sides; a larger one is scaled down evenly until it fits."""
+    side = lambda c, f: F.greatest(F.lit(1), F.ceil(c * f / patch))
+    whole = side(width, F.lit(1.0)) * side(height, F.lit(1.0))
+    shrink = F.sqrt(F.lit(float(most)) * patch * patch / (width.cast("double") * height))
+    fit = lambda c: F.greatest(F.lit(1), F.floor(c * shrink / patch))
+    return F.when((width > 0) & (height > 0), F.when(whole <= most, whole).otherwise(fit(width) * fit(height))).cast("int")
+
+
+def multimodal_segments(segments: Column, media: Column) -> Column:
+    """segments with the places of all pictures put before the first text of a user; unlearned.
+
+    media: array of structs with width and height; pictures without a size take one place.
+    """
+    mark = lambda m: F.struct(F.lit(m).cast("int").alias("marker"), F.lit(None).cast("string").alias("text"), F.lit(False).alias("learned"))
+    places = lambda m: F.concat(F.array(mark(PICTURE)), F.array_repeat(mark(PATCH), F.coalesce(picture_places(m["width"], m["height"]), F.lit(1))), F.array(mark(PICTURE_END)))
+    pictures = F.flatten(F.transform(media, places))
+    at = F.array_position(F.transform(segments, lambda x: F.coalesce(x["marker"] == ROLE_IDS["user"], F.lit(False))), F.lit(True)).cast("int")
+    return F.when((F.size(media) > 0) & (at > 0), F.concat(F.slice(segments, F.lit(1), at), pictures, F.slice(segments, at + 1, F.size(segments)))).otherwise(segments)
+
+
 def encoded_segments(rows: DataFrame, path: str, pattern: str) -> DataFrame:
     """(id, tokens, labels) of id and segments; texts are encoded, markers taken as they are."""
     get = encoding_of(rows.sparkSession, path, pattern)

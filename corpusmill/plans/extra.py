@@ -5,7 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import functions as F
 
-from corpusmill.functions import media
+from corpusmill.functions import chat, media
 from corpusmill.functions.labels import source_key
 from corpusmill.functions.text import canonical_question, match_text, normalized, squeezed
 from corpusmill.operators import encode, filters, splits, views, windows
@@ -14,6 +14,7 @@ from corpusmill.plans.corpus import CC, RECORDS, SOURCE
 from corpusmill.plans.registry import query
 from corpusmill.plans.relational import PATTERN
 from corpusmill.session import TOKENIZERS, table
+from corpusmill.sources import generators, remote
 
 
 @query("normal_forms", "P1 P3 P4 C1")
@@ -130,6 +131,40 @@ def _(spark, d):
     return table(spark, d, "part").select("p_partkey", media.rgb_identity(F.col("p_size"), F.col("p_size") + 1, F.col("p_name").cast("binary")).alias("rgb_sha256"))
 
 
+@query(
+    "cache_plan", "S17 K10",
+    f"""WITH r AS ({RECORDS}), j AS (SELECT split, CASE WHEN json_valid(payload) THEN payload::JSON END AS p FROM r), m AS (SELECT split, unnest((p->'media')::JSON[]) AS m FROM j WHERE json_array_length(p, '$.media') > 0),
+e AS (SELECT m->>'rgb_sha256' AS sha256, max(3 * (m->>'width')::BIGINT * (m->>'height')::BIGINT) AS bytes, max((m->>'width')::BIGINT) AS used_at, bool_or(coalesce(split IN ('val', 'test'), false)) AS pinned FROM m WHERE m->>'rgb_sha256' IS NOT NULL GROUP BY 1)
+SELECT sha256, bytes, pinned, pinned OR sum(bytes) OVER (ORDER BY pinned DESC, used_at DESC, sha256) <= 100000000 AS kept FROM e""",
+)
+def _(spark, d):
+    rows = table(spark, d, "samples").select("id", "split", "payload").dropDuplicates(["id"]).filter(F.try_parse_json("payload").isNotNull())
+    m = rows.select("split", F.explode(F.from_json(F.get_json_object("payload", "$.media"), "array<struct<rgb_sha256:string,width:long,height:long>>")).alias("m")).filter("m.rgb_sha256 is not null")
+    held = F.coalesce(F.col("split").isin("val", "test"), F.lit(False))
+    # a wider picture counts as used later
+    entries = m.groupBy(F.col("m.rgb_sha256").alias("sha256")).agg(F.max(F.col("m.width") * F.col("m.height") * 3).alias("bytes"), F.max("m.width").alias("used_at"), F.bool_or(held).alias("pinned"))
+    return remote.cache_plan(entries, 100_000_000).select("sha256", "bytes", "pinned", "kept")
+
+
+@query(
+    "multimodal_records", "T6",
+    f"""WITH r AS ({RECORDS}), j AS (SELECT id, CASE WHEN json_valid(payload) THEN payload::JSON END AS p FROM r), u AS (SELECT id, (p->'turns')::JSON[] AS t, (p->'media')::JSON[] AS m FROM j WHERE json_array_length(p, '$.turns') > 0 AND json_array_length(p, '$.media') > 0),
+x AS (SELECT id, t, list_transform(m, lambda y: {{'w': (y->>'width')::DOUBLE, 'h': (y->>'height')::DOUBLE}}) AS m FROM u),
+y AS (SELECT id, t, list_transform(m, lambda z: CASE WHEN ceil(z.w / 28) * ceil(z.h / 28) <= 256 THEN ceil(z.w / 28) * ceil(z.h / 28) ELSE greatest(1, floor(z.w * sqrt(256.0::DOUBLE * 28 * 28 / (z.w * z.h)) / 28)) * greatest(1, floor(z.h * sqrt(256.0::DOUBLE * 28 * 28 / (z.w * z.h)) / 28)) END) AS k FROM x)
+SELECT id, len(k)::INT AS pictures, CASE WHEN len(list_filter(t, lambda z: (z->>'role') = 'user')) > 0 THEN list_sum(k) ELSE 0 END::INT AS places FROM y""",
+)
+def _(spark, d):
+    rows = table(spark, d, "samples").select("id", "payload").dropDuplicates(["id"]).filter(F.try_parse_json("payload").isNotNull())
+    rows = rows.select("id", chat.parsed_turns(F.col("payload")).alias("turns"), F.from_json(F.get_json_object("payload", "$.media"), "array<struct<width:int,height:int>>").alias("media")).filter((F.size("turns") > 0) & (F.size("media") > 0))
+    s = encode.multimodal_segments(encode.control_segments(F.col("turns"), F.lit("direct"), F.lit("low")), F.col("media"))
+    return rows.select("id", F.size("media").alias("pictures"), F.size(F.filter(s, lambda x: x["marker"] == encode.PATCH)).alias("places"))
+
+
+@query("math_documents", "C7 S18")
+def _(spark, d):
+    return generators.math_documents(spark, table(spark, d, "supplier").count(), 11)
+
+
 @query("embedding_pictures", "D10")
 def _(spark, d):
     # no table holds pixels: the luma at (x, y) is the product of two values of a vector

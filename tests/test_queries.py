@@ -268,6 +268,17 @@ def fraction_documents(got):
     assert len(out) == len(frame("supplier")) and len({tuple(r) for r in out}) > 1
 
 
+@by_hand
+def math_documents(got):
+    out = got.collect()
+    assert len(out) == len(frame("supplier")) and all(r.check for r in out) and len({r.kind for r in out}) == 6
+    for r in out:
+        n = [int(x) for x in re.findall(r"-?\d+", r.text)]
+        assert n[-1] == r.value
+        want = {"divisor": lambda: np.gcd(n[0], n[1]), "mean": lambda: sum(n[:4]) / 4, "polynomial": lambda: n[0] * n[4] ** 2 + n[2] * n[4] + n[3], "equation": lambda: (n[2] - n[1]) / n[0], "remainder": lambda: n[0] % n[1], "percent": lambda: n[0] * n[1] / 100}
+        assert want[r.kind]() == r.value, r
+
+
 @by_hand
 def arithmetic_tasks(got):
     out = got.collect()

@@ -135,3 +135,40 @@ def test_encoding_round_trip(spark):
     tokens, labels = encode.chat_tokens([{"role": "user", "content": "a"}, {"role": "assistant", "content": "b"}], enc.encode_ordinary)
     assert labels[:3] == [-100] * 3 and labels[-1] == 2 and len(tokens) == len(labels)
     assert encode.wrapped("aa bbb cccccc d", 4) == ["aa", "bbb", "cccc", "cc d"]
+
+
+def test_controlled_turns_are_encoded_and_parsed_again(spark):
+    from pyspark.sql import Row
+    from pyspark.sql import functions as F
+
+    from corpusmill.plans.relational import PATTERN, RANKS
+
+    turn = lambda role, content, reasoning=None, calls=None, tools=None: Row(role=role, content=content, reasoning=reasoning, tool_calls=calls, tools=tools)
+    rows = [
+        ("a", [turn("user", "hi"), turn("assistant", "hello", "a greeting")], "thinking", "high"),
+        ("b", [turn("user", "hi", None, None, '[{"n": 1}]'), turn("assistant", 'say "x"', None, '[{"f": 2}]'), turn("tool", "2"), turn("assistant", "two")], "direct", "low"),
+    ]
+    df = spark.createDataFrame(rows, "id string, turns array<struct<role:string,content:string,reasoning:string,tool_calls:string,tools:string>>, mode string, effort string")
+    t, m = F.col("turns"), F.col("mode")
+    assert [r.f for r in df.select(encode.control_fault(t, F.lit("direct")).alias("f")).collect()] == ["reasoning_in_direct_mode", None]
+    assert [r.f for r in df.select(encode.control_fault(t, F.lit("thinking")).alias("f")).collect()] == [None, "no_reasoning_in_thinking_mode"]
+    enc = encode.encoded_segments(df.select("id", encode.control_segments(t, m, F.col("effort")).alias("segments")), RANKS, PATTERN)
+    got = {r.id: r for r in enc.collect()}
+    assert all(r.tokens[:2] == [1, 3] and len(r.tokens) == len(r.labels) and r.tokens[-1] == 2 for r in got.values())
+    assert got["a"].tokens.count(15) == 1 and 13 in got["a"].tokens and got["b"].tokens.count(18) == 1 and got["b"].tokens.count(19) == 1 and 12 in got["b"].tokens
+    own = spark.createDataFrame([("a", [x for x in got["a"].labels if x != -100]), ("c", [17, 30, 4, 2]), ("d", [15, 30]), ("e", [17, 30]), ("f", []), ("g", [18, 30, 2])], "id string, ids array<int>")
+    acts = {r.id: r.a for r in own.select("id", encode.parsed_action(F.col("ids"), True).alias("a")).collect()}
+    assert {k: v.kind for k, v in acts.items()} == {"a": "final", "c": "invalid", "d": "truncated", "e": "truncated", "f": "truncated", "g": "tool"}
+    said = encode.decoded(own.select("id", encode.parsed_action(F.col("ids")).alias("a")).select(F.concat("id", F.lit("")).alias("id"), F.concat("a.thoughts", "a.body").alias("tokens")), RANKS, PATTERN, encode.CONTROL_OFFSET)
+    assert {r.id: r.text for r in said.collect()}["a"] == "a greetinghello"
+    calls = encode.decoded(enc.filter("id = 'b'"), RANKS, PATTERN, encode.CONTROL_OFFSET).first().text
+    assert '{"calls": [{"f": 2}], "content": "say \\"x\\""}' in calls and 'hi\n[{"n": 1}]' in calls
+
+
+def test_pictures_take_places_before_the_question(spark):
+    from pyspark.sql import functions as F
+
+    rows = [("a", [(4, None, False), (None, "what is it", False)], [(56, 29), (2800, 2800), (None, 5)]), ("b", [(5, None, True)], [(56, 56)])]
+    df = spark.createDataFrame(rows, f"id string, s {encode.SEGMENTS}, media array<struct<width:int,height:int>>")
+    got = {r.id: [x.marker for x in r.x] for r in df.select("id", encode.multimodal_segments(F.col("s"), F.col("media")).alias("x")).collect()}
+    assert got["a"] == [4, 20, *[9] * 4, 10, 20, *[9] * 256, 10, 20, 9, 10, None] and got["b"] == [5]
