@@ -43,9 +43,11 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             break
         both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
         hook = written(both.groupBy("a").agg(F.min("b").alias("p")).filter("p < a").select(F.col("a").alias("node"), F.col("p").alias("root")))
-        while True:  # pointer jumping: the length of a chain halves each time
-            up = hook.select(F.col("node").alias("root"), F.col("root").alias("_up"))
-            jumped = written(hook.join(up, "root", "left").select("node", F.coalesce("_up", "root").alias("root"), F.col("_up").isNotNull().alias("_moved")))
+        while True:  # pointer jumping, two jumps a pass: the length of a chain falls to a quarter
+            once = hook.select(F.col("node").alias("root"), F.col("root").alias("_up"))
+            twice = hook.select(F.col("node").alias("_up"), F.col("root").alias("_upper"))
+            far = hook.join(once, "root", "left").join(twice, "_up", "left")
+            jumped = written(far.select("node", F.coalesce("_upper", "_up", "root").alias("root"), F.col("_upper").isNotNull().alias("_moved")))
             forget(hook)
             hook = jumped.select("node", "root")
             if jumped.filter("_moved").isEmpty():

@@ -127,14 +127,14 @@ def _(spark, d):
     return out.select(short_id(F.lit("host"), F.col("name")).alias("experiment"), "name", "state")
 
 
-@query("event_windows", "X1 X5", "SELECT time_bucket(INTERVAL 6 HOURS, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+@query("event_windows", "C12 A14", "SELECT time_bucket(INTERVAL 6 HOURS, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 def _(spark, d):
     out = logs.windowed(table(spark, d, "events"), "ts", "6 hours", ["event_type"], F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
     return out.select("start", "event_type", "n", "total")
 
 
 @query(
-    "event_sessions", "X6",
+    "event_sessions", "C12",
     "WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w >= INTERVAL 10 HOURS OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g) SELECT user_id, min(ts) AS start, count(*) AS n FROM s GROUP BY user_id, k",
 )
 def _(spark, d):

@@ -80,29 +80,29 @@ def group_roots(links):
     return {i: own.get(i, i) for v in by_key.values() for i in v}
 
 
-def test_groups_of_all_keys_equal_union_find(spark, linked):
+def test_groups_of_equal_union_find(spark, linked):
     d, links, _ = linked
-    rows = QUERIES["groups_cc_all_keys"](spark, d).collect()
+    rows = QUERIES["groups_cc"](spark, d).collect()
     assert {r.id: r.group_root for r in rows} == group_roots(links) and len(rows) == len(group_roots(links))
 
 
-def test_conflicts_of_all_keys_equal_union_find(spark, linked):
+def test_conflicts_of_equal_union_find(spark, linked):
     d, links, records = linked
     of = {}
     for i, split in records:
         if root := group_roots(links).get(i):
             of.setdefault(root, []).append(split)
     want = {(root, len(set(s) - {None}), len(s)) for root, s in of.items() if len(set(s) - {None}) > 1}
-    assert {tuple(r) for r in QUERIES["group_conflicts_all_keys"](spark, d).collect()} == want and ("c1", 2, 2) in want
+    assert {tuple(r) for r in QUERIES["group_conflicts"](spark, d).collect()} == want and ("c1", 2, 2) in want
 
 
-def test_incremental_groups_of_all_keys_equal_full_components(spark, linked):
+def test_incremental_groups_of_equal_full_components(spark, linked):
     d, links, _ = linked
     by_key = {}
     for i, k in links:
         if i and k:
             by_key.setdefault(k, []).append(i)
-    rows = QUERIES["incremental_groups_all_keys"](spark, d).collect()
+    rows = QUERIES["incremental_groups"](spark, d).collect()
     want = roots([(v[0], x) for v in by_key.values() for x in v])
     assert {r.node: r.root for r in rows} == want and len(rows) == len(want)
     whole = components(star_edges(spark.read.parquet(f"{d}/links.parquet"), "id", "key"))
@@ -112,4 +112,4 @@ def test_incremental_groups_of_all_keys_equal_full_components(spark, linked):
 def test_aliases_of_all_documents(spark, tmp_path):
     texts = [(1, "a"), (7, "a"), (5, "b"), (11, "b"), (2, "c"), (1, "a"), (4, "b"), (6, "d"), (13, None)]
     spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    assert {(r.retained, r.members) for r in QUERIES["union_aliases_all"](spark, str(tmp_path)).collect()} == {(1, 2), (4, 3)}
+    assert {(r.retained, r.members) for r in QUERIES["union_aliases"](spark, str(tmp_path)).collect()} == {(1, 2), (4, 3)}
