@@ -399,7 +399,7 @@ def _(spark, d):
     return views.equal_rows(rows, rows.withColumn("task", F.coalesce("task", F.lit("none"))))
 
 
-@query("composition_faults", "V8 V9 J11", f"WITH r AS ({RECORDS}) SELECT 'group_root' AS kind, group_root AS value FROM r WHERE group_root IS NOT NULL AND split IS NOT NULL GROUP BY group_root HAVING min(split) <> max(split)")
+@query("composition_faults", "V8", f"WITH r AS ({RECORDS}) SELECT 'group_root' AS kind, group_root AS value FROM r WHERE group_root IS NOT NULL AND split IS NOT NULL GROUP BY group_root HAVING min(split) <> max(split)")
 def _(spark, d):
     rows = _records(spark, d, "id", "group_root", "split").filter("split is not null")
     parts = views.composed([rows.filter("id < '80'"), rows.filter("id >= '80'")])
@@ -423,11 +423,11 @@ t AS (SELECT *, CASE WHEN json_array_length(p, '$.turns') > 0 THEN (p->'turns'):
 q AS (SELECT id, {GRAM("list_filter(t, lambda x: (x->>'role') = 'user')[1]->>'content'")} AS w, true AS whole FROM t WHERE split IN ('val', 'test')
   UNION ALL SELECT id, {GRAM("CASE WHEN t IS NULL THEN text ELSE list_filter(t, lambda x: (x->>'role') = 'assistant')[-1]->>'content' END")}, false FROM t WHERE split IN ('val', 'test')),
 i AS (SELECT id, w, whole, array_to_string(w, ' ') AS s FROM q WHERE w IS NOT NULL),
-g AS (SELECT DISTINCT array_to_string(w[k:k+12], ' ') AS gram FROM (SELECT w, unnest(generate_series(1, len(w) - 12)) AS k FROM i WHERE len(w) >= 13 AND length(s) >= 64)),
+g AS (SELECT DISTINCT array_to_string(w[k:k+12], ' ') AS gram FROM (SELECT w, unnest(generate_series(1, len(w) - 12)) AS k FROM i WHERE len(w) >= 13) WHERE length(gram) >= 64),
 o AS (SELECT DISTINCT s FROM i WHERE whole AND length(s) >= 32),
 n AS (SELECT id, {GRAM("text")} AS w FROM r WHERE split = 'train'),
 h AS (SELECT DISTINCT id FROM (SELECT id, array_to_string(w[k:k+12], ' ') AS gram FROM (SELECT id, w, unnest(generate_series(1, len(w) - 12)) AS k FROM n WHERE len(w) >= 13)) WHERE gram IN (FROM g)
-  UNION SELECT n.id FROM n JOIN o ON contains(concat(' ', array_to_string(n.w, ' '), ' '), concat(' ', o.s, ' ')))"""
+  UNION SELECT id FROM j WHERE split = 'train' AND lower(p->>'repo_id') IN ('openai/human-eval', 'openai/grade-school-math', 'google-research/google-research') UNION SELECT n.id FROM n JOIN o ON contains(concat(' ', array_to_string(n.w, ' '), ' '), concat(' ', o.s, ' ')))"""
 
 
 def _hits(spark, d):
@@ -438,7 +438,8 @@ def _hits(spark, d):
     last = F.try_element_at(F.filter("turns", lambda t: t["role"] == "assistant"), F.lit(-1))["content"]
     items = readers.benchmark_items(held.select(F.col("id").alias("item"), spell(chat.first_user(F.col("turns"))).alias("prompt"), spell(F.when(F.size("turns") > 0, last).otherwise(F.col("text"))).alias("answer")), "prompt", "answer", "held-out")
     found = written(decontam.phrases(items))
-    return rows, decontam.matches(rows.filter("split = 'train'").select("id", spell(F.col("text")).alias("text")), found)
+    train = rows.filter("split = 'train'").select("id", spell(F.col("text")).alias("text"), F.get_json_object("payload", "$.repo_id").alias("repo_id"))
+    return rows, decontam.all_matches(train, found)
 
 
 @query("contamination_13gram", "B1 B2 S13 C4", CONTAM + " SELECT id FROM h")

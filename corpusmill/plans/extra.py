@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from corpusmill.functions import chat, media
 from corpusmill.functions.labels import source_key
 from corpusmill.functions.text import canonical_question, match_text, normalized, squeezed
-from corpusmill.operators import encode, filters, splits, views, windows
+from corpusmill.operators import dedup, encode, filters, splits, views, windows
 from corpusmill.operators.graph import components, star_edges
-from corpusmill.plans.corpus import CC, RECORDS, SOURCE
+from corpusmill.plans.corpus import CC, PHASH, RECORDS, SOURCE
 from corpusmill.plans.registry import query
 from corpusmill.plans.relational import PATTERN
 from corpusmill.session import TOKENIZERS, table
@@ -57,20 +57,58 @@ def _(spark, d):
     return windows.first_n(rows, ["run"], [F.desc("received_at"), F.desc("step")], 5).select("run", "received_at", "step")
 
 
-@query("review_closure", "G12", "SELECT o_orderkey AS candidate, CASE WHEN o_orderkey % 10 = 0 THEN 'undecided' WHEN o_orderkey % 10 = 1 THEN 'decided_twice' END AS problem FROM orders WHERE o_orderkey % 10 <= 1")
+@query(
+    "review_closure", "G12",
+    f"""WITH s AS (SELECT DISTINCT id, {PHASH} AS v FROM image_bands WHERE phash IS NOT NULL), n AS (SELECT a.id || '|' || b.id AS candidate, min(bit_count(xor(a.v, b.v))) AS bits FROM s a JOIN s b ON a.id < b.id AND bit_count(xor(a.v, b.v)) <= 6 GROUP BY 1),
+k AS (SELECT DISTINCT id, key FROM links WHERE key LIKE 'origin_id:%'), o AS (SELECT DISTINCT a.id || '|' || b.id AS candidate FROM k a JOIN k b ON a.key = b.key AND a.id < b.id), d AS (SELECT candidate FROM n WHERE bits = 0 UNION ALL SELECT candidate FROM o), c AS (SELECT candidate, count(*) AS k FROM d GROUP BY 1)
+SELECT coalesce(n.candidate, c.candidate) AS candidate, CASE WHEN n.candidate IS NULL THEN 'unknown' WHEN c.candidate IS NULL THEN 'undecided' WHEN k > 1 THEN 'decided_twice' END AS problem FROM n FULL JOIN c ON n.candidate = c.candidate WHERE n.candidate IS NULL OR c.candidate IS NULL OR k > 1""",
+)
 def _(spark, d):
-    c = table(spark, d, "orders").select(F.col("o_orderkey").alias("candidate"))
-    once = c.filter("candidate % 10 <> 0")
-    return splits.review_closure(c, once.unionByName(once.filter("candidate % 10 = 1")))
+    # candidates: near pictures; decided by equal hashes and, again, by one origin
+    bands = table(spark, d, "image_bands").select("id", dedup.parsed_sim_hash(F.col("phash")).alias("v"))
+    pair = F.concat_ws("|", "a", "b").alias("candidate")
+    near = dedup.band_pairs(bands, "id", "v", dedup.PICTURE_BANDS, 6).select(pair)
+    same = dedup.band_pairs(bands, "id", "v", [(0, 64)], 0).select(pair)
+    links = table(spark, d, "links").filter("key like 'origin_id:%'").distinct()
+    origin = links.join(links.withColumnRenamed("id", "b"), "key").filter("id < b").select(F.col("id").alias("a"), "b").distinct().select(pair)
+    return splits.review_closure(near, same.unionByName(origin))
 
 
-@query("conflict_overlay", "V4", f"WITH r AS ({RECORDS}), g AS (SELECT substr(group_root, 1, 2) AS c, group_root, split FROM r WHERE group_root IS NOT NULL AND split IS NOT NULL), t AS (SELECT c, bool_or(split = 'test') AS has_test FROM g GROUP BY c HAVING count(DISTINCT split) > 1) SELECT DISTINCT group_root, 'excluded' AS change FROM g JOIN t USING (c) WHERE split = 'train' UNION ALL SELECT DISTINCT group_root, 'promoted' FROM g JOIN t USING (c) WHERE split = 'val' AND has_test")
+@query(
+    "conflict_overlay", "V4",
+    CC + f", r AS ({RECORDS}), g AS (SELECT root AS c, group_root, split FROM m JOIN r USING (id) WHERE group_root IS NOT NULL AND split IS NOT NULL), t AS (SELECT c, bool_or(split = 'test') AS has_test FROM g GROUP BY c HAVING count(DISTINCT split) > 1) SELECT DISTINCT group_root, 'excluded' AS change FROM g JOIN t USING (c) WHERE split = 'train' UNION ALL SELECT DISTINCT group_root, 'promoted' FROM g JOIN t USING (c) WHERE split = 'val' AND has_test",
+)
 def _(spark, d):
-    rows = table(spark, d, "samples").select("id", "group_root", "split").dropDuplicates(["id"]).dropna()
-    out, up = views.conflict_overlay(rows.select(F.substring("group_root", 1, 2).alias("component"), "group_root", "split"))
+    links = table(spark, d, "links").select("id", "key").dropna().distinct()
+    own = components(star_edges(links, "id", "key")).select(F.col("node").alias("id"), F.col("root").alias("component"))
+    rows = table(spark, d, "samples").select("id", "group_root", "split").dropDuplicates(["id"]).dropna().join(own, "id")
+    out, up = views.conflict_overlay(rows)
     return out.withColumn("change", F.lit("excluded")).unionByName(up.withColumn("change", F.lit("promoted")))
 
 
+@query(
+    "origin_faults", "J11 J12",
+    f"WITH r AS ({RECORDS}), k AS (SELECT DISTINCT id, key FROM links WHERE key LIKE 'document%'), h AS (SELECT id, min(id) OVER (PARTITION BY key) AS hub FROM k), l AS (SELECT DISTINCT h.id, hub, split FROM h JOIN r USING (id) WHERE h.id <> hub AND stage = 'sft') SELECT l.id, CASE WHEN o.split IS NULL THEN 'missing_origin' WHEN o.stage <> 'pretrain' THEN 'origin_not_pretraining' ELSE 'split_mismatch' END AS fault FROM l LEFT JOIN r o ON o.id = hub WHERE o.split IS NULL OR o.stage <> 'pretrain' OR o.split <> l.split",
+)
+def _(spark, d):
+    # the origin of a tuning record is the first record of its documents
+    links = table(spark, d, "links").filter("key like 'document%'").select("id", "key").distinct()
+    rows = table(spark, d, "samples").select("id", "stage", "split").dropDuplicates(["id"])
+    derived = star_edges(links, "id", "key").select(F.col("a").alias("id"), F.col("b").alias("origin_id")).join(rows.filter("stage = 'sft'").select("id", "split"), "id")
+    return views.origin_faults(derived, rows)
+
+
+@query(
+    "rebound_media", "V9",
+    f"WITH r AS ({RECORDS}), k AS (SELECT DISTINCT id, key FROM links WHERE key LIKE 'document%'), h AS (SELECT id, min(id) OVER (PARTITION BY key) AS hub FROM k), l AS (SELECT DISTINCT h.id, hub, split, group_root FROM h JOIN r USING (id) WHERE h.id <> hub AND stage = 'sft'), f AS (SELECT l.group_root FROM l LEFT JOIN r o ON o.id = hub WHERE l.split = 'train' AND (o.split IS NULL OR o.stage <> 'pretrain' OR o.split <> l.split)) SELECT id, hub AS origin_id, group_root FROM l WHERE group_root IS NULL OR group_root NOT IN (SELECT group_root FROM f WHERE group_root IS NOT NULL)",
+)
+def _(spark, d):
+    links = table(spark, d, "links").filter("key like 'document%'").select("id", "key").distinct()
+    rows = table(spark, d, "samples").select("id", "stage", "split", "group_root").dropDuplicates(["id"])
+    derived = star_edges(links, "id", "key").select(F.col("a").alias("id"), F.col("b").alias("origin_id")).join(rows.filter("stage = 'sft'").drop("stage"), "id")
+    return views.rebound(derived, rows.drop("group_root")).select("id", "origin_id", "group_root")
+
+
 @query("incremental_groups", "G11 X7", CC + " SELECT id AS node, root FROM m WHERE id IN (SELECT x FROM e WHERE x <> y)")
 def _(spark, d):
     # a quarter of the ids arrives later; its keys bring in all their rows, older ones too

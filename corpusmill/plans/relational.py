@@ -42,13 +42,6 @@ def _(spark, d):
     return new.filter(F.col("new") != F.col("l_returnflag")).select("l_orderkey", "l_linenumber", F.col("l_returnflag").alias("old"), "new")
 
 
-@query("origin_faults", "J11 J12", "SELECT CAST(l_orderkey * 10 + l_linenumber AS VARCHAR) AS id, CASE WHEN o_orderkey IS NULL THEN 'missing_origin' WHEN o_orderstatus <> 'O' THEN 'origin_not_pretraining' WHEN o_orderpriority <> '1-URGENT' THEN 'split_mismatch' END AS fault FROM lineitem LEFT JOIN (SELECT * FROM orders WHERE o_orderkey % 3 <> 0) ON l_orderkey = o_orderkey WHERE o_orderkey IS NULL OR o_orderstatus <> 'O' OR o_orderpriority <> '1-URGENT'")
-def _(spark, d):
-    li = table(spark, d, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("string").alias("id"), F.col("l_orderkey").alias("origin_id"), F.lit("1-URGENT").alias("split"))
-    o = table(spark, d, "orders").filter("o_orderkey % 3 <> 0").select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderstatus") == "O", "pretrain").otherwise("other").alias("stage"), F.col("o_orderpriority").alias("split"))
-    return views.origin_faults(li, o)
-
-
 @query("counter_faults", "A10 A24 V10", "WITH p AS (SELECT l_returnflag, sum(l_linenumber)::BIGINT AS p FROM lineitem GROUP BY 1), r AS (SELECT l_returnflag, sum(l_linenumber)::BIGINT AS r FROM lineitem WHERE l_quantity > 40 GROUP BY 1), a AS (SELECT l_returnflag, sum(l_linenumber)::BIGINT AS a FROM lineitem WHERE l_quantity <= 40 AND l_returnflag <> 'A' GROUP BY 1) SELECT l_returnflag, p, coalesce(r, 0) AS r, coalesce(a, 0) AS a FROM p LEFT JOIN r USING (l_returnflag) LEFT JOIN a USING (l_returnflag) WHERE p - coalesce(r, 0) <> coalesce(a, 0)")
 def _(spark, d):
     li = table(spark, d, "lineitem")

@@ -4,24 +4,37 @@ from __future__ import annotations
 
 import hashlib
 import json
-import os
-import shutil
-from pathlib import Path
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, MapType, StructType
 
 from corpusmill.operators.windows import shards
 
 
+def _store(path: str):
+    """(JVM, file system, path) of a place on any store that Spark knows."""
+    spark = SparkSession.active()
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    return jvm, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
 def write_json(path: str, value: object) -> None:
-    """A small JSON document, put in place by a rename."""
-    target = Path(path)
-    target.parent.mkdir(parents=True, exist_ok=True)
-    part = target.with_name(f".{target.name}.part")
-    part.write_text(json.dumps(value, ensure_ascii=False, sort_keys=True, indent=1), encoding="utf-8")
-    os.replace(part, target)
+    """A small JSON document, put in place by a rename; on any store that Spark knows."""
+    jvm, store, target = _store(path)
+    part = jvm.org.apache.hadoop.fs.Path(target.getParent(), f".{target.getName()}.{uuid.uuid4().hex}")
+    out = store.create(part, True)
+    try:
+        out.write(json.dumps(value, ensure_ascii=False, sort_keys=True, indent=1).encode("utf-8"))
+    finally:
+        out.close()
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(store.getUri(), store.getConf())
+    option = jvm.java.lang.Class.forName("org.apache.hadoop.fs.Options$Rename")
+    over = jvm.java.lang.reflect.Array.newInstance(option, 1)
+    jvm.java.lang.reflect.Array.set(over, 0, option.getField("OVERWRITE").get(None))
+    context.rename(store.makeQualified(part), store.makeQualified(target), over)
 
 
 def digest(value: object) -> str:
@@ -74,8 +87,9 @@ def rollout_log(rows: DataFrame, path: str, binding: dict) -> str:
 
 
 def require_space(path: str, incoming: int, reserve: int = 10 << 30) -> None:
-    """An error unless the local disk holds the incoming bytes and a reserve."""
-    free = shutil.disk_usage(path).free
+    """An error unless the store of a path, which must exist, has room for the incoming bytes and a reserve."""
+    _, store, at = _store(path)
+    free = store.getStatus(at).getRemaining()
     if free - incoming < reserve:
         raise OSError(f"{free} bytes free, {incoming} coming in, {reserve} to stay free")
 

@@ -52,14 +52,23 @@ def test_native_record_faults(spark):
 
 def test_short_prompts_and_answers_match(spark):
     prompt = "write a function that adds two numbers"  # 7 words, 38 characters
-    answer = " ".join(f"w{i}" for i in range(20))
+    answer = " ".join(f"word{i}" for i in range(20))
     items = spark.createDataFrame([("p", prompt, None), ("q", "too short", answer)], "item string, prompt string, answer string")
     found = decontam.phrases(items)
-    rows = [(1, f"please {prompt} now"), (2, "too short"), (3, "x " + " ".join(f"w{i}" for i in range(4, 17))), (4, "rewrite a function that adds two numbers"), (5, "")]
+    rows = [(1, f"please {prompt} now"), (2, "too short"), (3, "x " + " ".join(f"word{i}" for i in range(4, 17))), (4, "rewrite a function that adds two numbers"), (5, "")]
     got = {r.id: r.item for r in decontam.matches(spark.createDataFrame(rows, "id long, text string"), found).collect()}
     assert got == {1: "p", 3: "q"}
 
 
+def test_short_grams_and_upstream_repositories(spark):
+    short, long = " ".join(["ab"] * 13), " ".join(["abcde"] * 13)
+    items = spark.createDataFrame([("p", None, short + " x " + long)], "item string, prompt string, answer string")
+    found = decontam.phrases(items)
+    assert all(len(r.phrase) >= 64 for r in found.collect())
+    rows = spark.createDataFrame([(1, short, None), (2, long, None), (3, "", "OpenAI/human-eval.git"), (4, long, "openai/human-eval"), (5, "x", "a/b")], "id long, text string, repo_id string")
+    assert {r.id: r.item for r in decontam.all_matches(rows, found).collect()} == {2: "p", 3: "upstream_repository", 4: "upstream_repository"}
+
+
 def test_phrases_of_many_lengths_equal_a_search(spark):
     import random
 

@@ -172,3 +172,25 @@ def test_pictures_take_places_before_the_question(spark):
     df = spark.createDataFrame(rows, f"id string, s {encode.SEGMENTS}, media array<struct<width:int,height:int>>")
     got = {r.id: [x.marker for x in r.x] for r in df.select("id", encode.multimodal_segments(F.col("s"), F.col("media")).alias("x")).collect()}
     assert got["a"] == [4, 20, *[9] * 4, 10, 20, *[9] * 256, 10, 20, 9, 10, None] and got["b"] == [5]
+
+
+def test_documents_and_logs_are_put_in_place_once(spark, tmp_path):
+    import json
+
+    from corpusmill.sources import sinks
+
+    target = tmp_path / "sub" / "m.json"
+    for v in ({"b": 1}, {"b": [2, "ß"]}):
+        sinks.write_json(str(target), v)
+        assert json.loads(target.read_text(encoding="utf-8")) == v
+    assert [f.name for f in target.parent.iterdir() if not f.name.endswith(".crc")] == ["m.json"]
+    df = spark.createDataFrame([("a", "train", 1), ("b", "val", 2)], "id string, split string, n int")
+    name = sinks.rollout_log(df, str(tmp_path / "log"), {"policy": "p", "step": 3})
+    assert spark.read.parquet(str(tmp_path / "log" / name)).count() == 2 and json.loads((tmp_path / "log" / f"{name}.json").read_text())["step"] == 3
+    with pytest.raises(Exception, match="(?i)already exists"):
+        sinks.rollout_log(df, str(tmp_path / "log"), {"step": 3, "policy": "p"})
+    sinks.jsonl_by_split(df, str(tmp_path / "splits"))
+    assert spark.read.json(str(tmp_path / "splits" / "split=val")).first().n == 2
+    sinks.require_space(str(tmp_path), 1, 1)
+    with pytest.raises(OSError, match="bytes free"):
+        sinks.require_space(str(tmp_path), 1 << 60)
