@@ -26,6 +26,7 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -194,12 +195,11 @@ def probed(a: np.ndarray) -> np.ndarray:
     return a - -(-NUM * a // DEN) + 1
 
 
-def text_keys(members: DataFrame, counts: np.ndarray) -> DataFrame:
+def text_keys(members: DataFrame, shared: Broadcast) -> DataFrame:
     """(key, rk, w): a row for each class and shingle that it probes; w packs KEY_BITS min-hash bits and the set's size.
 
-    counts: shingle_counts of the texts. Copies within a batch have one row.
+    shared: shingle_counts of the texts. Copies within a batch have one row.
     """
-    shared = members.sparkSession.sparkContext.broadcast(counts)
 
     def on(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
@@ -246,7 +246,9 @@ def _near(a: pd.Series, b: pd.Series) -> pd.Series:
 
 def class_pairs(members: DataFrame) -> DataFrame:
     """(tha, thb): pairs of different text classes whose texts are near. Verified exactly."""
-    cand = class_candidates(text_keys(members, shingle_counts(members.select("text"))), members)
+    shared = members.sparkSession.sparkContext.broadcast(shingle_counts(members.select("text")))
+    cand = class_candidates(text_keys(members, shared), members)
+    shared.destroy()
     used = written(cand.select(F.col("ra").alias("rk")).unionByName(cand.select(F.col("rb").alias("rk"))).distinct())
     few = F.broadcast(used) if used.count() <= PICKED else used
     texts = written(members.select("rk", "th", "text").join(few, "rk", "left_semi").dropDuplicates(["th"]))
