@@ -6,13 +6,13 @@ candidate counts, partitions are probed, and every candidate is verified exactly
 
 * Pictures: 64 bits of a perceptual hash, of which 6 may differ. Correlated bits share a
   partition, and dynamic programming gives thresholds t_i with sum(t_i + 1) = 7.
-* Texts: a bit for each 5-character shingle. Of a set of a shingles a near one lacks at most
-  a - ceil(0.85 a), so thresholds of -1 (not probed) and 0 (probed) suffice, with one partition
-  more of threshold 0 than that. With these two thresholds alone the programme is a choice of the
-  partitions with the least estimated candidates, in one order for all texts: then the cheapest
-  shingle that two near texts share is among those that either probes. Partitions are single
-  shingles: with shingles that stand side by side in one partition, as for pictures, check_l needs
-  9.0 million keys and meets 150 million pairs, with single ones 7.7 and 92 million.
+* Texts: a bit for each 5-character shingle. Thresholds are -1 (not probed) and 0 (probed), and
+  one partition more is probed than near sets can differ in; with these two thresholds the
+  programme is a choice of the partitions with the least estimated candidates, in one order for all
+  texts, so the cheapest partition in which two near texts agree is among those that either probes
+  (base.py). Partitions are single shingles or, where so many texts would share one that it
+  costs more, groups of several: the cheaper of the two by keys and candidates estimated for the
+  whole collection.
 
 Candidates of texts pass three bounds before their texts are compared: the sizes of the sets, and
 one-bit min-hashes in two parts, of which a near pair breaks either with a chance below 10^-8.
@@ -32,12 +32,10 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions.shingles import jaccard_at_least, shingle_sets
 from corpusmill.functions.text import py_squeezed
-from corpusmill.llm.base import batches, rare_first, samples, shingle_counts, sketches, text_hash
+from corpusmill.llm.base import DEN, NUM, batches, cheaper_keys, samples, shingle_counts, single_keys, sketches, text_hash
 from corpusmill.operators.graph import components, star_edges
 from corpusmill.session import table, written
 
-#: Least similarity, as a fraction of whole numbers.
-NUM, DEN = 85, 100
 #: Pictures: most bits of difference.
 BITS, RADIUS = 64, 6
 #: Rows from which candidate counts are estimated; only costs depend on the estimate.
@@ -190,15 +188,11 @@ def text_members(records: DataFrame) -> DataFrame:
     return written(records.select("id", "text").mapInPandas(on, "id string, th binary, rk long, sk long, text string"))
 
 
-def probed(a: np.ndarray) -> np.ndarray:
-    """Partitions of threshold 0 of sets of a shingles: one more than a near set can lack."""
-    return a - -(-NUM * a // DEN) + 1
+def text_keys(members: DataFrame, shared: Broadcast, keys_of=single_keys) -> DataFrame:
+    """(key, rk, w): a row for each class and partition that it probes; w packs KEY_BITS min-hash bits and the set's size.
 
-
-def text_keys(members: DataFrame, shared: Broadcast) -> DataFrame:
-    """(key, rk, w): a row for each class and shingle that it probes; w packs KEY_BITS min-hash bits and the set's size.
-
-    shared: shingle_counts of the texts. Copies within a batch have one row.
+    shared: shingle_counts of the texts; keys_of: single_keys or coarse_keys. Copies within a
+    batch have one row.
     """
 
     def on(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -207,12 +201,8 @@ def text_keys(members: DataFrame, shared: Broadcast) -> DataFrame:
             rks, texts = np.fromiter(own, dtype=np.int64, count=len(own)), list(own.values())
             for a, b in batches(texts):
                 sets, starts = shingle_sets(texts[a:b])
-                n = np.diff(starts)
-                rank = np.arange(len(sets)) - np.repeat(starts[:-1], n)
-                taken = rank < np.repeat(probed(n), n)
-                keys = np.split(sets[rare_first(sets, starts, shared.value)][taken].view(np.int64), np.cumsum(probed(n))[:-1])
-                w = (sketches(sets, starts, KEY_BITS, 1) << np.uint64(16)) | np.minimum(n, 0xFFFF).astype(np.uint64)
-                yield pd.DataFrame({"rk": rks[a:b], "w": w.view(np.int64), "keys": keys})
+                w = (sketches(sets, starts, KEY_BITS, 1) << np.uint64(16)) | np.minimum(np.diff(starts), 0xFFFF).astype(np.uint64)
+                yield pd.DataFrame({"rk": rks[a:b], "w": w.view(np.int64), "keys": keys_of(sets, starts, shared.value)})
 
     rows = members.select("rk", "text").mapInPandas(on, "rk long, w long, keys array<long>")
     return rows.select(F.explode("keys").alias("key"), "rk", "w")
@@ -246,8 +236,10 @@ def _near(a: pd.Series, b: pd.Series) -> pd.Series:
 
 def class_pairs(members: DataFrame) -> DataFrame:
     """(tha, thb): pairs of different text classes whose texts are near. Verified exactly."""
-    shared = members.sparkSession.sparkContext.broadcast(shingle_counts(members.select("text")))
-    cand = class_candidates(text_keys(members, shared), members)
+    counts = shingle_counts(members.select("text"))
+    keys_of = cheaper_keys(members.select("text"), members.count(), counts)
+    shared = members.sparkSession.sparkContext.broadcast(counts)
+    cand = class_candidates(text_keys(members, shared, keys_of), members)
     shared.destroy()
     used = written(cand.select(F.col("ra").alias("rk")).unionByName(cand.select(F.col("rb").alias("rk"))).distinct())
     few = F.broadcast(used) if used.count() <= PICKED else used

@@ -26,10 +26,9 @@ from pyspark.sql import functions as F
 from corpusmill.functions.labels import source_key
 from corpusmill.functions.shingles import WIDTH, jaccard_at_least, most_apart, odd_sketches, placed_shingles, shingle_sets
 from corpusmill.functions.text import py_question, py_squeezed
-from corpusmill.llm.base import batches, buckets, samples, shingle_counts, text_hash
+from corpusmill.llm.base import DEN, NUM, batches, buckets, coarse_keys, probed, samples, shingle_counts, text_hash
 from corpusmill.session import forget, written
 
-NUM, DEN = 85, 100
 #: Passages and characters of evaluation text in one automaton: bound what is broadcast (some
 #: 15 MB) and the automaton in a Python worker (some 150 MB).
 BLOCK_PROBES, BLOCK_CHARS = 1_200_000, 12_000_000
@@ -91,19 +90,14 @@ def distinct_texts(rows: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- passages
 
 
-def probes(a: int) -> int:
-    """Shingles to probe of a set of a: one more than a near set can lack."""
-    return a - -(-NUM * a // DEN) + 1
-
-
 def passages(text: str, counts: np.ndarray) -> np.ndarray:
     """Places of the shingles to probe, the rarest; where a shingle stands several times, the first."""
     each, first = np.unique(placed_shingles([text])[0], return_index=True)
     rare = np.lexsort((each, counts[buckets(each)]))
-    return np.sort(first[rare[: probes(len(each))]])
+    return np.sort(first[rare[: probed(len(each))]])
 
 
-def probed(texts: DataFrame, counts: np.ndarray) -> DataFrame:
+def held_blocks(texts: DataFrame, counts: np.ndarray) -> DataFrame:
     """(th, text, places, block), written: held-out texts with the passages to probe, in blocks."""
     spark = texts.sparkSession
     shared = spark.sparkContext.broadcast(counts)
@@ -216,25 +210,52 @@ def _scan(name: str, shared):
     return on
 
 
+def routed(train: DataFrame, blocks: DataFrame, counts: np.ndarray) -> DataFrame:
+    """(th, text, block), written: training texts with the blocks that hold a text near them, and some others.
+
+    Near texts share a key of several shingles (base.coarse_keys), so a text visits few blocks and
+    no near pair is lost.
+    """
+    shared = train.sparkSession.sparkContext.broadcast(counts)
+
+    def on(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            own = pdf["text"].tolist()
+            for a, b in batches(own):
+                yield pd.DataFrame({"th": pdf["th"].iloc[a:b], "keys": coarse_keys(*shingle_sets(own[a:b]), shared.value)})
+
+    keys = lambda df: df.select("th", "text").mapInPandas(on, "th binary, keys array<long>").select("th", F.explode("keys").alias("key"))
+    held = keys(blocks).join(blocks.select("th", "block"), "th").select("key", "block").distinct()
+    met = keys(train).join(held, "key").select("th", "block").distinct()
+    out = written(train.join(met, "th").repartitionByRange("block").sortWithinPartitions("block"))
+    shared.destroy()
+    return out
+
+
 def near_across(texts: DataFrame) -> DataFrame:
     """(tt, te, begins, ends): rows with tt are pairs of a training and a near held-out text, by
     their hashes; rows without hold intervals of te that stand in near training texts.
 
     One automaton a block. A block of bounded size is collected, broadcast, scanned with and
-    destroyed before the next; training texts are read once a block.
+    destroyed before the next. A single block meets all training texts; where there are more,
+    a text visits only those that it shares a key with.
     """
     spark = texts.sparkSession
     train = texts.filter("train").select("th", "text")
-    blocks = probed(texts, shingle_counts(train.select("text")))
+    counts = shingle_counts(train.select("text"))
+    blocks = held_blocks(texts, counts)
     whole = texts.filter("train and held")
     out = whole.select(F.col("th").alias("tt"), F.col("th").alias("te"), F.lit(None).cast("array<int>").alias("begins"), F.lit(None).cast("array<int>").alias("ends"))
     out = out.unionByName(whole.select(F.lit(None).cast("binary").alias("tt"), F.col("th").alias("te"), F.array(F.lit(0)).alias("begins"), F.array(F.length("text")).alias("ends")))
-    for k in range((blocks.agg(F.max("block")).first()[0] or 0) + 1):
+    number = (blocks.agg(F.max("block")).first()[0] or 0) + 1
+    visits = train if number == 1 else routed(train, blocks, counts)
+    for k in range(number):
         part = blocks.filter(F.col("block") == k).select("th", "text", "places").toArrow()  # BLOCK_PROBES and BLOCK_CHARS, about
         if not part.num_rows:
             continue
         shared = spark.sparkContext.broadcast((part["th"].to_pylist(), part["text"].to_pylist(), [np.asarray(p, dtype=np.int64) for p in part["places"].to_numpy()]))
-        found = written(train.mapInPandas(_scan(f"{spark.sparkContext.applicationId}-{shared._jbroadcast.id()}", shared), _NEAR))
+        own = visits if number == 1 else visits.filter(F.col("block") == k).select("th", "text")
+        found = written(own.mapInPandas(_scan(f"{spark.sparkContext.applicationId}-{shared._jbroadcast.id()}", shared), _NEAR))
         shared.destroy()
         out = out.unionByName(found)
     return out

@@ -8,7 +8,7 @@ import unicodedata
 import numpy as np
 import pytest
 
-from corpusmill.llm import neardup, overlap, splits
+from corpusmill.llm import base, neardup, overlap, splits
 
 from .conftest import sample
 
@@ -109,7 +109,7 @@ def test_several_blocks_and_small_arrays(spark, folder, monkeypatch):
 
 def test_probed_shingles_are_more_than_a_near_text_lacks():
     for a in range(1, 5_000):
-        assert overlap.probes(a) - 1 == max(m for m in range(a) if 100 * (a - m) >= 85 * a)
+        assert base.probed(a) - 1 == max(m for m in range(a) if 100 * (a - m) >= 85 * a)
 
 
 def test_coverage_is_the_union_of_all_training_texts(spark, folder):
@@ -198,25 +198,51 @@ def test_thresholds_keep_the_pigeonhole_bound():
         assert sum(t + 1 for _, t in parts) == 7 and all(not (a & b) for (a, _), (b, _) in itertools.combinations(parts, 2))
 
 
-def test_near_sets_share_a_probed_shingle():
-    from corpusmill.llm.base import BUCKETS, rare_first
-
+@pytest.mark.parametrize("keys_of", [base.single_keys, base.coarse_keys])
+def test_near_sets_share_a_key(keys_of):
     rng = np.random.default_rng(3)
-    counts = rng.integers(0, 6, BUCKETS)  # many ties
-    met = 0
-    for _ in range(3_000):
+    counts = rng.integers(0, 6, base.BUCKETS)  # many ties
+    small, large = [], []
+    for _ in range(4_000):
         a = int(rng.integers(1, 300))
-        small = np.sort(rng.choice(1 << 47, a, replace=False).astype(np.uint64))
+        own = rng.choice(1 << 47, a, replace=False).astype(np.uint64)
         lost = int(rng.integers(0, a - -(-85 * a // 100) + 1))
-        gain = int((a - lost) / 0.85 - a)
-        other = np.sort(np.concatenate((rng.permutation(small)[lost:], rng.choice(1 << 47, max(gain, 0), replace=False).astype(np.uint64) + np.uint64(1 << 47))))
-        both = len(np.intersect1d(small, other))
-        if 100 * both < 85 * (a + len(other) - both):
-            continue
-        keys = [set(x[rare_first(x, np.array([0, len(x)]), counts)][: neardup.probed(np.array([len(x)]))[0]].tolist()) for x in (small, other)]
-        assert keys[0] & keys[1]
-        met += 1
-    assert met > 1_000
+        gain = max(int((a - lost) / 0.85 - a), 0)
+        other = np.concatenate((rng.permutation(own)[lost:], rng.choice(1 << 47, gain, replace=False).astype(np.uint64) + np.uint64(1 << 47)))
+        if 100 * (a - lost) >= 85 * (a + gain):
+            small.append(np.sort(own))
+            large.append(np.sort(other))
+    assert len(small) > 1_500
+    x, y = (keys_of(np.concatenate(s), np.concatenate(([0], np.cumsum([len(v) for v in s]))), counts) for s in (small, large))
+    assert all(set(a.tolist()) & set(b.tolist()) for a, b in zip(x, y, strict=True))
+
+
+def prose(count):
+    rng = random.Random(9)
+    words = ["".join(rng.choice("etaoinshrdlu") for _ in range(rng.randrange(3, 9))) for _ in range(2_000)]
+    return [squeezed(" ".join(rng.choices(words, k=rng.randrange(30, 120)))) for _ in range(count)]
+
+
+def test_coarse_keys_set_unlike_texts_apart():
+    body = prose(1_500)
+    sets, starts = base.shingle_sets(body)
+    counts = np.bincount(base.buckets(sets), minlength=base.BUCKETS)
+    single, coarse = (base.chance_pairs(f(sets, starts, counts)) for f in (base.single_keys, base.coarse_keys))
+    assert coarse < 0.1 * single
+
+
+@pytest.mark.parametrize("keys_of", [base.single_keys, base.coarse_keys])
+def test_either_kind_of_keys_finds_the_same(spark, folder, monkeypatch, keys_of):
+    rows = [sample(f"i{k:03}", t) for k, t in enumerate(texts(150, 31))]
+    monkeypatch.setattr(neardup, "cheaper_keys", lambda *a: keys_of)
+    pairs = {(a[0], b[0]) for a, b in itertools.combinations(rows, 2) if near(a[5], b[5])}
+    assert {tuple(r)[1:] for r in neardup.found(spark, folder(samples=rows)).collect()} == pairs and len(pairs) > 20
+
+
+def test_large_collections_get_coarse_keys(spark):
+    df = spark.createDataFrame([(t,) for t in prose(1_500)], "text string")
+    counts = base.shingle_counts(df)
+    assert base.cheaper_keys(df, 1_500, counts) is base.single_keys and base.cheaper_keys(df, 10**9, counts) is base.coarse_keys
 
 
 def test_sketch_bounds():
