@@ -36,6 +36,20 @@ QUALITY = rf"""CASE WHEN text IS NULL THEN 'missing_payload'
      WHEN {LETTERS} < 30 THEN 'insufficient_language_content'
      WHEN ({LANG} = 'zh' AND {HAN} < 0.4 * {LETTERS}) OR ({LANG} = 'en' AND {LATIN} < 0.7 * {LETTERS}) THEN 'language_script_mismatch' END"""
 RECORDS = "SELECT DISTINCT * FROM samples"
+_FULL = "".join(chr(c) for c in range(0xFF01, 0xFF5F)).replace("'", "''")
+_PLAIN = "".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)).replace("'", "''")
+_WHITE = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+
+
+def squeezed_sql(c: str) -> str:
+    """NFKC, case folded, without white space, as far as full-width forms, ß and the ellipsis go: SQL has neither form."""
+    return f"replace(replace(lower(regexp_replace(translate({c}, '{_FULL}', '{_PLAIN}'), '{_WHITE}', '', 'g')), 'ß', 'ss'), '…', '...')"
+
+
+#: near(x, y, c, u): pairs of records, x < y, that share 85 % of their 5-character substrings, c of u.
+NEAR = f"""r AS ({RECORDS}), t AS (SELECT id, s FROM (SELECT id, {squeezed_sql("text")} AS s FROM r) WHERE s <> ''),
+g AS (SELECT id, unnest(list_distinct(list_transform(generate_series(1, greatest(1, length(s) - 4)), lambda i: substr(s, i, 5)))) AS g FROM t), n AS (SELECT id, count(*) AS n FROM g GROUP BY id),
+o AS (SELECT a.id AS x, b.id AS y, count(*) AS c FROM g a JOIN g b ON a.g = b.g AND a.id < b.id GROUP BY 1, 2), near AS (SELECT x, y, c, a.n + b.n - c AS u FROM o JOIN n a ON a.id = x JOIN n b ON b.id = y WHERE 100 * c >= 85 * (a.n + b.n - c))"""
 
 
 def _records(spark, d, *columns):
@@ -191,13 +205,13 @@ def _(spark, d):
     return dedup.exact_similar(rows, probe=F.coalesce(F.col("split").isin("val", "test"), F.lit(False))).select("a", "b", F.col("overlap").cast("long"), F.col("united").cast("long"))
 
 
-@query("shingle_pairs", "D2 D7 J13")
+@query("shingle_pairs", "D2 D7 J13", f"WITH {NEAR} SELECT x AS a, y AS b, c AS overlap, u AS united FROM near")
 def _(spark, d):
     sets = dedup.shingle_table(_records(spark, d, "id", "text"), "id", "text")
     return dedup.exact_similar(sets).select("a", "b", F.col("overlap").cast("long"), F.col("united").cast("long"))
 
 
-@query("shingle_holdout_audit", "D8 D9 X7")
+@query("shingle_holdout_audit", "D8 D9 X7", f"WITH {NEAR} SELECT x AS a, y AS b, c AS overlap, u AS united FROM near JOIN r a ON a.id = x JOIN r b ON b.id = y WHERE coalesce(a.split IN ('val', 'test'), false) OR coalesce(b.split IN ('val', 'test'), false)")
 def _(spark, d):
     rows = _records(spark, d, "id", "split", "text")
     held = rows.filter("split in ('val', 'test')").select("id", F.lit(True).alias("held"))

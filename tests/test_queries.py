@@ -95,26 +95,17 @@ def stored_simhash_check(got):
     assert rows(got, "id", "state") == want
 
 
-def _pairs(near):
+@pytest.mark.parametrize("name", ["shingle_pairs", "shingle_holdout_audit"])
+def test_pairs_of_shingle_sets_by_hand(spark, name):
     r = records()
     sets = {i: grams(t) for i, t in zip(r.id, r.text, strict=True)}
     split = dict(zip(r.id, r.split, strict=True))
-    out = set()
+    want = set()
     for a, b in itertools.combinations(sorted(sets), 2):
         both = len(sets[a] & sets[b])
-        if 100 * both >= 85 * (len(sets[a]) + len(sets[b]) - both) and near(split[a], split[b]):
-            out.add((a, b, both, len(sets[a]) + len(sets[b]) - both))
-    return out
-
-
-@by_hand
-def shingle_pairs(got):
-    assert rows(got, "a", "b", "overlap", "united") == _pairs(lambda a, b: True)
-
-
-@by_hand
-def shingle_holdout_audit(got):
-    assert rows(got, "a", "b", "overlap", "united") == _pairs(lambda a, b: {a, b} & {"val", "test"})
+        if 100 * both >= 85 * (len(sets[a]) + len(sets[b]) - both) and (name == "shingle_pairs" or {split[a], split[b]} & {"val", "test"}):
+            want.add((a, b, both, len(sets[a]) + len(sets[b]) - both))
+    assert rows(QUERIES[name](spark, DATA), "a", "b", "overlap", "united") == want
 
 
 @by_hand
