@@ -21,4 +21,5 @@ def test_same_rows_as_sql(spark, name):
     names = [d[0] for d in cursor.description]
     assert sorted(names) == columns
     order = [names.index(c) for c in columns]
-    assert sorted(tuple(r) for r in df.select(*columns).collect()) == sorted(tuple(r[i] for i in order) for r in cursor.fetchall())
+    got = sorted((tuple(r) for r in df.select(*columns).collect()), key=str)
+    assert got == sorted((tuple(r[i] for i in order) for r in cursor.fetchall()), key=str)
