@@ -9,7 +9,7 @@ from corpusmill.functions.labels import language_key, source_key
 from corpusmill.operators import decontam, dedup, filters, reports, splits, views
 from corpusmill.operators.graph import star_edges
 from corpusmill.plans.registry import query
-from corpusmill.session import table, written
+from corpusmill.session import table
 from corpusmill.sources import readers
 
 LETTERS = r"length(regexp_replace(text, '[^\p{L}]', '', 'g'))"
@@ -447,24 +447,22 @@ h AS (SELECT DISTINCT id FROM (SELECT id, array_to_string(w[k:k+12], ' ') AS gra
 def _hits(spark, d):
     """Items are the held-out records: their opening question as prompt, their last answer, or the text where they have no turns, as answer."""
     spell = lambda c: F.array_join(expr.simple_words(c), " ")
-    rows = _records(spark, d, "id", "group_root", "split", "text", "payload").withColumn("turns", chat.parsed_turns(F.col("payload")))
-    held = rows.filter("split in ('val', 'test')")
+    rows = table(spark, d, "samples")  # repeated rows change no match
+    held = rows.filter("split in ('val', 'test')").select("id", "text", chat.parsed_turns(F.col("payload")).alias("turns"))
     last = F.try_element_at(F.filter("turns", lambda t: t["role"] == "assistant"), F.lit(-1))["content"]
     items = readers.benchmark_items(held.select(F.col("id").alias("item"), spell(chat.first_user(F.col("turns"))).alias("prompt"), spell(F.when(F.size("turns") > 0, last).otherwise(F.col("text"))).alias("answer")), "prompt", "answer", "held-out")
-    found = written(decontam.phrases(items))
     train = rows.filter("split = 'train'").select("id", spell(F.col("text")).alias("text"), F.get_json_object("payload", "$.repo_id").alias("repo_id"))
-    return rows, decontam.all_matches(train, found)
+    return decontam.all_matches(train, decontam.all_phrases(items))
 
 
 @query("contamination_13gram", "B1 B2 S13 C4", CONTAM + " SELECT id FROM h")
 def _(spark, d):
-    return _hits(spark, d)[1].select("id")
+    return _hits(spark, d).select("id")
 
 
 @query("contamination_groups", "B3 G5", CONTAM + " SELECT id FROM r WHERE group_root IN (SELECT group_root FROM r WHERE id IN (FROM h))")
 def _(spark, d):
-    rows, hit = _hits(spark, d)
-    return decontam.excluded(rows, hit).select("id")
+    return decontam.excluded(_records(spark, d, "id", "group_root"), _hits(spark, d)).select("id")
 
 
 # ---------------------------------------------------------------- chats
