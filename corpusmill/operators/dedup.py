@@ -6,7 +6,7 @@ independent set of a conflict graph, found in rounds over DataFrames.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from hashlib import blake2b
 from itertools import combinations, pairwise
 
@@ -15,7 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusmill.functions.shingles import WIDTH, shingle_sets
+from corpusmill.functions.keys import BUCKETS, CLASS_RATIO, buckets, coarse_keys
+from corpusmill.functions.shingles import WIDTH, mix, most_apart, shingle_sets
 from corpusmill.functions.text import py_squeezed
 from corpusmill.session import forget, written
 
@@ -191,30 +192,213 @@ def admitted(rows: DataFrame, conflicts: DataFrame, cap: int = 3) -> DataFrame:
 # ---------------------------------------------------------------- exact set similarity
 
 
+#: Elements and sets that are handled as one array; sets a part of the keys, and least parts where there are enough; keys that are sorted at once.
+_BATCH, _SETS, _PART, _PARTS, _SORTED = 1_000_000, 2_000, 80_000, 12, 2_000_000
+#: Classes whose ids are broadcast (8 bytes each) to pick their sets; more are joined.
+PICKED = 500_000
+
+#: From some values to the places of those that have a set, their sorted elements, and starts: set i owns elements[starts[i]:starts[i + 1]].
+SetsOf = Callable[[list], tuple[np.ndarray, np.ndarray, np.ndarray]]
+
+
+def shingles_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashed 5-character shingles; a blank text has no set."""
+    own = [py_squeezed(t) for t in texts]
+    keep = [i for i, t in enumerate(own) if t]
+    return np.array(keep, dtype=np.int64), *shingle_sets([own[i] for i in keep])
+
+
+def tokens_of(arrays: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct values of arrays of hashes; an empty array has no set."""
+    own = [np.unique(np.asarray(x, dtype=np.int64).view(np.uint64)) for x in arrays]
+    keep = [i for i, x in enumerate(own) if len(x)]
+    return np.array(keep, dtype=np.int64), np.concatenate([np.zeros(0, np.uint64), *own]), np.concatenate(([0], np.cumsum([len(own[i]) for i in keep]))).astype(np.int64)
+
+
+def _batched(frames: Iterator[pd.DataFrame], sets_of: SetsOf) -> Iterator[tuple[pd.DataFrame, np.ndarray, np.ndarray, np.ndarray]]:
+    """Rows with a set, their elements, starts and classes; equal sets are one class, named by 64 bits of a hash."""
+    for pdf in frames:
+        begin, many = 0, 0
+        sizes = [len(x) for x in pdf["x"]]
+        for i in range(len(pdf) + 1):
+            if i == len(pdf) or (i > begin and (many + sizes[i] > _BATCH or i - begin >= _SETS)):
+                keep, h, starts = sets_of(pdf["x"].iloc[begin:i].tolist()) if i > begin else ((), None, None)
+                if len(keep):
+                    c = mix(np.add.reduceat(mix(h + np.uint64(4321)), starts[:-1]) + np.diff(starts).astype(np.uint64))
+                    yield pdf.iloc[begin + keep], h, starts, c
+                begin, many = i, 0
+            many += sizes[i] if i < len(pdf) else 0
+
+
+def _parities(h: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Parities of each set's elements in cells, two elements a cell at most, and the 64-bit words of each (a power of two).
+
+    Two sets differ in at least as many elements as their parities in bits.
+    """
+    n = np.diff(starts)
+    words = np.minimum(16, 1 << np.ceil(np.log2(np.maximum(n / 128, 1))).astype(np.int64))
+    begin = np.cumsum(words) - words
+    cell = (np.repeat(begin, n) << 6) + (mix(h + np.uint64(99)) & np.repeat(64 * words - 1, n).astype(np.uint64)).astype(np.int64)
+    odd = (np.bincount(cell, minlength=64 * int(words.sum())) & 1).astype(np.uint8)
+    return np.packbits(odd, bitorder="little").view(np.uint64), words
+
+
+def _packed(part: int, take: np.ndarray, own: np.ndarray, low: np.ndarray, c: np.ndarray, n: np.ndarray, asks: np.ndarray, bits: np.ndarray, words: np.ndarray) -> bytes:
+    """The keys of a part as bytes: class, size, parities of each set that has some, then 5 bytes a key."""
+    who, many = np.unique(own[take], return_counts=True)
+    at = np.repeat((np.cumsum(words) - words)[who], words[who]) + np.arange(words[who].sum()) - np.repeat(np.cumsum(words[who]) - words[who], words[who])
+    key = low[take]
+    fields = (c[who], bits[at], n[who].astype(np.uint32), many.astype(np.uint32), (key & np.uint64(0xFFFFFFFF)).astype(np.uint32), words[who].astype(np.uint8), asks[who].astype(np.uint8), (key >> np.uint64(32)).astype(np.uint8))
+    return np.array([len(who), len(at), len(take)], dtype=np.uint32).tobytes() + b"".join(x.tobytes() for x in fields)
+
+
+def _unpacked(blob: bytes) -> list[np.ndarray]:
+    sets, words, keys = np.frombuffer(blob, dtype=np.uint32, count=3).tolist()
+    out, at = [], 12
+    for kind, many in ((np.uint64, sets), (np.uint64, words), (np.uint32, sets), (np.uint32, sets), (np.uint32, keys), (np.uint8, sets), (np.uint8, sets), (np.uint8, keys)):
+        out.append(np.frombuffer(blob, dtype=kind, count=many, offset=at))
+        at += out[-1].nbytes
+    return out
+
+
+def _bits_apart(bits: np.ndarray, begin: np.ndarray, words: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Bits in which the parities of sets a and b differ; the longer ones are folded."""
+    out, least = np.zeros(len(a), dtype=np.int64), np.minimum(words[a], words[b])
+    for m in np.unique(least).tolist():
+        at = np.flatnonzero(least == m)
+        x, y = a[at], b[at]
+        for j in range(m):
+            v = bits[begin[x] + j] ^ bits[begin[y] + j]
+            for s in (x, y):
+                for k in range(j + m, int(words[s].max()), m):
+                    v ^= np.where(words[s] > k, bits[np.minimum(begin[s] + k, len(bits) - 1)], np.uint64(0))
+            out[at] += np.bitwise_count(v)
+    return out
+
+
+def _meetings(blobs: list[bytes], num: int, den: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Classes of a part that share a key, of which one asks, and whose sizes and parities fit."""
+    c, bits, n, many, low, words, asks, high = (np.concatenate(x) for x in zip(*map(_unpacked, blobs), strict=True))
+    classes, first, number = np.unique(c, return_index=True, return_inverse=True)
+    asked = np.bincount(number, weights=asks, minlength=len(classes)) > 0  # of copies, any
+    begin, size, words = (np.cumsum(words, dtype=np.int64) - words)[first], n[first].astype(np.int64), words[first].astype(np.int64)
+    owner, key = np.repeat(number, many), (high.astype(np.uint64) << np.uint64(32)) | low
+    rounds = max(1, -(-len(key) // _SORTED))
+    for r in range(rounds):
+        mine = np.flatnonzero(key % np.uint64(rounds) == r)
+        order = mine[np.lexsort((owner[mine], key[mine]))]
+        k, o = key[order], owner[order]
+        once = np.concatenate(([True], (k[1:] != k[:-1]) | (o[1:] != o[:-1])))
+        k, o = k[once], o[once]
+        last = np.searchsorted(k, k, side="right")
+        left, found = np.arange(len(k)), []
+        for s in range(1, len(k)):
+            left = left[left + s < last[left]]
+            if not len(left):
+                break
+            a, b = o[left], o[left + s]
+            fits = (asked[a] | asked[b]) & (size[a] * den >= size[b] * num) & (size[b] * den >= size[a] * num)
+            a, b = a[fits], b[fits]
+            near = _bits_apart(bits, begin, words, a, b) <= most_apart(size[a], size[b], num, den)
+            found.append(np.unique(np.minimum(a, b)[near] * len(classes) + np.maximum(a, b)[near]))
+        if found:
+            x, y = np.divmod(np.unique(np.concatenate(found)), len(classes))
+            yield classes[x], classes[y]
+
+
+def near_sets(rows: DataFrame, sets_of: SetsOf, num: int = 85, den: int = 100) -> DataFrame:
+    """(a, b, overlap, united), a < b: all pairs of rows whose sets have overlap / union >= num / den, in integers.
+
+    rows: id, x, p; x is what sets_of makes sets of, and pairs of which p holds for neither row are
+    left out. Equal sets are one class. Classes meet by the keys of functions/keys.py, which lose
+    no pair; keys are sent as packed bytes with each set's size and parities, which tell most
+    chance meetings without loss, and never the sets. What is left is compared exactly. x is read
+    again for every step instead of being written. Rows of one id are one row: of one of their sets.
+    """
+    if num * CLASS_RATIO < den:
+        raise ValueError("sets that are less alike don't share keys")
+    spark, kind, given = rows.sparkSession, rows.schema["id"].dataType.simpleString(), rows.schema["x"].dataType.simpleString()
+    rows = rows.select("id", "x", "p").filter("id is not null and x is not null")
+
+    def member(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf, _, starts, c in _batched(frames, sets_of):
+            yield pd.DataFrame({"id": pdf["id"].to_numpy(), "c": c.view(np.int64), "n": np.diff(starts), "p": pdf["p"].to_numpy()})
+
+    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(BUCKETS, dtype=np.int64)
+        for _, h, _, _ in _batched(frames, sets_of):
+            total += np.bincount(buckets(h), minlength=BUCKETS)
+        at = np.flatnonzero(total)
+        yield pd.DataFrame({"bucket": at.astype(np.int32), "n": total[at]})
+
+    members = written(rows.mapInPandas(member, f"id {kind}, c long, n long, p boolean").groupBy("id").agg(F.min(F.struct("c", "n")).alias("m"), F.bool_or("p").alias("p")).select("id", "m.c", "m.n", "p"))
+    many = members.count()
+    parts = max(min(_PARTS, 1 + many // 5_000), many // _PART)
+    sums = rows.mapInPandas(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()  # BUCKETS rows at most
+    counts = np.zeros(BUCKETS, dtype=np.int64)
+    counts[sums["bucket"].to_numpy()] = sums["n"].to_numpy()
+    shared = spark.sparkContext.broadcast(counts)
+
+    def keyed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf, h, starts, c in _batched(frames, sets_of):
+            keys = coarse_keys(h, starts, shared.value, num, den)
+            own, key = np.repeat(np.arange(len(keys)), [len(k) for k in keys]), np.concatenate(keys).view(np.uint64)
+            part, low = ((key >> np.uint64(40)) % np.uint64(parts)).astype(np.int32), key & np.uint64((1 << 40) - 1)
+            bits, words = _parities(h, starts)
+            asks, order = pdf["p"].to_numpy(dtype=bool), np.argsort(part, kind="stable")
+            ends = np.searchsorted(part[order], np.arange(parts + 1))
+            some = [(p, order[ends[p] : ends[p + 1]]) for p in range(parts) if ends[p] < ends[p + 1]]
+            yield pd.DataFrame({"part": [p for p, _ in some], "blob": [_packed(p, take, own, low, c, np.diff(starts), asks, bits, words) for p, take in some]})
+
+    def meet(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        blobs = [b for pdf in frames for b in pdf["blob"]]  # of one part
+        for x, y in _meetings(blobs, num, den) if blobs else ():
+            yield pd.DataFrame({"ca": x.view(np.int64), "cb": y.view(np.int64)})
+
+    cand = written(rows.mapInPandas(keyed, "part int, blob binary").repartitionById(parts, F.col("part")).mapInPandas(meet, "ca long, cb long").distinct())
+    shared.destroy()
+    used = written(cand.select(F.col("ca").alias("c")).union(cand.select("cb")).distinct())
+    few = used.count() <= PICKED
+    picked = spark.sparkContext.broadcast(np.sort(used.toArrow()["c"].to_numpy()) if few else None)
+
+    def pick(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf, _, _, c in _batched(frames, sets_of):
+            own = c.view(np.int64)
+            keep = np.isin(own, picked.value) if picked.value is not None else np.ones(len(own), dtype=bool)
+            yield pd.DataFrame({"c": own[keep], "x": pdf["x"][keep]})
+
+    found = rows.mapInPandas(pick, f"c long, x {given}")
+    sets = written((found if few else found.join(used, "c", "left_semi")).dropDuplicates(["c"]))
+    picked.destroy()
+
+    @F.pandas_udf("overlap long, united long")
+    def compared(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+        out = []
+        for k in range(0, len(a), 500):
+            both = a.iloc[k : k + 500].tolist() + b.iloc[k : k + 500].tolist()
+            _, h, starts = sets_of(both)
+            own = [h[starts[i] : starts[i + 1]] for i in range(len(both))]
+            half = len(both) // 2
+            common = [len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(own[:half], own[half:], strict=True)]
+            out += [(o, len(x) + len(y) - o) for o, x, y in zip(common, own[:half], own[half:], strict=True)]
+        return pd.DataFrame(out, columns=["overlap", "united"])
+
+    left, right = sets.select(F.col("c").alias("ca"), F.col("x").alias("xa")), sets.select(F.col("c").alias("cb"), F.col("x").alias("xb"))
+    near = cand.join(left, "ca").join(right, "cb").select("ca", "cb", compared("xa", "xb").alias("v")).select("ca", "cb", "v.*").filter(F.col("overlap") * den >= F.col("united") * num)
+    x, y = members.select(F.col("id").alias("x"), F.col("c").alias("ca"), F.col("p").alias("px")), members.select(F.col("id").alias("y"), F.col("c").alias("cb"), F.col("p").alias("py"))
+    apart = near.join(x, "ca").join(y, "cb").filter("px or py").select("x", "y", "overlap", "united")
+    same = members.select(F.col("id").alias("x"), F.col("c").alias("cb"), "n", F.col("p").alias("px")).join(y, "cb").filter("x < y and (px or py)").select("x", "y", F.col("n").alias("overlap"), F.col("n").alias("united"))
+    return apart.unionByName(same).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "overlap", "united")
+
+
 def exact_similar(sets: DataFrame, num: int = 85, den: int = 100, probe: Column | None = None) -> DataFrame:
-    """(a, b, overlap, united), a < b: all pairs of sets with overlap / union >= num / den, in integers.
+    """near_sets of sets: id, tokens (array).
 
-    sets: id, tokens (array). Prefix filter on the rarest tokens, size filter, then the exact
-    test. `probe` limits the pairs to those with at least one row for which it holds. Empty and
-    null sets pair with nothing; repeated rows of one id should be removed before.
+    `probe` limits the pairs to those with at least one row for which it holds. Empty and null
+    sets pair with nothing. Tokens are compared by 64 bits of a hash.
     """
-    base = sets.select("id", F.array_distinct("tokens").alias("tokens"), (F.lit(True) if probe is None else probe).alias("p")).filter(F.size("tokens") > 0)
-    flat = base.select("id", F.explode("tokens").alias("t"))
-    df = flat.groupBy("t").agg(F.count("*").alias("df"))
-    ranked = flat.join(df, "t").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "t"))).alias("r"))
-    ordered = written(ranked.join(base.select("id", "p"), "id").select("id", "p", F.transform("r", lambda x: x["t"]).alias("tokens"), F.size("r").alias("n")))
-    prefix = F.col("n") - F.ceil(F.col("n") * num / den) + 1
-    keyed = ordered.select("id", "p", "n", F.explode(F.slice("tokens", F.lit(1), prefix.cast("int"))).alias("t"))
-    own = keyed if probe is None else keyed.filter("p")  # rows that ask; all rows answer
-    a = own.select("t", F.col("id").alias("x"), F.col("n").alias("nx"))
-    b = keyed.select("t", F.col("id").alias("y"), F.col("n").alias("ny"))
-    fits = (F.col("nx") * den >= F.col("ny") * num) & (F.col("ny") * den >= F.col("nx") * num)
-    once = F.col("x") < F.col("y") if probe is None else F.col("x") != F.col("y")
-    cand = a.join(b, "t").filter(once & fits).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    left = ordered.select(F.col("id").alias("a"), F.col("tokens").alias("ta"))
-    right = ordered.select(F.col("id").alias("b"), F.col("tokens").alias("tb"))
-    over = cand.join(left, "a").join(right, "b").select("a", "b", F.size(F.array_intersect("ta", "tb")).alias("overlap"), (F.size("ta") + F.size("tb")).alias("s"))
-    return over.select("a", "b", "overlap", (F.col("s") - F.col("overlap")).alias("united")).filter(F.col("overlap") * den >= F.col("united") * num)
+    p = F.lit(True) if probe is None else F.coalesce(probe, F.lit(False))
+    return near_sets(sets.select("id", F.transform("tokens", lambda t: F.xxhash64(t)).alias("x"), p.alias("p")), tokens_of, num, den)
 
 
 def shingle_table(rows: DataFrame, key: str, text: str) -> DataFrame:

@@ -195,28 +195,27 @@ SELECT a, b, overlap, united FROM p WHERE 100 * overlap >= 85 * united"""
 
 @query("jaccard_pairs", "D7 J13", JACCARD)
 def _(spark, d):
-    rows = _records(spark, d, "id", "text").select("id", F.array_distinct(expr.simple_words(F.col("text"))).alias("tokens"))
-    return dedup.exact_similar(rows).select("a", "b", F.col("overlap").cast("long"), F.col("united").cast("long"))
+    rows = table(spark, d, "samples").select("id", F.array_distinct(expr.simple_words(F.col("text"))).alias("tokens"))
+    return dedup.exact_similar(rows)
 
 
 @query("holdout_audit", "D8 D9 X7", JACCARD + " AND (coalesce(sa IN ('val', 'test'), false) OR coalesce(sb IN ('val', 'test'), false))")
 def _(spark, d):
-    rows = _records(spark, d, "id", "split", "text").select("id", "split", F.array_distinct(expr.simple_words(F.col("text"))).alias("tokens"))
-    return dedup.exact_similar(rows, probe=F.coalesce(F.col("split").isin("val", "test"), F.lit(False))).select("a", "b", F.col("overlap").cast("long"), F.col("united").cast("long"))
+    rows = table(spark, d, "samples").select("id", "split", F.array_distinct(expr.simple_words(F.col("text"))).alias("tokens"))
+    return dedup.exact_similar(rows, probe=F.col("split").isin("val", "test"))
 
 
 @query("shingle_pairs", "D2 D7 J13", f"WITH {NEAR} SELECT x AS a, y AS b, c AS overlap, u AS united FROM near")
 def _(spark, d):
-    sets = dedup.shingle_table(_records(spark, d, "id", "text"), "id", "text")
-    return dedup.exact_similar(sets).select("a", "b", F.col("overlap").cast("long"), F.col("united").cast("long"))
+    rows = table(spark, d, "samples").select("id", F.col("text").alias("x"), F.lit(True).alias("p"))
+    return dedup.near_sets(rows, dedup.shingles_of)
 
 
 @query("shingle_holdout_audit", "D8 D9 X7", f"WITH {NEAR} SELECT x AS a, y AS b, c AS overlap, u AS united FROM near JOIN r a ON a.id = x JOIN r b ON b.id = y WHERE coalesce(a.split IN ('val', 'test'), false) OR coalesce(b.split IN ('val', 'test'), false)")
 def _(spark, d):
-    rows = _records(spark, d, "id", "split", "text")
-    held = rows.filter("split in ('val', 'test')").select("id", F.lit(True).alias("held"))
-    sets = dedup.shingle_table(rows, "id", "text").join(held, "id", "left")
-    return dedup.exact_similar(sets, probe=F.coalesce("held", F.lit(False))).select("a", "b", F.col("overlap").cast("long"), F.col("united").cast("long"))
+    held = F.coalesce(F.col("split").isin("val", "test"), F.lit(False))
+    rows = table(spark, d, "samples").select("id", F.col("text").alias("x"), held.alias("p"))
+    return dedup.near_sets(rows, dedup.shingles_of)
 
 
 @query("admission_order", "D4 D5 D6")
