@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from corpusmill.functions.keys import BUCKETS, CLASS_RATIO, buckets, coarse_keys
 from corpusmill.functions.shingles import WIDTH, mix, most_apart, shingle_sets
 from corpusmill.functions.text import py_squeezed
+from corpusmill.operators.marks import marks, passing, width
 from corpusmill.session import forget, written
 
 MAX_ROUNDS = 200
@@ -196,6 +197,8 @@ def admitted(rows: DataFrame, conflicts: DataFrame, cap: int = 3) -> DataFrame:
 _BATCH, _SETS, _PART, _PARTS, _SORTED = 1_000_000, 2_000, 80_000, 12, 2_000_000
 #: Classes whose ids are broadcast (8 bytes each) to pick their sets; more are joined.
 PICKED = 500_000
+#: Keys a set has by its elements, about; bits and probes of a key in the filter of the keys that ask.
+_KEYS, _BITS, _PROBES = 0.4, 16, 2
 
 #: From some values to the places of those that have a set, their sorted elements, and starts: set i owns elements[starts[i]:starts[i + 1]].
 SetsOf = Callable[[list], tuple[np.ndarray, np.ndarray, np.ndarray]]
@@ -312,8 +315,10 @@ def near_sets(rows: DataFrame, sets_of: SetsOf, num: int = 85, den: int = 100) -
     rows: id, x, p; x is what sets_of makes sets of, and pairs of which p holds for neither row are
     left out. Equal sets are one class. Classes meet by the keys of functions/keys.py, which lose
     no pair; keys are sent as packed bytes with each set's size and parities, which tell most
-    chance meetings without loss, and never the sets. What is left is compared exactly. x is read
-    again for every step instead of being written. Rows of one id are one row: of one of their sets.
+    chance meetings without loss, and never the sets. Where less than half of the elements are of
+    rows with p, the keys of other rows are sent only if a filter says that one with p may have them.
+    What is left is compared exactly. x is read again for every step instead of being written. Rows of
+    one id are one row: of one of their sets.
     """
     if num * CLASS_RATIO < den:
         raise ValueError("sets that are less alike don't share keys")
@@ -332,17 +337,27 @@ def near_sets(rows: DataFrame, sets_of: SetsOf, num: int = 85, den: int = 100) -
         yield pd.DataFrame({"bucket": at.astype(np.int32), "n": total[at]})
 
     members = written(rows.mapInPandas(member, f"id {kind}, c long, n long, p boolean").groupBy("id").agg(F.min(F.struct("c", "n")).alias("m"), F.bool_or("p").alias("p")).select("id", "m.c", "m.n", "p"))
-    many = members.count()
+    many, elements, asking = members.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.when(F.col("p"), F.col("n"))), F.lit(0))).first()
     parts = max(min(_PARTS, 1 + many // 5_000), many // _PART)
     sums = rows.mapInPandas(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()  # BUCKETS rows at most
     counts = np.zeros(BUCKETS, dtype=np.int64)
     counts[sums["bucket"].to_numpy()] = sums["n"].to_numpy()
     shared = spark.sparkContext.broadcast(counts)
 
+    def asked(frames: Iterator[pd.DataFrame]) -> Iterator[np.ndarray]:
+        for _, h, starts, _ in _batched(frames, sets_of):
+            yield np.concatenate(coarse_keys(h, starts, shared.value, num, den)).view(np.uint64)
+
+    known = spark.sparkContext.broadcast(marks(rows.filter("p"), asked, width(int(_KEYS * asking), _BITS), _PROBES) if 2 * asking < elements else None)
+
     def keyed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf, h, starts, c in _batched(frames, sets_of):
             keys = coarse_keys(h, starts, shared.value, num, den)
             own, key = np.repeat(np.arange(len(keys)), [len(k) for k in keys]), np.concatenate(keys).view(np.uint64)
+            if known.value is not None:
+                meets = pdf["p"].to_numpy(dtype=bool)[own]
+                meets[passing(known.value, key, _PROBES)] = True
+                own, key = own[meets], key[meets]
             part, low = ((key >> np.uint64(40)) % np.uint64(parts)).astype(np.int32), key & np.uint64((1 << 40) - 1)
             bits, words = _parities(h, starts)
             asks, order = pdf["p"].to_numpy(dtype=bool), np.argsort(part, kind="stable")
@@ -357,6 +372,7 @@ def near_sets(rows: DataFrame, sets_of: SetsOf, num: int = 85, den: int = 100) -
 
     cand = written(rows.mapInPandas(keyed, "part int, blob binary").repartitionById(parts, F.col("part")).mapInPandas(meet, "ca long, cb long").distinct())
     shared.destroy()
+    known.destroy()
     used = written(cand.select(F.col("ca").alias("c")).union(cand.select("cb")).distinct())
     few = used.count() <= PICKED
     picked = spark.sparkContext.broadcast(np.sort(used.toArrow()["c"].to_numpy()) if few else None)

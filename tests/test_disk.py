@@ -91,6 +91,48 @@ def test_held_rows_ask_and_all_answer(spark, shuffled, name):
     assert moved < 10 * sum(map(len, some))  # most of it the table of counts, which has a bound
 
 
+@pytest.mark.parametrize("name", ["f5_words", "f6_shingles"])
+def test_keys_that_no_held_row_has_are_not_sent(spark, monkeypatch, name):
+    sent = spark.sparkContext.accumulator(0)
+    packed = dedup._packed
+
+    def counted(part, take, *rest):
+        sent.add(len(take))
+        return packed(part, take, *rest)
+
+    monkeypatch.setattr(dedup, "_packed", counted)
+    some = edited(600, 60)
+    held = {k for k in range(600) if k % 50 in (0, 9)}
+
+    def run(p):
+        before = sent.value
+        rows = spark.createDataFrame([(k, t, p(k)) for k, t in enumerate(some)], "id long, x string, p boolean")
+        if name == "f5_words":
+            got = dedup.exact_similar(rows.select("id", "p", F.split("x", " ").alias("tokens")), probe=F.col("p")).collect()
+        else:
+            got = dedup.near_sets(rows, dedup.shingles_of).collect()
+        return {(r.a, r.b) for r in got}, sent.value - before
+
+    every, all_keys = run(lambda k: True)
+    got, keys = run(lambda k: k in held)
+    assert got == {p for p in every if held & {*p}} and got
+    assert 0 < keys < 0.3 * all_keys
+
+
+def test_filter_of_hashes_loses_none(spark):
+    import numpy as np
+
+    from corpusmill.operators import marks
+
+    h = np.random.default_rng(5).integers(0, 1 << 64, 40_000, dtype=np.uint64)
+    rows = spark.createDataFrame([(int(x),) for x in h[:20_000].view(np.int64)], "x long")
+    for bits in (1 << 16, marks.width(20_000, 16)):  # the first is full: nearly all pass, and none is lost
+        own = marks.marks(rows, lambda frames: (pdf["x"].to_numpy().view(np.uint64) for pdf in frames), bits, 2)
+        at = marks.passing(own, h, 2)
+        assert set(range(20_000)) <= set(at.tolist())
+    assert len(at) < 20_800
+
+
 def test_parities_lose_no_near_set():
     import numpy as np
 
