@@ -9,7 +9,7 @@ from corpusmill.functions.labels import language_key, source_key
 from corpusmill.operators import decontam, dedup, filters, reports, splits, views
 from corpusmill.operators.graph import star_edges
 from corpusmill.plans.registry import query
-from corpusmill.session import table
+from corpusmill.session import table, written
 from corpusmill.sources import readers
 
 LETTERS = r"length(regexp_replace(text, '[^\p{L}]', '', 'g'))"
@@ -451,7 +451,7 @@ def _hits(spark, d):
     last = F.try_element_at(F.filter("turns", lambda t: t["role"] == "assistant"), F.lit(-1))["content"]
     items = readers.benchmark_items(held.select(F.col("id").alias("item"), spell(chat.first_user(F.col("turns"))).alias("prompt"), spell(F.when(F.size("turns") > 0, last).otherwise(F.col("text"))).alias("answer")), "prompt", "answer", "held-out")
     train = rows.filter("split = 'train'").select("id", spell(F.col("text")).alias("text"), F.get_json_object("payload", "$.repo_id").alias("repo_id"))
-    return decontam.all_matches(train, decontam.all_phrases(items))
+    return decontam.all_matches(train, decontam.all_phrases(written(items)))  # read several times
 
 
 @query("contamination_13gram", "B1 B2 S13 C4", CONTAM + " SELECT id FROM h")
